@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from keelson.functions.text import blank_to_null, table_set
 from keelson.plans.scans import slice_rows
-from keelson.session import materialise
+from keelson.session import materialise, materialise_counted
 
 ROOT, DANGLING, CYCLE = "ROOT", "DANGLING", "CYCLE"
 
@@ -32,31 +32,26 @@ def _nodes(records: DataFrame, stop: Column, answer: Column, ok: Column) -> Data
     )
 
 
-def _walk(nodes: DataFrame) -> DataFrame:
+def _walk(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Resolve every node to (id, end, answer, ok, dist): the kind of end its walk has and what it found there.
 
     ``dist`` counts the steps to the end, ``ok`` is the conjunction of ``ok`` from the node to the end.
     Walks that never end are marked as cycles: among nodes that do end, each doubling finishes some, so a round
     that finishes none has only cycles left.
+
+    Also returns the jump tables met on the way: level r maps an id to its ancestor 2**r steps up.
     """
-    nodes = materialise(nodes, "walk")
-    done = nodes.filter("end is not null").select("id", "end", "answer", "ok", F.lit(0).cast("bigint").alias("dist"))
+    unfinished = F.count_if(F.col("end").isNull())
+    nodes, seen = materialise_counted(nodes, "walk", left=unfinished)
+    done = ["id", "end", "answer", "ok", "dist"]
+    ended = nodes.filter("end is not null").withColumn("dist", F.lit(0).cast("bigint")).select(*done)
     active = nodes.filter("end is null").drop("end", "answer")
-    finished = [done]
-    left = active.count()
-    ended = done
+    levels = [active.select("id", "ptr")]
+    left = seen["left"]
     while left:
         # where a pointer can stand: on a finished node, on an active node, or on no record at all
-        targets = ended.select(
-            F.col("id").alias("t_id"), F.col("end").alias("t_end"), F.col("answer").alias("t_answer"),
-            F.col("ok").alias("t_ok"), F.col("dist").alias("t_dist"), F.lit(None).cast("string").alias("t_ptr"),
-        ).unionByName(
-            active.select(
-                F.col("id").alias("t_id"), F.lit(None).cast("string").alias("t_end"),
-                F.lit(None).cast("string").alias("t_answer"), F.col("ok").alias("t_ok"),
-                F.col("dist").alias("t_dist"), F.col("ptr").alias("t_ptr"),
-            )
-        )
+        targets = ended.withColumn("ptr", F.lit(None).cast("string")).unionByName(active, allowMissingColumns=True)
+        targets = targets.withColumnsRenamed({c: f"t_{c}" for c in targets.columns})
         moved = active.join(targets, F.col("ptr") == F.col("t_id"), "left").select(
             "id",
             F.col("t_ptr").alias("ptr"),
@@ -65,24 +60,18 @@ def _walk(nodes: DataFrame) -> DataFrame:
             F.when(F.col("t_id").isNull(), F.lit(DANGLING)).otherwise(F.col("t_end")).alias("end"),
             F.when(F.col("t_id").isNull(), F.col("ptr")).otherwise(F.col("t_answer")).alias("answer"),
         )
-        moved = materialise(moved, "walk")
-        newly = moved.filter("end is not null").select("id", "end", "answer", "ok", "dist")
+        moved, seen = materialise_counted(moved, "walk", left=unfinished)
         active = moved.filter("end is null").drop("end", "answer")
-        still = active.count()
-        if still == left:
+        if seen["left"] == left:
             break
-        finished.append(newly)
+        left = seen["left"]
         # a pointer that moved past finished nodes can still land on any of them later
-        ended = ended.unionByName(newly)
-        left = still
+        ended = ended.unionByName(moved.filter("end is not null").select(*done))
+        levels.append(active.select("id", "ptr"))
     if left:
-        finished.append(
-            active.select("id", F.lit(CYCLE).alias("end"), F.lit(None).cast("string").alias("answer"), "ok", "dist")
-        )
-    result = finished[0]
-    for part in finished[1:]:
-        result = result.unionByName(part)
-    return result
+        circular = active.withColumn("end", F.lit(CYCLE)).withColumn("answer", F.lit(None).cast("string"))
+        ended = ended.unionByName(circular.select(*done))
+    return ended, levels
 
 
 def with_parent(records: DataFrame, catalog: DataFrame, *columns: str) -> DataFrame:
@@ -99,26 +88,34 @@ def is_child() -> Column:
     return F.col("backup_type").isin("INCREMENTAL", "DIFFERENTIAL") & blank_to_null("parent_backup_id").isNotNull()
 
 
+def inherited_chain() -> Column:
+    """Over rows of ``with_parent``: the own chain, else (for a child) the parent's chain or id, else the own id.
+
+    A parent chain of blank text is taken over first and then gives way to the own id.
+    """
+    taken = F.when(is_child(), F.coalesce("parent_backup_chain_id", "parent_id"))
+    return F.coalesce(blank_to_null("backup_chain_id"), blank_to_null(taken), F.col("id"))
+
+
+def scope_differs() -> Column:
+    """Over rows of ``with_parent``: a child whose table set is not its known parent's."""
+    return is_child() & F.col("parent_found") & (table_set("target_tables") != table_set("parent_target_tables"))
+
+
 def inherit_chain(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Chain id a new record gets: its own, else (for a child) the parent's chain or id, else its own id."""
+    """Requests with the chain id their record gets."""
     looked = with_parent(requests, catalog, "backup_chain_id", "id")
-    inherited = F.when(is_child(), F.coalesce("parent_backup_chain_id", "parent_id"))
-    # a parent chain that is blank text is taken over and then replaced by the own id
-    chain = F.coalesce(
-        blank_to_null("backup_chain_id"), blank_to_null(inherited), F.col("id")
-    )
-    return looked.withColumn("backup_chain_id", chain).select(*requests.columns)
+    return looked.withColumn("backup_chain_id", inherited_chain()).select(*requests.columns)
 
 
 def scope_violations(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Children whose table set differs from their known parent's."""
     looked = with_parent(requests.filter(is_child()), catalog, "target_tables")
-    mine, theirs = table_set("target_tables"), table_set("parent_target_tables")
-    return looked.filter(F.col("parent_found") & (mine != theirs)).select(
+    return looked.filter(scope_differs()).select(
         "id",
         "parent_backup_id",
-        F.array_join(mine, ",").alias("tables"),
-        F.array_join(theirs, ",").alias("parent_tables"),
+        F.array_join(table_set("target_tables"), ",").alias("tables"),
+        F.array_join(table_set("parent_target_tables"), ",").alias("parent_tables"),
     )
 
 
@@ -128,18 +125,24 @@ def effective_chain(records: DataFrame) -> DataFrame:
     A walk that ends at an unknown parent or in a cycle gives the record's own parent id.
     """
     own = blank_to_null("backup_chain_id")
-    walked = _walk(_nodes(records, own.isNotNull(), F.coalesce(own, F.col("id")), F.lit(True)))
+    walked, _ = _walk(_nodes(records, own.isNotNull(), F.coalesce(own, F.col("id")), F.lit(True)))
     found = walked.filter(F.col("end") == ROOT).select(F.col("id").alias("_wid"), F.col("answer").alias("_answer"))
     joined = records.join(found, F.col("id") == F.col("_wid"), "left")
     return joined.withColumn("eff_chain", F.coalesce("_answer", "parent_backup_id", "id")).drop("_wid", "_answer")
 
 
-def walk_to_root(records: DataFrame) -> DataFrame:
-    """Per id: kind of end (ROOT, DANGLING, CYCLE), the root or missing id, steps, and status along the way."""
+def _rooted(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ok = F.coalesce(F.col("status") == "SUCCESS", F.lit(False))
-    return _walk(_nodes(records, F.lit(False), F.col("id"), ok)).select(
+    walked, levels = _walk(_nodes(records, F.lit(False), F.col("id"), ok))
+    named = walked.select(
         "id", "end", F.col("answer").alias("end_id"), F.col("dist").alias("steps"), F.col("ok").alias("all_success")
     )
+    return named, levels
+
+
+def walk_to_root(records: DataFrame) -> DataFrame:
+    """Per id: kind of end (ROOT, DANGLING, CYCLE), the root or missing id, steps, and status along the way."""
+    return _rooted(records)[0]
 
 
 def cycle_report(records: DataFrame) -> DataFrame:
@@ -156,54 +159,50 @@ def missing_parents(records: DataFrame) -> DataFrame:
     )
 
 
-def chain_usability(records: DataFrame) -> DataFrame:
-    """Whether each record can be restored: its walk reaches a root and every step succeeded."""
-    walked = walk_to_root(records)
-    reason = (
+def usability() -> Column:
+    """Verdict on a row of ``walk_to_root``."""
+    return (
         F.when(F.col("end") == CYCLE, "CYCLE")
         .when(F.col("end") == DANGLING, "MISSING_PARENT")
         .when(~F.col("all_success"), "NOT_SUCCESSFUL")
         .otherwise("OK")
     )
-    return walked.select("id", reason.alias("usability"))
 
 
-def restore_lineage(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target_id, step, id) base first, for targets whose walk reaches a root.
+def chain_usability(records: DataFrame) -> DataFrame:
+    """Whether each record can be restored: its walk reaches a root and every step succeeded."""
+    return walk_to_root(records).select("id", usability().alias("usability"))
 
-    Every round doubles the part of each lineage that is known, so the work is the size of the answer and the
-    number of rounds its logarithm. ``targets`` has one column ``target_id``.
-    """
-    parent = blank_to_null("parent_backup_id")
-    jump = materialise(
-        records.filter(F.col("id").isNotNull()).select(F.col("id").alias("at"), parent.alias("to")), "jump"
-    )
-    walked = walk_to_root(records).filter(F.col("end") == ROOT)
-    known = materialise(
-        targets.distinct()
-        .join(walked, F.col("target_id") == F.col("id"))
-        .select("target_id", F.col("id"), F.lit(0).cast("bigint").alias("back"), "steps"),
-        "lineage",
-    )
-    longest = known.agg(F.max("steps").alias("n")).first()["n"] or 0
-    reach = 1
-    while reach <= longest:
-        further = (
-            known.join(jump, F.col("id") == F.col("at"))
-            .filter("to is not null")
-            .select("target_id", F.col("to").alias("id"), (F.col("back") + reach).alias("back"), "steps")
+
+def restore_lineage(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, step, id) base first, for targets whose walk reaches a root. ``targets`` has ``target_id``."""
+    walked, levels = _rooted(records)
+    rooted = targets.distinct().join(walked.filter(F.col("end") == ROOT), F.col("target_id") == F.col("id"))
+    return _climb(rooted.select("target_id", "id", "steps"), levels)
+
+
+def _climb(rooted: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """All ancestors of each target. Every level doubles the known part, so the work is the size of the answer."""
+    known = rooted.withColumn("back", F.lit(0).cast("bigint"))
+    for exponent, level in enumerate(levels):
+        known = materialise(known, "lineage")
+        up = level.withColumnRenamed("id", "_at")
+        further = known.join(up, F.col("id") == F.col("_at")).select(
+            "target_id", F.col("ptr").alias("id"), "steps", (F.col("back") + 2**exponent).alias("back")
         )
-        known = materialise(known.unionByName(further), "lineage")
-        reach *= 2
-        if reach <= longest:
-            onward = jump.select(F.col("at").alias("mid"), F.col("to").alias("end"))
-            jump = materialise(
-                jump.join(onward, F.col("to") == F.col("mid")).select("at", F.col("end").alias("to")).filter("to is not null"),
-                "jump",
-            )
+        known = known.unionByName(further)
     return known.select("target_id", (F.col("steps") - F.col("back")).alias("step"), "id")
 
 
+def resolve_target(records: DataFrame, target_id: str) -> tuple[str | None, str | None, DataFrame]:
+    """(verdict, id the walk ends at, lineage) of one target from a single walk; the verdict is None if unknown."""
+    walked, levels = _rooted(records)
+    mine = walked.filter(F.col("id") == target_id)
+    row = mine.select(usability().alias("verdict"), "end_id").first()
+    lineage = _climb(mine.filter(F.col("end") == ROOT).select(F.col("id").alias("target_id"), "id", "steps"), levels)
+    return (row["verdict"] if row else None), (row["end_id"] if row else None), lineage
+
+
 def latest_usable(records: DataFrame, at: Column, key: str = "profile_name") -> DataFrame:
     """Newest successful record per database that started at or before ``at``."""
     usable = records.filter((F.col("status") == "SUCCESS") & (F.col("start_time") <= at))

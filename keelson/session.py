@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Rows one task may hold for a single key before a running scan is cut into slices.
 ROWS_PER_KEY_CONF = "spark.keelson.rowsPerKey"
@@ -63,5 +63,12 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise`` that also returns aggregates of the rows, observed while they are written."""
+    seen = Observation()
+    kept = materialise(df.observe(seen, *[c.alias(name) for name, c in counts.items()]), label)
+    return kept, {name: int(value or 0) for name, value in seen.get.items()}
+
+
 def rows_per_key(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_KEY_CONF, str(DEFAULT_ROWS_PER_KEY)))
