@@ -18,6 +18,8 @@ from keelson.session import materialise, materialise_counted, rows_per_key
 
 # Lowest and highest number of each cron field, and the names two of them accept.
 CRON_FIELDS = {"second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
+# one part of a field: star or number, range end, step
+CRON_PART = r"^(?:[*?]|(\d+)(?:-(\d+))?)(?:/(\d+))?$"
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 WEEKDAYS = ["SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT"]
 
@@ -31,43 +33,42 @@ def field_values(text: Column, low: int, high: int) -> Column:
     """Numbers a cron field stands for: ``*``, ``?``, lists, ranges and steps. Null for text that is none of these."""
 
     def numbers(part: Column) -> Column:
-        span = F.regexp_replace(F.split_part(part, F.lit("/"), F.lit(1)), r"^[*?]$", f"{low}-{high}")
-        step = F.split_part(part, F.lit("/"), F.lit(2)).try_cast("int")
-        stepped = F.instr(part, "/") > 0
-        first = F.split_part(span, F.lit("-"), F.lit(1)).try_cast("int")
-        ranged = F.instr(span, "-") > 0
-        # a lone number with a step runs to the highest value
-        last = F.when(ranged, F.split_part(span, F.lit("-"), F.lit(2)).try_cast("int")).when(stepped, F.lit(high)).otherwise(first)
-        by = F.when(stepped, step).otherwise(F.lit(1))
-        fine = (first >= low) & (last <= high) & (first <= last) & (by > 0)
-        return F.when(fine, F.sequence(first, last, by))
+        piece = lambda group: F.regexp_extract(part, CRON_PART, group).try_cast("int")
+        # a lone number with a step, and a star, run to the highest value
+        open_ended = part.rlike(r"[*?/]") & ~part.contains("-")
+        first = F.coalesce(piece(1), F.lit(low))
+        last = F.when(open_ended, F.lit(high)).otherwise(F.coalesce(piece(2), piece(1)))
+        every = F.coalesce(piece(3), F.lit(1))
+        fine = part.rlike(CRON_PART) & (first >= low) & (last <= high) & (first <= last) & (every > 0)
+        return F.when(fine, F.sequence(first, last, every))
 
     lists = F.transform(F.split(text, ","), numbers)
-    return F.when(F.forall(lists, lambda x: x.isNotNull()), F.array_sort(F.array_distinct(F.flatten(lists))))
+    # a list that is no number list makes the whole field null
+    return F.array_sort(F.array_distinct(F.flatten(lists)))
 
 
 def parsed_cron(jobs: DataFrame) -> DataFrame:
-    """Six-field cron texts as one number list per field; Sunday is 0."""
+    """(cron, second, minute, hour, day, month, weekday) for every different six-field text; Sunday is 0."""
     parts = F.split(F.upper("cron"), r"\s+")
-    parsed = jobs
+    names = {"month": [(m, n + 1) for n, m in enumerate(MONTHS)], "weekday": [(d, n) for n, d in enumerate(WEEKDAYS)]}
+    columns = []
     for place, (name, (low, high)) in enumerate(CRON_FIELDS.items()):
         text = F.get(parts, F.lit(place))
-        names = {"month": [(m, n + 1) for n, m in enumerate(MONTHS)], "weekday": [(d, n) for n, d in enumerate(WEEKDAYS)]}
         for word, number in names.get(name, []):
-            text = F.regexp_replace(text, word, str(number))
-        parsed = parsed.withColumn(name, field_values(text, low, high))
-    sunday = F.array_sort(F.array_distinct(F.transform("weekday", lambda d: d % 7)))
-    return parsed.withColumn("weekday", sunday)
+            text = F.replace(text, F.lit(word), F.lit(str(number)))
+        values = field_values(text, low, high)
+        if name == "weekday":
+            values = F.array_sort(F.array_distinct(F.transform(values, lambda d: d % 7)))
+        columns.append(F.when(F.size(parts) == len(CRON_FIELDS), values).alias(name))
+    # a few texts serve many jobs: parse each once, and keep the result
+    return materialise(jobs.select("cron").distinct().select("cron", *columns), "cron")
 
 
 def split_cron(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parsed, rejected) jobs."""
+    """(jobs with their number lists, jobs whose cron text has no meaning)."""
     parsed = parsed_cron(jobs)
-    fine = F.lit(True)
-    for name in CRON_FIELDS:
-        fine = fine & F.col(name).isNotNull()
-    fine = fine & (F.size(F.split("cron", r"\s+")) == len(CRON_FIELDS))
-    return parsed.filter(fine), parsed.filter(~fine).select(*jobs.columns)
+    fine = parsed.dropna(subset=list(CRON_FIELDS))
+    return jobs.join(fine, "cron"), jobs.join(fine.select("cron"), "cron", "left_anti").select(*jobs.columns)
 
 
 def expected_runs(jobs: DataFrame, begin: str, end: str) -> DataFrame:
@@ -78,16 +79,16 @@ def expected_runs(jobs: DataFrame, begin: str, end: str) -> DataFrame:
     """
     first, stop = F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     parsed, _ = split_cron(schedulable(jobs))
-    days = parsed.withColumn("_day", F.explode(F.sequence(first.cast("date"), stop.cast("date"))))
-    due = days.filter(
-        F.array_contains("month", F.month("_day"))
-        & F.array_contains("day", F.dayofmonth("_day"))
-        & F.array_contains("weekday", F.dayofweek("_day") - 1)
+    days = F.filter(
+        F.sequence(first.cast("date"), stop.cast("date")),
+        lambda d: F.array_contains("month", F.month(d))
+        & F.array_contains("day", F.dayofmonth(d))
+        & F.array_contains("weekday", F.dayofweek(d) - 1),
     )
-    timed = (
-        due.withColumn("_h", F.explode("hour")).withColumn("_m", F.explode("minute")).withColumn("_s", F.explode("second"))
-    )
-    at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("_h"), F.col("_m"), F.col("_s"))
+    timed = parsed.select("job_id", "hour", "minute", "second", F.explode(days).alias("_day"))
+    for name in ("hour", "minute", "second"):
+        timed = timed.withColumn(name, F.explode(name))
+    at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"), F.col("minute"), F.col("second"))
     return timed.select("job_id", at.alias("fire_time")).filter((F.col("fire_time") >= first) & (F.col("fire_time") < stop))
 
 

@@ -141,7 +141,7 @@ def missed_runs(spark, sf_dir):
     duck_triggers(
         "select t.trigger_id, t.job_id, r.trigger_id is not null as ran from e t left join run r using (trigger_id)",
         "e as (select *, epoch_us(start_time) as s, epoch_us(start_time) + duration_us as f from triggers), "
-        "nx as (select a.trigger_id, b.trigger_id as nxt from e a asof join e b on a.job_id = b.job_id and a.f <= b.s), "
+        "nx as (select a.trigger_id, min(b.trigger_id) as nxt from e a join e b on a.job_id = b.job_id and a.f <= b.s group by 1), "
         "run as (select min(trigger_id) as trigger_id from e group by job_id union all select nx.nxt from run join nx using (trigger_id))",
         recursive=True,
     ),
