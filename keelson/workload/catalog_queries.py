@@ -22,17 +22,16 @@ def flat(df):
     return df.withColumn("target_tables", encode_tables("target_tables"))
 
 
-def run_log(spark, sf_dir):
-    """Each record twice: its start and its end, as an append-only log would hold them."""
-    rows = history(spark, sf_dir)
-    started = rows.withColumn("seq", F.lit(1).cast("bigint"))
-    started = (
-        started.withColumn("status", F.lit("IN_PROGRESS"))
-        .withColumn("end_time", F.lit(None).cast("timestamp_ntz"))
-        .withColumn("error_message", F.lit("pending"))
-        .withColumn("file_size_bytes", F.lit(0).cast("bigint"))
+def run_log(rows):
+    """Each record twice: its start and its end, as an append-only log holds them."""
+    both = rows.withColumn("seq", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    started = F.col("seq") == 1
+    return (
+        both.withColumn("status", F.when(started, F.lit("IN_PROGRESS")).otherwise(F.col("status")))
+        .withColumn("end_time", F.when(~started, F.col("end_time")))
+        .withColumn("error_message", F.when(started, F.lit("pending")).otherwise(F.col("error_message")))
+        .withColumn("file_size_bytes", F.when(started, F.lit(0).cast("bigint")).otherwise(F.col("file_size_bytes")))
     )
-    return started.unionByName(rows.withColumn("seq", F.lit(2).cast("bigint")))
 
 
 @query("p1_history_filter", duck_history(f"select {FLAT} from raw_history where profile_name = 'db0'"))
@@ -265,7 +264,7 @@ def catalog_schema(spark, sf_dir):
 
 @query("c2_upsert", duck_history(f"select {FLAT} from raw_history"))
 def upsert(spark, sf_dir):
-    return flat(C.current(run_log(spark, sf_dir)))
+    return flat(C.current(run_log(history(spark, sf_dir))))
 
 
 @query("c3_table_lists", duck_history(f"select id, {TABLES} as tables, cast(len({LIST}) as integer) as n from raw_history"))

@@ -67,14 +67,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history_of(events: DataFrame) -> DataFrame:
+    """Catalog rows with decoded table lists, from a batch or a stream of events."""
     text = f"with {HISTORY.format(**SPARK)} select {', '.join(CATALOG_COLUMNS)} from raw_history"
-    return spark.sql(text.replace("from events", "from {events}"), events=table(spark, sf_dir, "events"))
+    rows = events.sparkSession.sql(text.replace("from events", "from {events}"), events=events)
+    return decode_records(rows)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog rows with decoded table lists."""
-    return decode_records(raw_history(spark, sf_dir))
+    return history_of(table(spark, sf_dir, "events"))
 
 
 def triggers(spark: SparkSession, sf_dir: str, scale: int = 100_000) -> DataFrame:
