@@ -94,8 +94,8 @@ def store_table(df: DataFrame, path: str, fmt: str = "parquet", compressed: bool
     codec = {"orc": "zlib"}.get(fmt, "gzip") if compressed else "none"
     writer = df.write.mode("overwrite").option("compression", codec)
     if fmt == "csv":
-        # quote everything and keep null apart from the empty text
-        writer = writer.option("header", "true").option("nullValue", "\\N").option("emptyValue", "").option("escape", '"')
+        # null has its own mark, so that it stays apart from the empty text
+        writer = writer.option("header", "true").option("nullValue", "\\N").option("escape", '"')
     writer.option("timestampNTZFormat", TEXT_TIME).format(fmt).save(path)
     return path
 
