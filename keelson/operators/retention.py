@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keelson.functions.text import blank_to_null, uri_scheme
 from keelson.operators.chains import effective_chain
 from keelson.plans.scans import running_rank, top_per_key
+from keelson.session import materialise
 
 #: Above this literal Spark no longer limits each partition before the shuffle; rank by slices instead.
 MAX_PUSHED_LIMIT = 1000
@@ -97,7 +98,8 @@ def delete_set(
     """Records to delete under one rule for all databases. ``statuses`` limits which records are looked at."""
     seen = records if statuses is None else records.filter(F.col("status").isin(*statuses))
     resolved = effective_chain(seen)
-    doomed = doomed_cohorts(cohorts(resolved), asof, keep_last, retention_days)
+    groups = materialise(cohorts(resolved), "cohorts")
+    doomed = doomed_cohorts(groups, asof, keep_last, retention_days)
     return members_of(resolved, doomed)
 
 
@@ -109,7 +111,7 @@ def delete_set_by_rule(records: DataFrame, rules: DataFrame, asof: Column) -> Da
     valid, _ = split_rules(rules)
     valid = valid.filter("keep_last is not null or retention_days is not null")
     resolved = effective_chain(records)
-    ranked = running_rank(cohorts(resolved), ["db"], newest_first())
+    ranked = running_rank(materialise(cohorts(resolved), "cohorts"), ["db"], newest_first())
     ruled = ranked.join(valid.select("db", "keep_last", "retention_days"), "db")
     by_count = F.coalesce(F.col("rank") <= F.col("keep_last"), F.lit(False))
     by_age = F.coalesce(fresh_enough(asof, F.col("retention_days")), F.lit(False))
@@ -126,6 +128,7 @@ def cleanup_set(current: DataFrame, asof: Column) -> DataFrame:
 
 def object_delete_plan(doomed: DataFrame, catalog: DataFrame) -> DataFrame:
     """(uri, scheme) that only deleted records use. Rows stay in the catalog; objects shared with a kept row stay too."""
+    doomed = materialise(doomed.select("id", "destination_uri"), "doomed")
     gone = doomed.filter("destination_uri is not null").select("destination_uri").distinct()
     kept = catalog.join(doomed.select("id"), "id", "left_anti").filter("destination_uri is not null")
     free = gone.join(kept.select("destination_uri"), "destination_uri", "left_anti")

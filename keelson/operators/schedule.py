@@ -97,7 +97,7 @@ def missed_runs(expected: DataFrame, runs: DataFrame, tolerance_minutes: int) ->
 
     Fire times and runs are put in one time order per job and each fire time looks at the next run, so no pairs are made.
     """
-    fires = expected.select("job_id", F.col("fire_time").alias("at"), F.lit(0).alias("kind"))
+    fires = materialise(expected.select("job_id", F.col("fire_time").alias("at"), F.lit(0).alias("kind")), "fires")
     seen = runs.select("job_id", F.col("start_time").alias("at"), F.lit(1).alias("kind"))
     cut = slice_rows(fires.unionAll(seen), ["job_id"], [F.col("at").asc(), F.col("kind").asc()])
     run_at = F.when(F.col("kind") == 1, F.col("at"))

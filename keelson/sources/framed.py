@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import crypto
 from keelson.operators.segments import length_verdict
-from keelson.sources.listing import arrow_uri, open_object
+from keelson.sources.listing import locate, open_object, spread_tasks
 
 FRAME_SCHEMA = "path string, salt binary, base_iv binary, segment_index bigint, offset bigint, length bigint, file_bytes bigint"
 
@@ -24,11 +24,9 @@ def write_streams(streams: DataFrame, root: str, name: str = "part", content: st
     """
 
     def write(batches: Iterator) -> Iterator:
-        from pyarrow import fs
-
         import pandas as pd
 
-        system, folder = fs.FileSystem.from_uri(arrow_uri(root))
+        system, folder = locate(home)
         system.create_dir(folder, recursive=True)
         for batch in batches:
             done = []
@@ -36,9 +34,10 @@ def write_streams(streams: DataFrame, root: str, name: str = "part", content: st
                 target = f"{folder}/{label}.enc"
                 with system.open_output_stream(target) as out:
                     out.write(data)
-                done.append((f"{root}/{label}.enc", len(data)))
+                done.append((f"{home}/{label}.enc", len(data)))
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
+    home = root if ":" in root else f"file:{root}"
     rows = streams.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content"))
     return rows.mapInPandas(write, "path string, bytes bigint")
 
@@ -54,30 +53,30 @@ def scan_frames(listing: DataFrame) -> DataFrame:
         import pandas as pd
 
         names = [f.split()[0] for f in FRAME_SCHEMA.split(", ")]
+        frames = []
         for batch in batches:
             for path, total in zip(batch["path"], batch["length"]):
-                frames = []
                 with open_object(path) as stream:
                     head = stream.read(crypto.HEADER_BYTES)
                     if len(head) < crypto.HEADER_BYTES or head[:4].hex().upper() != crypto.MAGIC:
-                        yield pd.DataFrame([(path, None, None, -1, 0, 0, total)], columns=names)
+                        frames.append((path, None, None, -1, 0, 0, total))
                         continue
-                    salt, base = head[4:20], head[20:32]
                     at, index = crypto.HEADER_BYTES, 0
                     while at + 4 <= total:
                         stream.seek(at)
                         length = int.from_bytes(stream.read(4), "big", signed=True)
-                        frames.append((path, salt, base, index, at + 4, length, total))
+                        frames.append((path, head[4:20], head[20:32], index, at + 4, length, total))
                         if length <= 0 or length > crypto.MAX_SEGMENT_BYTES:
                             break
                         at, index = at + 4 + length, index + 1
-                        if len(frames) == FRAMES_PER_BATCH:
+                        if len(frames) >= FRAMES_PER_BATCH:
                             yield pd.DataFrame(frames, columns=names)
                             frames = []
-                if frames:
-                    yield pd.DataFrame(frames, columns=names)
+        if frames:
+            yield pd.DataFrame(frames, columns=names)
 
-    return listing.select("path", "length").mapInPandas(scan, FRAME_SCHEMA)
+    spread = listing.select("path", "length").repartition(spread_tasks(listing), "path")
+    return spread.mapInPandas(scan, FRAME_SCHEMA)
 
 
 def with_verdict(frames: DataFrame) -> DataFrame:
@@ -127,9 +126,7 @@ def read_segments(frames: DataFrame, spread: int | None = None) -> DataFrame:
             yield batch.assign(payload=data)
 
     whole = with_verdict(frames).filter("verdict = 'SEGMENT'").drop("verdict", "file_bytes")
-    columns = ["path", "segment_index"]
-    spreaded = whole.repartition(spread, *columns) if spread else whole.repartition(*columns)
-    return spreaded.mapInPandas(
+    return whole.repartition(spread or spread_tasks(frames), "path", "segment_index").mapInPandas(
         fetch, "path string, salt binary, base_iv binary, segment_index bigint, offset bigint, length bigint, payload binary"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from keelson.functions.text import SCHEME_PROVIDERS, blank_to_null, uri_bucket,
 GZIP_MAGIC = "1F8B"
 STALE_MINUTES = 15
 
+#: Schemes whose first path element is the bucket.
+BUCKET_SCHEMES = {"s3", "gs", "gcs", "abfs", "abfss"}
+
 
 def list_objects(spark: SparkSession, prefix: str, missing_ok: bool = False) -> DataFrame | None:
     """(path, length, modified) of every file below a folder; contents are not read."""
@@ -33,19 +37,34 @@ def list_prefix(spark: SparkSession, folder: str, name_prefix: str) -> DataFrame
     return listed.filter(F.startswith(uri_path("path"), F.regexp_replace(start, "^file:(//)?", "")))
 
 
-def open_object(uri: str):
-    """A seekable file on whatever file system the URI names; used inside tasks for small ranged reads."""
+@lru_cache(maxsize=64)
+def _file_system(root: str):
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(arrow_uri(uri))
+    return fs.FileSystem.from_uri(root)[0]
+
+
+def locate(uri: str):
+    """(file system, path in it) of a URI. One client per store and worker, however many objects it opens."""
+    scheme, _, rest = uri.partition(":")
+    host, path = "", rest
+    if rest.startswith("//"):
+        host, slash, path = rest[2:].partition("/")
+        path = slash + path
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    inner = host + path if scheme in BUCKET_SCHEMES else path
+    return _file_system(f"{scheme}://{host}/"), inner
+
+
+def open_object(uri: str):
+    """A seekable file on whatever file system the URI names; used inside tasks for small ranged reads."""
+    system, inner = locate(uri)
     return system.open_input_file(inner)
 
 
-def arrow_uri(uri: str) -> str:
-    """Spark lists local files as ``file:/x``; Arrow wants ``file:///x``."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        return "file://" + uri[len("file:"):]
-    return uri
+def spread_tasks(df: DataFrame) -> int:
+    """Tasks for per-object work. Given as a number: rows that only name objects are tiny and would be merged into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def provider_table(spark: SparkSession) -> DataFrame:
@@ -113,7 +132,7 @@ def sniff_files(listing: DataFrame) -> DataFrame:
             yield batch.assign(head=heads)
 
     schema = "path string, length bigint, head binary"
-    heads = listing.select("path", "length").mapInPandas(first_bytes, schema)
+    heads = listing.select("path", "length").repartition(spread_tasks(listing), "path").mapInPandas(first_bytes, schema)
     return heads.select("path", "length", codec_of("head").alias("codec"))
 
 

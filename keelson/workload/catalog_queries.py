@@ -251,7 +251,7 @@ def run_summary(spark, sf_dir):
     return C.run_summary(history(spark, sf_dir).dropna(subset=["profile_name", "file_size_bytes", "destination_uri"]))
 
 
-@query("c1_catalog_schema")
+@query("c1_catalog_schema", duck_history(f"select {FLAT} from raw_history"))
 def catalog_schema(spark, sf_dir):
     """A catalog folder made from the history: what is stored has the catalog's columns."""
     from keelson.plans.backup import Catalog
@@ -259,7 +259,7 @@ def catalog_schema(spark, sf_dir):
 
     catalog = Catalog(spark, scratch_path(spark, "catalog"))
     catalog.append(history(spark, sf_dir))
-    return catalog.current()
+    return flat(catalog.current())
 
 
 @query("c2_upsert", duck_history(f"select {FLAT} from raw_history"))
