@@ -17,6 +17,9 @@ MAX_PUSHED_LIMIT = 1000
 CLEANUP_HISTORY = 1000
 CLEANUP_KEEP = 5
 
+#: Groups a database's history is limited in before the last limit.
+CLEANUP_SALTS = 64
+
 
 def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) rules: keep-last must be positive when set, days must not be negative when set."""
@@ -122,7 +125,7 @@ def cleanup_set(current: DataFrame, asof: Column) -> DataFrame:
     """What the automatic cleanup takes: newest history rows per database only, a fixed number of chains kept."""
     order = [F.col("start_time").desc_nulls_last(), F.col("id").asc()]
     named = current.filter(blank_to_null("profile_name").isNotNull())
-    recent = top_per_key(named, ["profile_name"], order, CLEANUP_HISTORY).drop("rank")
+    recent = top_per_key(named, ["profile_name"], order, CLEANUP_HISTORY, salts=CLEANUP_SALTS).drop("rank")
     return delete_set(recent, asof, keep_last=CLEANUP_KEEP)
 
 
@@ -131,5 +134,6 @@ def object_delete_plan(doomed: DataFrame, catalog: DataFrame) -> DataFrame:
     doomed = materialise(doomed.select("id", "destination_uri"), "doomed")
     gone = doomed.filter("destination_uri is not null").select("destination_uri").distinct()
     kept = catalog.join(doomed.select("id"), "id", "left_anti").filter("destination_uri is not null")
-    free = gone.join(kept.select("destination_uri"), "destination_uri", "left_anti")
+    # distinct first: an object that many kept rows share must not become one task's work
+    free = gone.join(kept.select("destination_uri").distinct(), "destination_uri", "left_anti")
     return free.select(F.col("destination_uri").alias("uri"), uri_scheme("destination_uri").alias("scheme"))

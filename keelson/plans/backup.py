@@ -165,14 +165,21 @@ def restore_steps(records: DataFrame, target_id: str, any_status: bool = False)
 
 
 def restore_table(
-    catalog: Catalog, target_id: str, table: TrackedTable, root: str, database: str, any_status: bool = False
+    catalog: Catalog,
+    target_id: str,
+    table: TrackedTable,
+    root: str,
+    database: str,
+    any_status: bool = False,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """One table as it was at the target backup. All steps are read and replayed in a single job.
 
     The lineage is joined to the snapshots' folder column, so folders of other backups are pruned while running.
+    With a ``schema`` no file footers are read to find the columns.
     """
     lineage = restore_steps(catalog.current(), target_id, any_status).select(F.col("id").alias("backup_id"), "step")
-    steps = read_snapshots(catalog.spark, root, database, table.name)
+    steps = read_snapshots(catalog.spark, root, database, table.name, schema)
     return replay(steps.join(lineage, "backup_id").drop("backup_id"), table)
 
 

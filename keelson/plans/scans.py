@@ -31,10 +31,19 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows per key in ``order`` with their ``rank``. ``n`` is a literal, so the limit is pre-applied."""
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 1) -> DataFrame:
+    """First ``n`` rows per key in ``order`` with their ``rank``. ``n`` is a literal, so each input partition is limited first.
+
+    What is left of a hot key is n rows per input partition. With ``salts`` these are first limited in that
+    many groups of the key, which leaves n rows per salt for the last task.
+    """
+    rows = df
+    if salts > 1:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        window = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = salted.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.lit(n)).drop("_salt", "rank")
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.lit(n))
+    return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.lit(n))
 
 
 def largest_key(df: DataFrame, keys: Sequence[str]) -> int:

@@ -92,13 +92,15 @@ def split_uri(objects: DataFrame, uri: str = "uri") -> DataFrame:
 def missing_objects(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     """Successful records whose object is not in the listing."""
     done = catalog.filter("status = 'SUCCESS' and destination_uri is not null")
-    return done.join(listing, done["destination_uri"] == listing["path"], "left_anti")
+    there = listing.select("path").distinct()
+    return done.join(there, F.col("destination_uri") == F.col("path"), "left_anti")
 
 
 def orphan_objects(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     """Listed objects no record names."""
-    named = catalog.filter("destination_uri is not null").select("destination_uri")
-    return listing.join(named, listing["path"] == named["destination_uri"], "left_anti")
+    # records may share an object: distinct combines them before the shuffle
+    named = catalog.filter("destination_uri is not null").select("destination_uri").distinct()
+    return listing.join(named, F.col("path") == F.col("destination_uri"), "left_anti")
 
 
 def with_existence(catalog: DataFrame, listing: DataFrame) -> DataFrame:

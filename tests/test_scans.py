@@ -59,6 +59,13 @@ def test_top_per_key_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(top) and "Partial" in plan(top)
 
 
+def test_salted_top_per_key(spark):
+    df = skewed(spark)
+    order = [F.col("v").desc(), F.col("id").asc()]
+    assert rows(top_per_key(df, ["k"], order, 40, salts=8), "k", "id", "rank") == rows(top_per_key(df, ["k"], order, 40), "k", "id", "rank")
+    assert plan(top_per_key(df, ["k"], order, 1000, salts=8)).count("WindowGroupLimit") >= 4
+
+
 def brute_queue(triggers):
     out, free = {}, {}
     for tid, job, s, d in sorted(triggers, key=lambda t: (t[2], t[0])):
