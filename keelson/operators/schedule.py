@@ -101,8 +101,8 @@ def missed_runs(expected: DataFrame, runs: DataFrame, tolerance_minutes: int) ->
     seen = runs.select("job_id", F.col("start_time").alias("at"), F.lit(1).alias("kind"))
     cut = slice_rows(fires.unionAll(seen), ["job_id"], [F.col("at").asc(), F.col("kind").asc()])
     run_at = F.when(F.col("kind") == 1, F.col("at"))
-    ahead = cut.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    here = cut.rows.withColumn("_next", F.first(run_at, ignorenulls=True).over(ahead))
+    ahead = cut.ahead(F.col("at").desc(), F.col("kind").desc())
+    here = cut.rows.withColumn("_next", F.last(run_at, ignorenulls=True).over(ahead))
     both = cut.with_carry(
         here, {"_first": F.min(run_at)}, {"_later": lambda w: F.last("_first", ignorenulls=True).over(w)}, backward=True
     )
@@ -240,11 +240,11 @@ def _next_free(rows: DataFrame) -> DataFrame:
         "trigger_id",
         F.lit(1).alias("sub"),
     )
-    order = [F.col(c).asc() for c in ("at", "kind", "trigger_id", "sub")]
-    cut = slice_rows(starts.unionAll(ends), ["job_id", "island"], order)
-    ahead = cut.window().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order = ("at", "kind", "trigger_id", "sub")
+    cut = slice_rows(starts.unionAll(ends), ["job_id", "island"], [F.col(c).asc() for c in order])
+    ahead = cut.ahead(*[F.col(c).desc() for c in order])
     start_id = F.when(F.col("sub") == 0, F.col("trigger_id"))
-    here = cut.rows.withColumn("_next", F.first(start_id, ignorenulls=True).over(ahead))
+    here = cut.rows.withColumn("_next", F.last(start_id, ignorenulls=True).over(ahead))
     first = F.min_by("trigger_id", F.when(F.col("sub") == 0, F.struct("at", "kind", "trigger_id")))
     both = cut.with_carry(
         here, {"_first": first}, {"_later": lambda w: F.last("_first", ignorenulls=True).over(w)}, backward=True

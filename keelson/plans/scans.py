@@ -65,6 +65,15 @@ class Sliced:
         """The window for work inside one slice of one key."""
         return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
 
+    def ahead(self, *order: Column) -> WindowSpec:
+        """The frame from the end of the slice back to the current row; ``order`` is the reverse of the slice's order.
+
+        A frame that reaches forward to the end is recomputed for every row; read backwards it is one pass, and
+        the nearest row ahead is the last one seen.
+        """
+        window = Window.partitionBy(*self.keys, SLICE).orderBy(*order)
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
     def with_carry(
         self,
         rows: DataFrame,

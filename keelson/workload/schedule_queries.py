@@ -141,7 +141,10 @@ def missed_runs(spark, sf_dir):
     duck_triggers(
         "select t.trigger_id, t.job_id, r.trigger_id is not null as ran from e t left join run r using (trigger_id)",
         "e as (select *, epoch_us(start_time) as s, epoch_us(start_time) + duration_us as f from triggers), "
-        "nx as (select a.trigger_id, min(b.trigger_id) as nxt from e a join e b on a.job_id = b.job_id and a.f <= b.s group by 1), "
+        "ev as (select trigger_id, job_id, s as spot, 1 as kind, 0 as sub from e union all select trigger_id, job_id, f, 0, 1 from e), "
+        # trigger ids rise with time, so the least id ahead is the next trigger
+        "nx as (select trigger_id, nxt from (select trigger_id, sub, min(case when sub = 0 then trigger_id end) over (partition by job_id "
+        "order by spot, kind, trigger_id rows between current row and unbounded following) as nxt from ev) x where sub = 1 and nxt is not null), "
         "run as (select min(trigger_id) as trigger_id from e group by job_id union all select nx.nxt from run join nx using (trigger_id))",
         recursive=True,
     ),
