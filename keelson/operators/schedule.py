@@ -78,14 +78,16 @@ def expected_runs(jobs: DataFrame, begin: str, end: str) -> DataFrame:
     number of fire times and not the number of minutes in the range.
     """
     first, stop = F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    parsed, _ = split_cron(schedulable(jobs))
+    named = schedulable(jobs)
     days = F.filter(
         F.sequence(first.cast("date"), stop.cast("date")),
         lambda d: F.array_contains("month", F.month(d))
         & F.array_contains("day", F.dayofmonth(d))
         & F.array_contains("weekday", F.dayofweek(d) - 1),
     )
-    timed = parsed.select("job_id", "hour", "minute", "second", F.explode(days).alias("_day"))
+    # the days are found once per cron text, before the jobs that share it are joined
+    calendar = parsed_cron(named).dropna(subset=list(CRON_FIELDS)).select("cron", "hour", "minute", "second", days.alias("days"))
+    timed = named.join(calendar, "cron").select("job_id", "hour", "minute", "second", F.explode("days").alias("_day"))
     for name in ("hour", "minute", "second"):
         timed = timed.withColumn(name, F.explode(name))
     at = F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"), F.col("minute"), F.col("second"))

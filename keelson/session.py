@@ -24,6 +24,8 @@ def build_session(app_name: str = "keelson", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        # stored files are compressed: judge what may be broadcast by what it becomes in memory
+        "spark.sql.sources.fileCompressionFactor": "4.0",
         # keys given to aes_encrypt are literals: keep them out of plans and event logs
         "spark.sql.redaction.string.regex": "(?i)aes_(en|de)crypt.*",
     }
