@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from keelson.operators import catalog as C
 from keelson.operators import chains as K
 from keelson.operators.replay import replay
+from keelson.operators.retention import cleanup_set, object_delete_plan
 from keelson.plans.scans import latest_per_key
 from keelson.sources.listing import list_objects
 from keelson.sources.snapshots import TrackedTable, full_rows, read_snapshots, rows_between, segment_name, write_snapshot
@@ -92,7 +93,7 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         start_time=started,
         duration_ms=0,
         file_size_bytes=0,
-        destination_uri=f"{request.root.rstrip('/')}/{segment_name(request.database)}",
+        destination_uri=run_uri(request.root, request.database, backup_id),
         status="IN_PROGRESS",
         last_position=str(request.cut),
     )
@@ -120,7 +121,7 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
     finally:
         record["end_time"] = datetime.now()
         record["duration_ms"] = int((record["end_time"] - started).total_seconds() * 1000)
-        record["file_size_bytes"] = stored_bytes(spark, request.root, request.database, backup_id)
+        record["file_size_bytes"] = stored_bytes(spark, record["destination_uri"])
         catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
 
 
@@ -129,13 +130,22 @@ def _log_row(record: dict[str, Any]) -> tuple:
     return tuple(values[name] for name in LOG_SCHEMA.fieldNames())
 
 
-def stored_bytes(spark: SparkSession, root: str, database: str, backup_id: str) -> int:
-    """Bytes of a run's files as stored, after compression."""
-    listing = list_objects(spark, f"{root.rstrip('/')}/{segment_name(database)}", missing_ok=True)
-    if listing is None:
-        return 0
-    mine = listing.filter(F.col("path").contains(f"/backup_id={backup_id}/"))
-    return int(mine.agg(F.sum("length").alias("n")).first()["n"] or 0)
+def run_uri(root: str, database: str, backup_id: str) -> str:
+    """The folders of one run, of all its tables, as one path pattern. No two runs share it."""
+    return f"{root.rstrip('/')}/{segment_name(database)}/*/backup_id={backup_id}"
+
+
+def stored_bytes(spark: SparkSession, uri: str) -> int:
+    """Bytes of a run's files as stored, after compression. Only the run's own folders are listed."""
+    listing = list_objects(spark, uri, missing_ok=True)
+    return 0 if listing is None else int(listing.agg(F.sum("length").alias("n")).first()["n"] or 0)
+
+
+def cleanup_plan(catalog: Catalog, database: str, asof: datetime) -> DataFrame:
+    """(uri, scheme) of what the automatic cleanup after a successful run of the database may remove."""
+    records = catalog.current()
+    doomed = cleanup_set(C.only_database(records, database), F.lit(asof).cast("timestamp_ntz"))
+    return object_delete_plan(doomed, records)
 
 
 def start_position(known: DataFrame, request: BackupRequest, parent_position: str | None) -> str | None:

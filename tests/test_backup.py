@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from keelson.operators import catalog as C
 from keelson.operators.replay import fingerprint, multiset_difference, replay, snapshot_diff, union_steps
-from keelson.plans.backup import BackupRequest, Catalog, ChainError, restore_database, restore_steps, restore_table, run_backup
+from keelson.plans.backup import BackupRequest, Catalog, ChainError, cleanup_plan, restore_database, restore_steps, restore_table, run_backup
 from keelson.session import scratch_path
 from keelson.sources import listing as L
 from keelson.sources import tables as S
@@ -53,6 +53,18 @@ def test_chain_of_runs(spark):
     assert dict(rows(stored.groupBy("backup_id").count())) == {"b1": 3, "b2": 2, "b3": 3, "b4": 1}
 
 
+def test_cleanup_plan_names_whole_chains(spark):
+    root = scratch_path(spark, "clean")
+    catalog = Catalog(spark, f"{root}/catalog")
+    for n in range(7):
+        run_backup(catalog, BackupRequest("db", [ITEMS], 10, root, backup_id=f"f{n}"), lambda name: newest_until(spark, 10))
+    plan = cleanup_plan(catalog, "db", datetime(2030, 1, 1))
+    uris = [r["uri"] for r in plan.orderBy("uri").collect()]
+    assert uris == [f"{root}/db/*/backup_id=f0", f"{root}/db/*/backup_id=f1"]
+    assert L.list_objects(spark, uris[0]).filter("path like '%/part-%'").count() > 0
+    assert cleanup_plan(catalog, "other", datetime(2030, 1, 1)).count() == 0
+
+
 def test_restore_into_target_and_selection(spark):
     root, catalog, _ = chain(spark)
     seen = {}
