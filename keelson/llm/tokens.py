@@ -26,43 +26,21 @@ def _visible_bytes() -> dict[int, str]:
     return out
 
 
-class WordTokenizer:
-    """Ids of the lower-casing, white-space-dropping word tokenizer, word by word.
-
-    White space ends a token, so the ids of a text are the ids of its words one after another. Latin words are split and
-    merged directly; any other word, and any word that may hold a special token, goes through the whole tokenizer.
-    """
+class WordIds:
+    """Ids of words, learnt once each by ``ids_of`` and then looked up for whole arrays of words."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.alphabet = {k: v for k, v in _visible_bytes().items()}
+    def __init__(self) -> None:
         self.clear()
 
+    def ids_of(self, word: bytes) -> list[int]:
+        raise NotImplementedError
+
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = 0
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            visible = "".join(map(self.alphabet.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(visible)]
-        return ids
-
-    def ids_of(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if max(text) < "ɐ" and "<|" not in text and "İ" not in text and not any(c.isspace() for c in text):
-            parts = SPLIT.findall(text.lower())
-            return self._part(parts[0]) if len(parts) == 1 else [i for part in parts for i in self._part(part)]
-        return self.whole.encode(text, add_special_tokens=False).ids
-
     def _learn(self, found: list[bytes]) -> None:
         for word in found:
             ids = self.ids_of(word)
@@ -77,23 +55,60 @@ class WordTokenizer:
             self.start[n + 1] = self.size
             self.code[word] = n
 
-    def encode(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each word has."""
-        # only A-Z is lowered here: a special token is told by its case
-        known = [w.lower() if b"<|" not in w else w for w in raw]
-        new = set(known).difference(self.code)
+        new = set(found).difference(self.code)
         if len(self.code) + len(new) > WORDS_KEPT:
             self.clear()
-            new = set(known)
+            new = set(found)
         if new:
             self._learn(list(new))
-        codes = np.fromiter(map(self.code.__getitem__, known), np.int64, len(known))
+        codes = np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))
         begin = self.start[codes]
         count = self.start[codes + 1] - begin
         before = np.cumsum(count) - count
         return self.flat[np.repeat(begin - before, count) + np.arange(int(count.sum()))], count
 
 
+class WordTokenizer(WordIds):
+    """Ids of the lower-casing, white-space-dropping word tokenizer, word by word.
+
+    White space ends a token, so the ids of a text are the ids of its words one after another. Latin words are split and
+    merged directly; any other word, and any word that may hold a special token, goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.alphabet = _visible_bytes()
+        super().__init__()
+
+    def clear(self) -> None:
+        super().clear()
+        self.parts: dict[str, list[int]] = {}
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            visible = "".join(map(self.alphabet.__getitem__, part.encode()))
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(visible)]
+        return ids
+
+    def ids_of(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if max(text) < "\u0250" and "<|" not in text and "\u0130" not in text and not any(c.isspace() for c in text):
+            parts = SPLIT.findall(text.lower())
+            return self._part(parts[0]) if len(parts) == 1 else [i for part in parts for i in self._part(part)]
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # only A-Z is lowered here: a special token is told by its case
+        return super().encode([w.lower() if b"<|" not in w else w for w in found])
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 
