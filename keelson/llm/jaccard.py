@@ -270,7 +270,8 @@ def links(docs: DataFrame, found: DataFrame, members: DataFrame, w: Similar) ->
 
 
 def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
-    """``doc_id``, ``k1``, ``k2`` (see ``keyed``), ``n_shingles`` and ``component_id`` of every document."""
+    """``doc_id``, ``k1``, ``k2`` (see ``keyed``), ``n_shingles``, ``root`` (the component, null for empty sets) and
+    ``component_id`` of every document."""
     rows = keyed(docs)
     found, common = vertices(rows, w)
     edges = links(rows, found, regions(rows, w, common), w)
@@ -281,5 +282,17 @@ def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
     named = named.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.coalesce("root", "vid")).alias("root"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select(
-        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "k1", "k2", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, w: Similar) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are: one of each component, of least ``doc_id``; and all rows
+    without words."""
+    named = similar(docs, w).where("root is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2"))
+    chosen = kept(named.groupBy("root").agg(first.alias("one")).select("one.k1", "one.k2"), "chosen")
+    rows = keyed(docs, carry=True).select("row", "k1", "k2", "text")
+    wordless = F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == ""
+    stays = rows.where(~wordless).join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return stays.select("row.*").union(rows.where(wordless).select("row.*"))

@@ -5,7 +5,7 @@ column with the names of the broken rules. Every step is a projection of the row
 
 Words are runs of characters other than the space and U+0009 to U+000D. A null or empty text has no words: all counts
 are 0, every ratio is 0, and it fails the word count. Rows are judged alone, so repeated rows get equal verdicts and an
-empty table gives an empty result. Only ``doc_id`` and ``text`` are read; other columns cannot clash.
+empty table gives an empty result. Only ``text`` is read; other columns are in ``row`` and cannot clash.
 """
 
 from __future__ import annotations
@@ -60,15 +60,15 @@ def _count_chars(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the signals of its whole ``text``.
+    """``row``, the columns of ``docs`` as they are, and the signals of the row's whole ``text``.
 
     Windows of five words are compared by a 64-bit hash of their words' hashes inside one text. Each array that a lambda
     looks into is a column of its own projection, so that it is built once and not once per element.
     """
     words = F.split(F.col("_trimmed"), SPACE_CLASS + "+")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.select(
-        "doc_id",
+        "row",
         F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         _count_chars(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
         _count_chars(F.col("_text"), "!?").cast("long").alias("n_marks"),
@@ -76,7 +76,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.filter(F.split("_text", "\n"), lambda line: F.length(F.btrim(line, F.lit(SPACE))) > 0).alias("_lines"),
     )
     rows = rows.select(
-        "doc_id", "word_chars", "n_symbols", "n_marks",
+        "row", "word_chars", "n_symbols", "n_marks",
         F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(words).alias("_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -157,3 +157,12 @@ def verdict(measured: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def quality(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return verdict(measure(docs), rules)
+
+
+def passing(judged: DataFrame, condition: Column) -> DataFrame:
+    """The rows of a ``verdict`` for which ``condition`` holds, as they were.
+
+    A filter would be pushed below the projections and put all arrays into one expression, where lambdas build them anew for
+    each element; a generator is not.
+    """
+    return judged.select(F.explode(F.when(condition, F.array("row"))).alias("row")).select("row.*")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from keelson.llm.text import chunks, words
 from keelson.llm.winnow import Windows, covered, with_spans
@@ -118,8 +119,8 @@ def automaton_ranges(size: int):
     return repeated
 
 
-def repeated_substrings(docs: DataFrame, w: Windows = WORDS, separator: str | None = " ") -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` of every document.
+def repeated_substrings(docs: DataFrame, w: Windows = WORDS, separator: str | None = " ", carry: bool = False) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` of every document, and its columns in ``row`` with ``carry``.
 
     Kept words are joined by ``separator``; with None, the removed words are cut out of the text and the rest stays as it is.
     """
@@ -151,8 +152,10 @@ def repeated_substrings(docs: DataFrame, w: Windows = WORDS, separator: str | No
                     else:
                         out.append((raw[a:b] if glue is None else glue.join(raw[a:b].split())).decode())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"]
+                [ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string()), *batch.columns[3:]], names
             )
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_text string"
-    return with_spans(docs, w, automaton_ranges(w.size)).mapInArrow(remove, schema)
+    names = ["doc_id", "n_words", "n_removed", "kept_text", *(["row"] if carry else [])]
+    found = with_spans(docs, w, automaton_ranges(w.size), carry)
+    kinds = [found.schema["doc_id"].dataType, LongType(), LongType(), StringType(), *([found.schema["row"].dataType] if carry else [])]
+    return found.mapInArrow(remove, StructType([StructField(n, t) for n, t in zip(names, kinds)]))

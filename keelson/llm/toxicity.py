@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_row
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names)]).dropna().dropDuplicates(["doc_id"])
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    sample = kept(docs.select("doc_id", "text").join(chosen, "doc_id"), "labelled")
+    # about max_rows short rows, whatever the input
+    sample = kept(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
     def seen(batches):
         counts = np.zeros((2 * len(names), SIZE), np.int64)

@@ -66,9 +66,9 @@ class Best(WordIds):
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         super().__init__()
 
-    def forward(self, text: str, low: int, high: int, over: int = 0) -> tuple[list[int], list[int]]:
+    def forward(self, text: str, low: int, high: int, over: int, place: list[int]) -> tuple[list[int], list[int]]:
         """Best score from ``low`` to each place up to ``high + over``, by pieces that start before ``high``; and where the
-        last piece of it starts. Places count from ``low``."""
+        last piece of it starts. Results count from ``low``; ``place`` has each character's place in its unit."""
         end = min(len(text), high + over)
         best, last = [NEVER] * (end - low + 1), [-1] * (end - low + 1)
         best[0] = 0
@@ -77,19 +77,22 @@ class Best(WordIds):
             here = best[i - low]
             if here == NEVER:
                 continue
+            odd = 2 * place[i] + 1
             for j in range(i + 1, min(end, i + longest) + 1):
                 s = get(text[i:j])
                 if s is None:
                     if j > i + 1:
                         continue
                     s = self.unknown
-                if here + s > best[j - low]:
-                    best[j - low], last[j - low] = here + s, i - low
+                own = s & (STEP - 1)
+                s += here - own + (own * odd & (STEP - 1))
+                if s > best[j - low]:
+                    best[j - low], last[j - low] = s, i - low
         return best, last
 
-    def segment(self, text: str) -> tuple[list[int], int]:
+    def segment(self, text: str, place: list[int] | range) -> tuple[list[int], int]:
         """Ids and score of the best segmentation of ``text``, marks for spaces."""
-        best, last = self.forward(text, 0, len(text))
+        best, last = self.forward(text, 0, len(text), 0, place)
         ids: list[int] = []
         at = len(text)
         while at:
@@ -100,7 +103,8 @@ class Best(WordIds):
         return ids[::-1], best[len(text)]
 
     def ids_of(self, word: bytes) -> list[int]:
-        ids, score = self.segment(word.decode())
+        text = word.decode()
+        ids, score = self.segment(text, range(len(text)))
         self.unit_score[word] = score
         return ids
 
@@ -114,15 +118,16 @@ class Best(WordIds):
         ids, _ = self.encode(found)
         return ids, sum(map(self.unit_score.__getitem__, found))
 
-    def matrix(self, text: str, size: int) -> np.ndarray:
+    def matrix(self, text: str, size: int, origin: int) -> np.ndarray:
         """Best scores from each state at the begin to each state at the end of the first ``size`` characters; ``text`` goes
-        on with what a piece can reach."""
+        on with what a piece can reach, and begins ``origin`` characters into a unit."""
         k, states = self.longest, min(self.longest, len(text) - size + 1)
         out = np.full((k, k), NEVER, np.int64)
+        place = places(text, origin)
         cuts = [m.start() for m in UNIT.finditer(text) if k <= m.start() <= size]
         if not cuts:
             for a in range(min(k, size + 1)):
-                best, _ = self.forward(text, a, size, k - 1)
+                best, _ = self.forward(text, a, size, k - 1, place)
                 for b in range(states):
                     if 0 <= size + b - a < len(best):
                         out[a, b] = best[size + b - a]
@@ -132,23 +137,24 @@ class Best(WordIds):
             return out
         low, high = cuts[0], cuts[-1]
         middle = self.units(text[low:high])[1]
-        tail, _ = self.forward(text, high, size, k - 1)
+        tail, _ = self.forward(text, high, size, k - 1, place)
         for a in range(k):
-            head = self.forward(text, a, low)[0][low - a]
+            head = self.forward(text, a, low, 0, place)[0][low - a]
             if head != NEVER:
                 for b in range(states):
                     if size + b - high < len(tail) and tail[size + b - high] != NEVER:
                         out[a, b] = head + middle + tail[size + b - high]
         return out
 
-    def between(self, text: str, low: int, high: int) -> tuple[np.ndarray, int]:
+    def between(self, text: str, low: int, high: int, origin: int) -> tuple[np.ndarray, int]:
         """Ids and score of the best segmentation of ``text[low:high]``, borders anywhere."""
-        part = text[low:high]
-        cuts = [m.start() for m in UNIT.finditer(part)][1:]
+        place = places(text, origin)
+        cuts = [m.start() for m in UNIT.finditer(text) if low < m.start() < high]
         if not cuts:
-            ids, score = self.segment(part)
+            ids, score = self.segment(text[low:high], place[low:high])
             return np.array(ids, np.uint32), score
-        (a, x), (b, y), (c, z) = self.segment(part[: cuts[0]]), self.units(part[cuts[0] : cuts[-1]]), self.segment(part[cuts[-1] :])
+        first, last = cuts[0], cuts[-1]
+        (a, x), (b, y), (c, z) = self.segment(text[low:first], place[low:first]), self.units(text[first:last]), self.segment(text[last:high], place[last:high])
         return np.concatenate([np.array(a, np.uint32), b, np.array(c, np.uint32)]), x + y + z
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -158,6 +164,26 @@ class Best(WordIds):
         return self.bytes[np.repeat(place - before, width) + np.arange(int(width.sum()))].tobytes()
 
 
+def places(text: str, origin: int) -> list[int]:
+    """Each character's place in its unit; the first unit began ``origin`` characters before ``text``."""
+    out: list[int] = []
+    for m in UNIT.finditer(text):
+        begin = origin if m.start() == 0 else 0
+        out += range(begin, begin + m.end() - m.start())
+    return out
+
+
+def unit_begin(text: str, at: int) -> int:
+    """Where the unit that holds place ``at`` begins."""
+    if text[at] == "\n":
+        return at
+    if text[at] != MARK:
+        at = max(text.rfind(MARK, 0, at), text.rfind("\n", 0, at)) + 1
+    while at and text[at - 1] == MARK:
+        at -= 1
+    return at
+
+
 _loaded: dict[str, Best] = {}
 
 
@@ -173,11 +199,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, chunk_chars: int, longest: int) -> DataFrame:
-    """``pid``, ``row`` (a document), ``part``, ``parts``, ``size`` and ``text`` of each chunk, marks for spaces."""
+    """``pid``, ``row`` (a document), ``part``, ``parts``, ``size``, ``origin`` and ``text`` of each chunk, marks for spaces."""
 
     def cut(batches):
         pid, row = TaskContext.get().partitionId(), 0
-        names = ["pid", "row", "doc_id", "part", "parts", "size", "text"]
+        names = ["pid", "row", "doc_id", "part", "parts", "size", "origin", "text"]
         for batch in batches:
             out, held = [], 0
             for at, text in enumerate(batch.column(1).to_pylist()):
@@ -186,7 +212,8 @@ def chunked(docs: DataFrame, chunk_chars: int, longest: int) -> DataFrame:
                 for part in range(parts):
                     low = part * chunk_chars
                     size = min(chunk_chars, len(text) - low)
-                    out.append((row, at, part, parts, size, text[low : low + size + longest - 1]))
+                    origin = low - unit_begin(text, low) if low else 0
+                    out.append((row, at, part, parts, size, origin, text[low : low + size + longest - 1]))
                 row += 1
                 held += len(text)
                 if held > 1 << 22:
@@ -196,14 +223,14 @@ def chunked(docs: DataFrame, chunk_chars: int, longest: int) -> DataFrame:
                 yield batch_of(out, pid, batch.column(0), names)
 
     def batch_of(out, pid, doc_ids, names):
-        row, at, part, parts, size, text = zip(*out)
+        row, at, part, parts, size, origin, text = zip(*out)
         return pa.RecordBatch.from_arrays(
             [pa.array([pid] * len(row), pa.int64()), pa.array(row, pa.int64()), doc_ids.take(pa.array(at)), pa.array(part, pa.int32()),
-             pa.array(parts, pa.int32()), pa.array(size, pa.int64()), pa.array(text, pa.string())], names
+             pa.array(parts, pa.int32()), pa.array(size, pa.int64()), pa.array(origin, pa.int64()), pa.array(text, pa.string())], names
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(cut, f"pid long, row long, doc_id {kind}, part int, parts int, size long, text string")
+    return docs.select("doc_id", "text").mapInArrow(cut, f"pid long, row long, doc_id {kind}, part int, parts int, size long, origin long, text string")
 
 
 def transfers(chunks: DataFrame, path: str) -> DataFrame:
@@ -212,10 +239,10 @@ def transfers(chunks: DataFrame, path: str) -> DataFrame:
     def make(batches):
         best = segmenter(path)
         for batch in batches:
-            got = [best.matrix(t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist())]
+            got = [best.matrix(t, n, o).tobytes() for t, n, o in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin")))]
             yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("row"), batch.column("part"), pa.array(got, pa.binary())], ["pid", "row", "part", "matrix"])
 
-    return chunks.where("parts > 1").select("pid", "row", "part", "size", "text").mapInArrow(make, "pid long, row long, part int, matrix binary")
+    return chunks.where("parts > 1").select("pid", "row", "part", "size", "origin", "text").mapInArrow(make, "pid long, row long, part int, matrix binary")
 
 
 def borders(matrices: DataFrame, longest: int) -> DataFrame:
@@ -257,8 +284,8 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
         best = segmenter(path)
         for batch in batches:
             ids, score = [], []
-            for text, size, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "enter", "leave"))):
-                a, s = best.between(text, enter, size + leave) if enter or leave or size < len(text) else best.units(text)
+            for text, size, origin, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin", "enter", "leave"))):
+                a, s = best.between(text, enter, size + leave, origin) if origin or enter or leave or size < len(text) else best.units(text)
                 ids.append(a.tobytes())
                 score.append(s)
             yield pa.RecordBatch.from_arrays(
@@ -266,7 +293,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
                 ["pid", "row", "doc_id", "part", "parts", "ids", "score"],
             )
 
-    columns = ["pid", "row", "doc_id", "part", "parts", "size", "text", "enter", "leave"]
+    columns = ["pid", "row", "doc_id", "part", "parts", "size", "origin", "text", "enter", "leave"]
     zero = F.lit(0).cast("int")
     short = chunks.where("parts = 1").select("*", zero.alias("enter"), zero.alias("leave")).select(*columns)
     schema = f"pid long, row long, doc_id {dict(docs.dtypes)['doc_id']}, part int, parts int, ids binary, score long"

@@ -149,9 +149,11 @@ def seen_twice(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and a key made of both: equal rows share it, and get equal results."""
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` (null: empty) and a key made of both: equal rows share it, and get equal results. With ``carry``,
+    all columns as they are in ``row``."""
     return docs.select(
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("doc_id", F.lit(-1)).cast("long").alias("k1"),
@@ -320,9 +322,9 @@ def covered(found, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, w: Windows, repeated: Callable[[list[bytes], list[int]], list[np.ndarray]]) -> DataFrame:
-    """``doc_id``, ``text`` and ``found`` (null where nothing repeats) of every document."""
+def with_spans(docs: DataFrame, w: Windows, repeated: Callable[[list[bytes], list[int]], list[np.ndarray]], carry: bool = False) -> DataFrame:
+    """``doc_id``, ``text`` and ``found`` (null where nothing repeats) of every document, and ``row`` with ``carry``."""
     rows = keyed(docs)
     table, size = segments(rows, w)
     spans = kept(document_spans(table, matched(table, size, w, repeated)), "spans")
-    return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "found")
+    return keyed(docs, carry).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "found", *(["row"] if carry else []))
