@@ -28,9 +28,19 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# What counts as white space in a blank test, and what is trimmed from both ends.
+NOT_BLANK = r"[^\t-\r\x1C-\x20\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"
+TRIMMED = "".join(map(chr, range(0x21)))
+
+
+def trimmed(c: Column | str) -> Column:
+    """Without control characters and spaces at both ends."""
+    return F.btrim(col(c), F.lit(TRIMMED))
+
+
 def blank_to_null(c: Column | str) -> Column:
     """Null for null, empty and whitespace-only text, otherwise the text unchanged."""
-    return F.when(F.trim(col(c)) != "", col(c))
+    return F.when(col(c).rlike(NOT_BLANK), col(c))
 
 
 def first_given(*cs: Column | str) -> Column:
@@ -40,7 +50,7 @@ def first_given(*cs: Column | str) -> Column:
 
 def decode_tables(c: Column | str) -> Column:
     """Comma text to a list: trimmed, empties dropped, null or blank gives an empty list."""
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), ","), trimmed)
     return F.filter(parts, lambda x: x != "")
 
 
@@ -62,7 +72,7 @@ def uri_scheme(c: Column | str) -> Column:
     uri = col(c)
     return (
         F.when(blank_to_null(uri).isNull(), F.lit("file"))
-        .when(F.instr(uri, ":") > 0, F.lower(F.trim(F.substring_index(uri, ":", 1))))
+        .when(F.instr(uri, ":") > 0, F.lower(trimmed(F.substring_index(uri, ":", 1))))
         .otherwise(F.lit("file"))
     )
 
@@ -83,6 +93,6 @@ def uri_key(c: Column | str) -> Column:
 
 def normal_cron(c: Column | str) -> Column:
     """Six-field cron text; a five-field one gets second 0, a missing one runs hourly."""
-    text = F.trim(col(c))
+    text = trimmed(c)
     fields = F.size(F.split(text, r"\s+"))
     return F.when(col(c).isNull(), F.lit("0 0 * * * *")).when(fields == 5, F.concat(F.lit("0 "), text)).otherwise(text)

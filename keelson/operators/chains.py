@@ -20,9 +20,17 @@ ROOT, DANGLING, CYCLE = "ROOT", "DANGLING", "CYCLE"
 
 
 def _nodes(records: DataFrame, stop: Column, answer: Column, ok: Column) -> DataFrame:
-    """Walk state per id: where the pointer stands, how far it came, and whether the walk is over."""
+    """Walk state per id: where the pointer stands, how far it came, and whether the walk is over.
+
+    Of several rows with one id the earliest started counts.
+    """
     parent = blank_to_null("parent_backup_id")
-    return records.filter(F.col("id").isNotNull()).select(
+    first = F.struct(
+        F.col("start_time").isNull(), "start_time", F.coalesce("parent_backup_id", F.lit("")), F.coalesce("backup_chain_id", F.lit("")), F.coalesce("status", F.lit(""))
+    )
+    seen = ["parent_backup_id", "backup_chain_id", "status"]
+    one = records.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct(*seen), first).alias("_row"))
+    return one.select("id", "_row.*").select(
         "id",
         parent.alias("ptr"),
         F.when(parent.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("dist"),
@@ -122,13 +130,17 @@ def scope_violations(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 def effective_chain(records: DataFrame) -> DataFrame:
     """``records`` with ``eff_chain``: first chain id met on the way to the root, or the root's id.
 
-    A walk that ends at an unknown parent or in a cycle gives the record's own parent id.
+    A walk that ends at an unknown parent or in a cycle gives the record's own parent id. Each row starts from its own
+    chain and parent, so rows that share an id, or have none, get their own answer and are never multiplied.
     """
-    own = blank_to_null("backup_chain_id")
+    own, parent = blank_to_null("backup_chain_id"), blank_to_null("parent_backup_id")
     walked, _ = _walk(_nodes(records, own.isNotNull(), F.coalesce(own, F.col("id")), F.lit(True)))
     found = walked.filter(F.col("end") == ROOT).select(F.col("id").alias("_wid"), F.col("answer").alias("_answer"))
-    joined = records.join(found, F.col("id") == F.col("_wid"), "left")
-    return joined.withColumn("eff_chain", F.coalesce("_answer", "parent_backup_id", "id")).drop("_wid", "_answer")
+    # a row that has its answer asks nothing
+    asked = records.withColumn("_ask", F.when(own.isNull(), parent))
+    joined = asked.join(found, F.col("_ask") == F.col("_wid"), "left")
+    answer = F.coalesce(own, F.when(parent.isNull(), F.col("id")).otherwise(F.coalesce("_answer", "parent_backup_id")))
+    return joined.withColumn("eff_chain", answer).drop("_ask", "_wid", "_answer")
 
 
 def _rooted(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

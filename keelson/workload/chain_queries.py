@@ -285,8 +285,7 @@ def rule_from_settings(spark, sf_dir):
         "select e.id, e.db, e.eff_chain from eff e join ranked r on e.db = r.db and e.eff_chain = r.eff_chain where r.rank > 5",
         COHORTS.replace(
             "from raw_history)",
-            "from (select *, row_number() over (partition by profile_name order by start_time desc, id) as rn from raw_history "
-            "where trim(profile_name) <> '') x where rn <= 1000)",
+            "from raw_history where trim(profile_name) <> '')",
         ),
         recursive=True,
     ),

@@ -15,15 +15,24 @@ SIZE = 1000
 
 
 def payloads(spark, sf_dir):
-    """Every document's text as bytes; the document is the part."""
+    """Every document's text as bytes, some of them empty; the document is the part."""
+    text = F.when(F.col("doc_id") % 13 == 5, F.lit("")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select(
-        F.lit("b-docs").alias("backup_id"), F.col("doc_id").alias("part"), F.encode("text", "UTF-8").alias("payload")
+        F.lit("b-docs").alias("backup_id"), F.col("doc_id").alias("part"), F.encode(text, "UTF-8").alias("payload")
     )
 
 
+#: The documents as the payloads hold them: every thirteenth is empty.
+DOCS = "(select doc_id, case when doc_id % 13 = 5 then '' else text end as text from documents)"
+
+
+def backup_keys(spark):
+    return crypto.backup_keys(spark, "correct horse", {name: crypto.new_salt() for name in ("b-docs", "b-items", "b-more")})
+
+
 PIECES = (
     f"pieces as (select part, i as segment_index, array_slice(b, cast(i * {SIZE} + 1 as bigint), cast((i + 1) * {SIZE} as bigint)) as payload from "
-    f"(select doc_id as part, encode(text) as b, unnest(range(cast(ceil(strlen(text) / {SIZE}.0) as bigint))) as i from documents) x)"
+    f"(select doc_id as part, encode(text) as b, unnest(range(cast(ceil(strlen(text) / {SIZE}.0) as bigint))) as i from {DOCS} d) x)"
 )
 
 
@@ -39,10 +48,10 @@ def segment_split(spark, sf_dir):
 def table_segments(spark, sf_dir):
     """A whole table packed, encrypted, decrypted and unpacked."""
     rows = table(spark, sf_dir, "lineitem")
-    plain = materialise(E.pack_table(rows, "b-items", size=1 << 20), "segments")
-    key, nonce = crypto.derive_key("correct horse", crypto.new_salt()), crypto.new_nonce()
-    sealed = materialise(E.encrypt_segments(plain, key, nonce), "sealed")
-    good, _ = E.decrypt_segments(sealed, key)
+    plain = materialise(E.pack_table(rows, "b-items", size=1 << 20), "segments", **E.STORED)
+    keys = backup_keys(spark)
+    sealed = materialise(E.encrypt_segments(plain, keys), "sealed", **E.STORED)
+    good, _ = E.decrypt_segments(sealed, keys)
     return E.unpack_table(good, rows.schema)
 
 
@@ -57,9 +66,9 @@ def segment_ivs(spark, sf_dir):
 
 
 def sealed_documents(spark, sf_dir):
-    key, nonce = crypto.derive_key("correct horse", crypto.new_salt()), crypto.new_nonce()
+    keys = backup_keys(spark)
     pieces = E.split_payload(payloads(spark, sf_dir), size=SIZE)
-    return materialise(E.encrypt_segments(pieces, key, nonce), "sealed"), key
+    return materialise(E.encrypt_segments(pieces, keys), "sealed"), keys
 
 
 @query("e4_encrypted_sizes", f"with {PIECES} select part, segment_index, octet_length(payload) + 28 as bytes, true as hidden from pieces")
@@ -105,11 +114,28 @@ def decrypted_segments(spark, sf_dir):
     return good.select("part", "segment_index", F.md5(F.hex("payload")).alias("digest"))
 
 
-@query("e10_reassembly", "select doc_id as part, text from documents where text <> ''")
+@query(
+    "e4_distinct_ivs",
+    f"with {PIECES} select k.name as backup_id, k.shift + part as part, segment_index, cast(1 as bigint) as uses from pieces, "
+    "(values ('b-docs', 0), ('b-docs', 4294967296), ('b-more', 0)) k(name, shift)",
+)
+def distinct_ivs(spark, sf_dir):
+    """Two backups, and parts beyond 32 bits: how many segments share a segment's key and IV."""
+    keys = backup_keys(spark)
+    pieces = E.split_payload(payloads(spark, sf_dir), size=SIZE)
+    far = pieces.withColumn("part", F.col("part") + 2**32)
+    sealed = E.encrypt_segments(pieces.union(far).union(pieces.withColumn("backup_id", F.lit("b-more"))), keys)
+    seen = E.with_keys(sealed, keys, "key").select(*E.PLACE, F.sha2("_key", 256).alias("k"), F.substring("payload", 1, 12).alias("iv"))
+    seen = materialise(seen, "ivs")
+    uses = seen.groupBy("k", "iv").agg(F.count(F.lit(1)).alias("uses"))
+    return seen.join(uses, ["k", "iv"]).select(*E.PLACE, "uses")
+
+
+@query("e10_reassembly", f"select doc_id as part, text from {DOCS} d")
 def reassembly(spark, sf_dir):
     sealed, key = sealed_documents(spark, sf_dir)
     good, _ = E.decrypt_segments(sealed, key)
-    return E.reassemble(good).select("part", F.decode("payload", "UTF-8").alias("text"))
+    return E.reassemble(good, payloads(spark, sf_dir)).select("part", F.decode("payload", "UTF-8").alias("text"))
 
 
 def missing_some(segments):
@@ -141,9 +167,7 @@ def length_sanity(spark, sf_dir):
 
 def stream_files(spark, sf_dir, damage: bool):
     """All documents as encrypted stream files of one backup, every eighth one cut short, mislabelled or with a bad length."""
-    salt, nonce = crypto.new_salt(), crypto.new_nonce()
-    key = crypto.derive_key("correct horse", salt)
-    streams = E.frame_stream(payloads(spark, sf_dir), key, salt, nonce, SIZE)
+    streams = E.frame_stream(payloads(spark, sf_dir), backup_keys(spark), SIZE)
     if damage:
         kind = F.col("part") % 8
         whole = F.octet_length("stream")
@@ -177,7 +201,7 @@ def header_check(spark, sf_dir):
 @query(
     "e7_frame_scan",
     "select doc_id as part, case doc_id % 8 when 1 then 'TRUNCATED' when 2 then 'INVALID' when 3 then 'CORRUPT' when 4 then 'TRUNCATED' else 'OK' end as report, "
-    f"case when doc_id % 8 in (2, 3, 4) then 0 else cast(ceil(strlen(text) / {SIZE}.0) as bigint) end as segments from documents",
+    f"case when doc_id % 8 in (2, 3, 4) then 0 else cast(ceil(strlen(text) / {SIZE}.0) as bigint) end as segments from " + DOCS,
 )
 def frame_scan(spark, sf_dir):
     """Stream files checked by their frames: bad headers, bad lengths, missing end markers."""
@@ -186,7 +210,7 @@ def frame_scan(spark, sf_dir):
     return report.select(doc_number().alias("part"), "report", "segments")
 
 
-@query("e7_stream_round_trip", "select doc_id as part, text from documents where text <> ''")
+@query("e7_stream_round_trip", f"select doc_id as part, text from {DOCS} d")
 def stream_round_trip(spark, sf_dir):
     """Documents out to encrypted stream files and back by ranged reads."""
     files = stream_files(spark, sf_dir, damage=False)
@@ -195,4 +219,5 @@ def stream_round_trip(spark, sf_dir):
     segments = framed.read_segments(frames).join(keys, "salt")
     good, _ = framed.decrypt_stream_segments(segments, F.col("key"))
     named = good.select(F.lit("b-docs").alias("backup_id"), doc_number().alias("part"), "segment_index", "payload")
-    return E.reassemble(named).select("part", F.decode("payload", "UTF-8").alias("text"))
+    parts = files.select(F.lit("b-docs").alias("backup_id"), doc_number().alias("part"))
+    return E.reassemble(named, parts).select("part", F.decode("payload", "UTF-8").alias("text"))

@@ -28,9 +28,9 @@ def test_split_edges(spark):
 
 @pytest.fixture(scope="module")
 def sealed(spark):
-    key = crypto.derive_key("secret", b"s" * 16)
+    key = crypto.backup_keys(spark, "secret", {"b": b"s" * 16})
     plain = E.split_payload(payloads(spark, TEXT, b"\x00\xff" * 50), size=10)
-    return key, materialise(E.encrypt_segments(plain, key, b"nonc"), "sealed")
+    return key, materialise(E.encrypt_segments(plain, key), "sealed")
 
 
 def test_round_trip(spark, sealed):
@@ -43,7 +43,7 @@ def test_round_trip(spark, sealed):
 
 def test_wrong_key_swap_and_flip(spark, sealed):
     key, segments = sealed
-    assert E.decrypt_segments(segments, crypto.derive_key("other", b"s" * 16))[0].count() == 0
+    assert E.decrypt_segments(segments, crypto.backup_keys(spark, "other", {"b": b"s" * 16}))[0].count() == 0
     swapped = segments.withColumn("segment_index", F.when(F.col("part") == 0, 1 - F.col("segment_index")).otherwise(F.col("segment_index")))
     assert rows(E.decrypt_segments(swapped.filter("part = 0 and segment_index in (0, 1)"), key)[1], "segment_index") == [(0,), (1,)]
     last = F.substring(F.col("payload"), -1, 1)
@@ -58,6 +58,35 @@ def test_every_iv_is_used_once(spark, sealed):
     assert ivs.distinct().count() == ivs.count()
 
 
+def test_parts_beyond_32_bits_and_two_backups(spark):
+    keys = crypto.backup_keys(spark, "secret", {"b": b"s" * 16, "c": b"t" * 16})
+    data = [(b, p, 0, bytearray(b"same")) for b in "bc" for p in (1, 1 + 2**32, -1)]
+    plain = spark.createDataFrame(data, "backup_id string, part bigint, segment_index bigint, payload binary")
+    sealed = E.encrypt_segments(plain, keys)
+    got = sealed.select("backup_id", F.hex(F.substring("payload", 1, 12)).alias("iv")).collect()
+    assert len({(r["backup_id"], r["iv"]) for r in got}) == 6
+    with pytest.raises(ValueError):
+        crypto.backup_keys(spark, "secret", {"b": b"s" * 16, "c": b"s" * 16})
+    with pytest.raises(Exception, match="out of range"):
+        E.encrypt_segments(plain.withColumn("segment_index", F.lit(2**32)), keys).collect()
+    with pytest.raises(Exception, match="no key"):
+        E.encrypt_segments(plain.withColumn("backup_id", F.lit("unknown")), keys).collect()
+
+
+def test_no_plan_shows_the_key(spark, sealed):
+    keys, segments = sealed
+    secret = crypto.derive_key("secret", b"s" * 16)
+    for df in (E.encrypt_segments(segments, keys), E.decrypt_segments(segments, keys)[0], E.frame_stream(payloads(spark, TEXT), keys, 10)):
+        text = df._jdf.queryExecution().toString().lower()
+        assert secret.hex() not in text and "[b@" not in text and str(list(secret))[1:20] not in text
+
+
+def test_empty_parts_come_back(spark, sealed):
+    keys, segments = sealed
+    named = payloads(spark, b"", b"", b"")
+    assert rows(E.reassemble(E.decrypt_segments(segments, keys)[0], named), "part", "payload") == [(0, TEXT), (1, b"\x00\xff" * 50), (2, b"")]
+
+
 def test_segment_iv_formula(spark):
     base = bytes(range(12))
     got = spark.range(1).select(*[crypto.segment_iv(F.lit(base), F.lit(i)) for i in (0, 1, 256, 70000)]).first()
@@ -85,16 +114,15 @@ def test_whole_table(spark):
     packed = materialise(E.pack_table(df.repartition(3), "b", size=20_000), "packed")
     assert packed.count() > 3 and packed.select(F.sum("row_count")).first()[0] == 5000
     assert packed.select(*E.PLACE).distinct().count() == packed.count()
-    key = crypto.derive_key("secret", b"t" * 16)
-    good, bad = E.decrypt_segments(materialise(E.encrypt_segments(packed, key, b"abcd"), "s"), key)
+    key = crypto.backup_keys(spark, "secret", {"b": b"t" * 16})
+    good, bad = E.decrypt_segments(materialise(E.encrypt_segments(packed, key), "s"), key)
     assert bad.count() == 0
     assert rows(E.unpack_table(good, df.schema)) == rows(df)
 
 
 def stream_files(spark, size=10, change=None):
-    salt = b"0123456789abcdef"
-    key = crypto.derive_key("secret", salt)
-    streams = E.frame_stream(payloads(spark, TEXT, b"", b"z" * 25), key, salt, b"nonc", size)
+    keys = crypto.backup_keys(spark, "secret", {"b": b"0123456789abcdef"})
+    streams = E.frame_stream(payloads(spark, TEXT, b"", b"z" * 25), keys, size)
     if change is not None:
         streams = streams.withColumn("stream", change)
     written = materialise(framed.write_streams(streams, scratch_path(spark, "f")), "w")
