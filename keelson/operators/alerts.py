@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The channels and the two colours of an embed.
+# The channels and the two colours of an embed; below, the titles and messages of alerts.
 CHANNELS = ["telegram", "slack", "discord"]
 GREEN, RED = 0x2ECC71, 0xE74C3C
 
 
-def run_alerts(records: DataFrame) -> DataFrame:
-    """(id, title, message, success, details) for every run that ended."""
+def no_details() -> Column:
+    return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+def run_alerts(records: DataFrame, details: bool = False) -> DataFrame:
+    """(id, title, message, success, details) for every run that ended; type and size are told only with ``details``."""
     done = records.filter(F.col("status").isin("SUCCESS", "FAILED"))
     good = F.col("status") == "SUCCESS"
     db = F.coalesce("profile_name", F.lit("default"))
@@ -23,7 +27,7 @@ def run_alerts(records: DataFrame) -> DataFrame:
         title.alias("title"),
         F.when(good, went_well).otherwise(went_wrong).alias("message"),
         good.alias("success"),
-        run_details().alias("details"),
+        (run_details() if details else no_details()).alias("details"),
     )
 
 
@@ -46,7 +50,7 @@ def restore_alerts(outcomes: DataFrame) -> DataFrame:
         F.when(good, "Restore Successful").otherwise("Restore Failed").alias("title"),
         F.when(good, went_well).otherwise(went_wrong).alias("message"),
         good.alias("success"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("details"),
+        no_details().alias("details"),
     )
 
 

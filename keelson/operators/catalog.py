@@ -141,9 +141,12 @@ def job_defaults(jobs: DataFrame) -> DataFrame:
     """Job rows with defaults. ``settings`` is a map that may use dashed or camel-case spellings."""
     setting = lambda dashed, camel: F.coalesce(F.element_at("settings", dashed), F.element_at("settings", camel))
     kind = F.upper(setting("backup-type", "backupType"))
-    truth = F.coalesce(setting("single-transaction", "singleTransaction") == "true", F.lit(False))
+    true = lambda name: F.coalesce(F.element_at("settings", name) == "true", F.lit(False))
+    truth = true("single-transaction") | true("singleTransaction")
+    # the same job gets the same id whenever it is read
+    made = F.concat(F.lit("job-"), F.substring(F.sha2(F.to_json(F.struct("profile", "database", F.array_sort(F.map_entries("settings")))), 256), 1, 32))
     return jobs.select(
-        F.coalesce("job_id", F.uuid()).alias("job_id"),
+        F.coalesce("job_id", made).alias("job_id"),
         "profile",
         F.when(kind.isin(*BACKUP_TYPES), kind).otherwise(F.lit("FULL")).alias("backup_type"),
         F.upper(F.coalesce(setting("on-overlap", "onOverlap"), F.lit("SKIP"))).alias("on_overlap"),

@@ -84,9 +84,11 @@ def _walk(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def with_parent(records: DataFrame, catalog: DataFrame, *columns: str) -> DataFrame:
     """Left lookup of the parent row; ``parent_<column>`` for each asked column, plus ``parent_found``."""
-    parents = catalog.filter(F.col("id").isNotNull()).select(
-        F.col("id").alias("_pid"), *[F.col(c).alias(f"parent_{c}") for c in columns]
-    )
+    # of several rows with one id the earliest started counts, so that no record is multiplied
+    row = F.struct(*[F.col(c).alias(f"parent_{c}") for c in columns])
+    first = F.struct(F.col("start_time").isNull(), "start_time", F.coalesce("backup_chain_id", F.lit("")), F.coalesce("status", F.lit("")))
+    parents = catalog.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("_pid")).agg(F.min_by(row, first).alias("_row"))
+    parents = parents.select("_pid", "_row.*")
     joined = records.join(parents, blank_to_null("parent_backup_id") == F.col("_pid"), "left")
     return joined.withColumn("parent_found", F.col("_pid").isNotNull()).drop("_pid")
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.sources.snapshots import TrackedTable
 
@@ -16,6 +17,17 @@ def union_steps(steps: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
+def _comparable(kind: T.DataType) -> bool:
+    """Whether values can be ordered; a map on the outside can, by its entries."""
+    if isinstance(kind, T.MapType):
+        return not isinstance(kind.valueType, T.MapType) and _comparable(kind.valueType) and _comparable(kind.keyType)
+    if isinstance(kind, T.ArrayType):
+        return not isinstance(kind.elementType, T.MapType) and _comparable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(not isinstance(f.dataType, T.MapType) and _comparable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.VariantType)
+
+
 def newest_versions(rows: DataFrame, table: TrackedTable) -> DataFrame:
     """One row per key: greatest step, then position, then every remaining column (a total order).
 
@@ -23,7 +35,9 @@ def newest_versions(rows: DataFrame, table: TrackedTable) -> DataFrame:
     """
     keys = list(table.keys)
     rest = [c for c in rows.columns if c not in (*keys, "step", table.position)]
-    best = F.max(F.struct("step", table.position, *rest)).alias("_row")
+    # maps cannot be ordered: their entries, sorted, are compared in their place
+    rank = [F.array_sort(F.map_entries(c)) if isinstance(rows.schema[c].dataType, T.MapType) else F.col(c) for c in rest if _comparable(rows.schema[c].dataType)]
+    best = F.max_by(F.struct("step", table.position, *rest), F.struct("step", table.position, *rank)).alias("_row")
     picked = rows.groupBy(*keys).agg(best)
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in rows.columns])
 
@@ -50,11 +64,16 @@ def replay(rows: DataFrame, table: TrackedTable) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Change rows from ``old`` to ``new``: inserted, updated, and deleted keys as tombstones with null values."""
-    rest = [c for c in new.columns if c not in keys]
-    before = old.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.struct(*rest).alias("_old"))
-    after = new.select(*keys, F.struct(*rest).alias("_new"))
-    same_key = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_o_{k}") for k in keys])
+    """Change rows from ``old`` to ``new``: inserted, updated, and deleted keys as tombstones with null values.
+
+    Null keys are keys like any other. A column only one side has is null on the other.
+    """
+    rest = [c for c in new.columns if c not in keys] + [c for c in old.columns if c not in new.columns]
+    kinds = {**dict(old.dtypes), **dict(new.dtypes)}
+    whole = lambda df: F.struct(*[F.col(c).cast(kinds[c]).alias(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in rest])
+    before = old.select(*[F.col(k).alias(f"_o_{k}") for k in keys], whole(old).alias("_old"))
+    after = new.select(*keys, whole(new).alias("_new"))
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
     both = before.join(after, same_key, "full")
     change = (
         F.when(F.col("_old").isNull(), F.lit("INSERT"))

@@ -6,15 +6,13 @@ A trigger is (trigger_id, job_id, start_time, duration_us). Every scan over a jo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.functions.text import blank_to_null, normal_cron
 from keelson.plans.scans import slice_rows
-from keelson.session import materialise, materialise_counted, rows_per_key
+from keelson.session import materialise, materialise_counted
 
 # Lowest and highest number of each cron field, and the names two of them accept.
 CRON_FIELDS = {"second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
@@ -181,14 +179,17 @@ def overlap_audit(triggers: DataFrame) -> DataFrame:
     return late.select("trigger_id", "job_id", (F.col("busy") - F.col("s")).alias("overlap_us"))
 
 
-def skip_outcome(triggers: DataFrame, island_limit: int | None = None) -> DataFrame:
+#: Triggers of an island that are folded in one row.
+ISLAND_ROWS = 1000
+
+
+def skip_outcome(triggers: DataFrame, island_limit: int = ISLAND_ROWS) -> DataFrame:
     """SKIP: a trigger that arrives while its job runs is dropped.
 
     A trigger that starts after every earlier one could have ended surely runs, so the log falls into independent
-    islands. An island of ordinary size is folded in one ordered pass of one task that keeps only the current end. A larger
-    one is followed by jumps from each trigger to the first one after its end, doubling every round.
+    islands. A lone trigger runs. An island of up to ``island_limit`` triggers is one row whose array is folded. A larger
+    one is followed by jumps from each trigger to the first one after its end, doubling every round. All give the same answer.
     """
-    limit = rows_per_key(triggers.sparkSession) if island_limit is None else island_limit
     cut = slice_rows(_micros(triggers), ["job_id"], _in_order())
     rows = _with_busy_until(cut, cut.rows)
     head = F.when(F.col("busy").isNull() | (F.col("s") >= F.col("busy")), F.struct("s", "trigger_id"))
@@ -199,7 +200,7 @@ def skip_outcome(triggers: DataFrame, island_limit: int | None = None) -> DataFr
         rows.select("job_id", "trigger_id", "s", "d", F.coalesce("_island", "_earlier")["trigger_id"].alias("island")), "islands"
     )
     large, seen = materialise_counted(
-        rows.groupBy("job_id", "island").count().filter(F.col("count") > limit).select("job_id", "island"),
+        rows.groupBy("job_id", "island").count().filter(F.col("count") > island_limit).select("job_id", "island"),
         "large",
         n=F.count(F.lit(1)),
     )
@@ -210,24 +211,16 @@ def skip_outcome(triggers: DataFrame, island_limit: int | None = None) -> DataFr
 
 
 def _fold_islands(rows: DataFrame) -> DataFrame:
-    """One pass over rows ordered by island and time; the state is the end of the running trigger."""
-
-    def fold(batches: Iterator) -> Iterator:
-        place, busy = None, 0
-        for batch in batches:
-            ran = []
-            for job, island, start, length in zip(batch["job_id"], batch["island"], batch["s"], batch["d"]):
-                if (job, island) != place:
-                    place, busy = (job, island), start
-                runs = start >= busy
-                if runs:
-                    busy = start + length
-                ran.append(runs)
-            yield batch[["trigger_id", "job_id"]].assign(ran=ran)
-
-    ordered = rows.repartition("job_id", "island").sortWithinPartitions("job_id", "island", "s", "trigger_id")
-    kinds = dict(rows.dtypes)
-    return ordered.mapInPandas(fold, f"trigger_id {kinds['trigger_id']}, job_id {kinds['job_id']}, ran boolean")
+    """Islands as arrays in time order, folded to the end of the running trigger and one flag per trigger."""
+    runs = lambda state, t: t["s"] >= state["busy"]
+    step = lambda state, t: F.struct(
+        F.when(runs(state, t), t["s"] + t["d"]).otherwise(state["busy"]).alias("busy"), F.concat(state["ran"], F.array(runs(state, t))).alias("ran")
+    )
+    start = F.struct(F.lit(-(2**63)).cast("bigint").alias("busy"), F.array().cast("array<boolean>").alias("ran"))
+    island = rows.groupBy("job_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", "trigger_id", "d"))).alias("_in"))
+    flags = F.when(F.size("_in") == 1, F.array(F.lit(True))).otherwise(F.aggregate("_in", start, step, lambda state: state["ran"]))
+    folded = island.select("job_id", "_in", flags.alias("_ran")).select("job_id", F.explode(F.arrays_zip("_in", "_ran")).alias("_t"))
+    return folded.select(F.col("_t._in.trigger_id").alias("trigger_id"), "job_id", F.col("_t._ran").alias("ran"))
 
 
 def _next_free(rows: DataFrame) -> DataFrame:

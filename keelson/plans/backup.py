@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import Any
 
@@ -98,18 +98,26 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         last_position=str(request.cut),
     )
     asked = spark.createDataFrame([_log_row(record)], LOG_SCHEMA)
-    looked = K.with_parent(asked, known, "id", "backup_chain_id", "target_tables", "last_position")
+    looked = K.with_parent(asked, known, "id", "backup_chain_id", "target_tables", "last_position", "status")
     admitted = looked.select(
-        K.inherited_chain().alias("chain"), K.scope_differs().alias("differs"), "parent_target_tables", "parent_last_position"
+        K.inherited_chain().alias("chain"), K.scope_differs().alias("differs"), "parent_target_tables", "parent_last_position",
+        "parent_found", "parent_status",
     ).first()
     if admitted["differs"]:
         raise ChainError(f"tables {record['target_tables']} differ from the parent's {admitted['parent_target_tables']}")
     record["backup_chain_id"] = admitted["chain"]
-    after = start_position(known, request, admitted["parent_last_position"])
+    tables = chosen_tables(request)
+    position = admitted["parent_last_position"]
+    if request.backup_type in CHILDREN and admitted["parent_found"] and admitted["parent_status"] != "SUCCESS":
+        # what a failed parent did not store must not be skipped: go on from the last good step
+        good = last_good_step(known, admitted["chain"])
+        request = replace(request, parent_id=good["id"])
+        record["parent_backup_id"], position = good["id"], good["last_position"]
+    after = start_position(known, request, position)
     catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
     try:
         codec = "gzip" if request.compressed and record["dump_format"] != "CUSTOM_FC" else "none"
-        for table in request.tables:
+        for table in tables:
             source = read(table.name)
             rows = full_rows(source, table, request.cut) if after is None else rows_between(source, table, after, request.cut)
             write_snapshot(rows, request.root, request.database, table.name, backup_id, codec)
@@ -148,9 +156,33 @@ def cleanup_plan(catalog: Catalog, database: str, asof: datetime) -> DataFrame:
     return object_delete_plan(doomed, records)
 
 
+CHILDREN = ("INCREMENTAL", "DIFFERENTIAL")
+
+
+def named_tables(tables: Sequence[TrackedTable], names: Sequence[str]) -> list[TrackedTable]:
+    """The named tables, or all when none is named; an unknown name is an error."""
+    unknown = sorted(set(names) - {t.name for t in tables})
+    if unknown:
+        raise ChainError(f"unknown tables: {', '.join(unknown)}")
+    return [t for t in tables if not names or t.name in names]
+
+
+def chosen_tables(request: BackupRequest) -> list[TrackedTable]:
+    return named_tables(request.tables, request.selected)
+
+
+def last_good_step(known: DataFrame, chain: str) -> Any:
+    """The newest successful record of a chain."""
+    good = known.filter((F.col("backup_chain_id") == chain) & (F.col("status") == "SUCCESS"))
+    row = good.orderBy(F.desc_nulls_last("start_time"), F.desc("id")).select("id", "last_position").first()
+    if row is None:
+        raise ChainError(f"chain {chain} has no successful step to go on from")
+    return row
+
+
 def start_position(known: DataFrame, request: BackupRequest, parent_position: str | None) -> str | None:
     """Where a step begins: nowhere for FULL, at the parent for INCREMENTAL, at the chain's base for DIFFERENTIAL."""
-    if request.backup_type not in ("INCREMENTAL", "DIFFERENTIAL"):
+    if request.backup_type not in CHILDREN:
         return None
     if parent_position is None:
         raise ChainError(f"parent backup not found: {request.parent_id}")
@@ -203,7 +235,7 @@ def restore_database(
     selected: Sequence[str] = (),
 ) -> list[str]:
     """Restore the selected tables (all when none is named) through ``write(rows, table_name)``."""
-    wanted = [t for t in tables if not selected or t.name in selected]
+    wanted = named_tables(tables, selected)
     for table in wanted:
         write(restore_table(catalog, target_id, table, root, database), table.name)
     return [t.name for t in wanted]

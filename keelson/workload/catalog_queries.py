@@ -242,13 +242,13 @@ def report_lines(spark, sf_dir):
 @query(
     "p12_run_summary",
     duck_history(
-        "select id, concat('Backup ', status, '! ID: ', id, ' | Profile: ', profile_name, ' | Type: ', backup_type, ' | Size: ', "
-        "cast(file_size_bytes as varchar), ' bytes | Uri: ', destination_uri) as summary from raw_history "
-        "where profile_name is not null and file_size_bytes is not null and destination_uri is not null"
+        "select id, concat('Backup ', coalesce(status, 'null'), '! ID: ', id, ' | Profile: ', coalesce(profile_name, 'null'), ' | Type: ', "
+        "coalesce(backup_type, 'null'), ' | Size: ', coalesce(cast(file_size_bytes as varchar), 'null'), ' bytes | Uri: ', "
+        "coalesce(destination_uri, 'null')) as summary from raw_history"
     ),
 )
 def run_summary(spark, sf_dir):
-    return C.run_summary(history(spark, sf_dir).dropna(subset=["profile_name", "file_size_bytes", "destination_uri"]))
+    return C.run_summary(history(spark, sf_dir))
 
 
 @query("c1_catalog_schema", duck_history(f"select {FLAT} from raw_history"))

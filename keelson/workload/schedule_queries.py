@@ -40,17 +40,26 @@ def run_alerts(spark, sf_dir):
 
 @query("n2_telegram_text", duck_history(f"select id, {TELEGRAM} as text from heads", ALERTS))
 def telegram_text(spark, sf_dir):
+    return N.run_alerts(history(spark, sf_dir), details=True).select("id", N.telegram_text().alias("text"))
+
+
+@query(
+    "n2_telegram_plain",
+    duck_history("select id, concat('<b>', headline, '</b>', chr(10), 'Message: ', message, chr(10)) as text from heads", ALERTS),
+)
+def telegram_plain(spark, sf_dir):
+    """As runs send them: without details."""
     return N.run_alerts(history(spark, sf_dir)).select("id", N.telegram_text().alias("text"))
 
 
 @query("n3_slack_body", duck_history(f"select id, {SLACK} as body from heads", ALERTS))
 def slack_body(spark, sf_dir):
-    return N.run_alerts(history(spark, sf_dir)).select("id", N.slack_body().alias("body"))
+    return N.run_alerts(history(spark, sf_dir), details=True).select("id", N.slack_body().alias("body"))
 
 
 @query("n4_discord_body", duck_history(f"select id, {DISCORD} as body from heads", ALERTS))
 def discord_body(spark, sf_dir):
-    return N.run_alerts(history(spark, sf_dir)).select("id", N.discord_body().alias("body"))
+    return N.run_alerts(history(spark, sf_dir), details=True).select("id", N.discord_body().alias("body"))
 
 
 def channel_lists():

@@ -70,7 +70,8 @@ def test_restore_into_target_and_selection(spark):
     seen = {}
     names = restore_database(catalog, "b2", [ITEMS], root, "my/db", lambda df, n: seen.update({n: df.count()}), selected=["items"])
     assert (names, seen) == (["items"], {"items": 4})
-    assert restore_database(catalog, "b2", [ITEMS], root, "my/db", lambda df, n: None, selected=["other"]) == []
+    with pytest.raises(ChainError, match="unknown tables"):
+        restore_database(catalog, "b2", [ITEMS], root, "my/db", lambda df, n: None, selected=["other"])
 
 
 def test_failed_run_is_logged(spark):

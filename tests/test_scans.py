@@ -42,7 +42,14 @@ def test_running_rank(spark, small_slices):
 def test_carry_is_bounded_by_the_number_of_slices(spark, small_slices):
     cut = slice_rows(skewed(spark), ["k"], [F.col("id").asc()])
     carried = cut._carried(cut.rows, {"_n": F.count(F.lit(1))}, {"_b": lambda w: F.sum("_n").over(w)}, False)
-    assert carried.count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows_ = cut.rows.count()
+    assert carried.count() <= max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_ // 10))
+
+
+def test_null_keys_are_carried(spark, small_slices):
+    df = spark.range(60).select(F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"), "id")
+    got = running_rank(df, ["k"], [F.col("id").asc()])
+    assert rows(got.groupBy("k").agg(F.max("rank").alias("m"), F.count("rank").alias("n")).fillna("none"), "k", "m", "n") == [("a", 30, 30), ("none", 30, 30)]
 
 
 def test_latest_per_key_keeps_nulls(spark):
