@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from keelson.llm.text import chunks, words
+from keelson.llm.text import chunks
 
 #: Words one worker remembers; beyond that it starts anew. About 250 bytes each.
 WORDS_KEPT = 1_200_000
@@ -26,6 +26,19 @@ def _visible_bytes() -> dict[int, str]:
     return out
 
 
+class _Codes(dict):
+    """Numbers of words, in the order they were met; ``learn`` is called for a new one."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.learn(n, word)
+        return n
+
+
 class WordIds:
     """Ids of words, learnt once each by ``ids_of`` and then looked up for whole arrays of words."""
 
@@ -36,33 +49,26 @@ class WordIds:
         raise NotImplementedError
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = _Codes(self._learn)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.size = 0
 
-    def _learn(self, found: list[bytes]) -> None:
-        for word in found:
-            ids = self.ids_of(word)
-            n = len(self.code)
-            if n + 2 > len(self.start):
-                self.start = np.resize(self.start, 2 * len(self.start))
-            while self.size + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.size : self.size + len(ids)] = ids
-            self.start[n] = self.size
-            self.size += len(ids)
-            self.start[n + 1] = self.size
-            self.code[word] = n
+    def _learn(self, n: int, word: bytes) -> None:
+        ids = self.ids_of(word)
+        if n + 2 > len(self.start):
+            self.start = np.resize(self.start, 2 * len(self.start))
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.start[n] = self.size
+        self.size += len(ids)
+        self.start[n + 1] = self.size
 
     def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each word has."""
-        new = set(found).difference(self.code)
-        if len(self.code) + len(new) > WORDS_KEPT:
+        if len(self.code) > WORDS_KEPT:
             self.clear()
-            new = set(found)
-        if new:
-            self._learn(list(new))
         codes = np.fromiter(map(self.code.__getitem__, found), np.int64, len(found))
         begin = self.start[codes]
         count = self.start[codes + 1] - begin
@@ -98,16 +104,14 @@ class WordTokenizer(WordIds):
         return ids
 
     def ids_of(self, word: bytes) -> list[int]:
+        if word.isalpha():  # plain letters are one part, their own letters of the byte alphabet
+            return [t.id for t in self.model.tokenize(word.lower().decode())]
         text = word.decode()
         if max(text) < "\u0250" and "<|" not in text and "\u0130" not in text and not any(c.isspace() for c in text):
             parts = SPLIT.findall(text.lower())
             return self._part(parts[0]) if len(parts) == 1 else [i for part in parts for i in self._part(part)]
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # only A-Z is lowered here: a special token is told by its case
-        return super().encode([w.lower() if b"<|" not in w else w for w in found])
-
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -123,11 +127,16 @@ def encoded(column: pa.Array, path: str, end: int | None):
     """For each document of a string column: its row and its ids, followed by ``end``."""
     model = tokenizer(path)
     for chunk in chunks(column):
-        found = words(chunk.data, chunk.offsets)
         raw = chunk.data.tobytes()
-        split = [w for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()) for w in raw[a:b].split()]
-        ids, count = model.encode(split)
-        cuts = np.append(0, np.cumsum(count))[found.first]
+        # only A-Z is lowered here, for fewer words to learn; a special token is told by its case
+        raw = raw.lower() if b"<|" not in raw else raw
+        found: list[bytes] = []
+        cuts = [0]
+        for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
+            found += raw[a:b].split()
+            cuts.append(len(found))
+        ids, count = model.encode(found)
+        cuts = np.append(0, np.cumsum(count))[cuts]
         for k in range(chunk.high - chunk.low):
             own = ids[cuts[k] : cuts[k + 1]]
             yield chunk.low + k, own if end is None else np.append(own, np.uint32(end))
