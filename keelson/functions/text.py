@@ -10,6 +10,8 @@ SCHEME_PROVIDERS = {
     "file": "local",
     "local": "local",
     "s3": "s3",
+    "s3a": "s3",
+    "s3n": "s3",
     "azure": "azure",
     "az": "azure",
     "gcs": "gcs",
@@ -79,7 +81,7 @@ def uri_scheme(c: Column | str) -> Column:
 
 def uri_path(c: Column | str) -> Column:
     """The URI without its scheme, in either of the forms ``x://`` and ``x:``."""
-    return F.regexp_replace(col(c), r"(?i)^(file|local|s3|azure|az|gcs|gs):(//)?", "")
+    return F.regexp_replace(col(c), r"(?i)^(file|local|s3a|s3n|s3|azure|az|gcs|gs):(//)?", "")
 
 
 def uri_bucket(c: Column | str) -> Column:
@@ -91,8 +93,38 @@ def uri_key(c: Column | str) -> Column:
     return F.regexp_extract(uri_path(c), r"(?s)^[^/]*/(.*)$", 1)
 
 
+def object_id(c: Column | str) -> Column:
+    """One spelling of the object a URI names: storage kind, then its path without repeated or leading slashes.
+
+    ``file:///x/y``, ``file:/x/y`` and ``/x/y`` are one object, and so are ``s3://b/k`` and ``S3A://b/k``. A scheme no storage
+    kind answers to stands for itself.
+    """
+    scheme = uri_scheme(c)
+    kind = scheme
+    for name, provider in SCHEME_PROVIDERS.items():
+        kind = F.when(scheme == name, F.lit(provider)).otherwise(kind)
+    known = scheme.isin(*SCHEME_PROVIDERS)
+    path = F.when(known, uri_path(c)).otherwise(F.regexp_replace(col(c), r"^[^:]*:(//)?", ""))
+    return F.concat(kind, F.lit(":"), F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/", ""))
+
+
+# The named schedules and their six fields.
+CRON_NAMES = {
+    "@yearly": "0 0 0 1 1 *",
+    "@annually": "0 0 0 1 1 *",
+    "@monthly": "0 0 0 1 * *",
+    "@weekly": "0 0 0 * * 0",
+    "@daily": "0 0 0 * * *",
+    "@midnight": "0 0 0 * * *",
+    "@hourly": "0 0 * * * *",
+}
+
+
 def normal_cron(c: Column | str) -> Column:
-    """Six-field cron text; a five-field one gets second 0, a missing one runs hourly."""
+    """Six-field cron text; a five-field one gets second 0, a missing one runs hourly, a named one is spelled out."""
     text = trimmed(c)
     fields = F.size(F.split(text, r"\s+"))
-    return F.when(col(c).isNull(), F.lit("0 0 * * * *")).when(fields == 5, F.concat(F.lit("0 "), text)).otherwise(text)
+    out = F.when(col(c).isNull(), F.lit("0 0 * * * *")).when(fields == 5, F.concat(F.lit("0 "), text))
+    for name, spelled in CRON_NAMES.items():
+        out = out.when(F.lower(text) == name, F.lit(spelled))
+    return out.otherwise(text)

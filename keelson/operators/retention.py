@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.text import blank_to_null, uri_scheme
+from keelson.functions.text import blank_to_null, object_id, uri_scheme
 from keelson.operators.chains import effective_chain
 from keelson.plans.scans import running_rank, top_per_key
 from keelson.session import materialise
@@ -123,8 +123,10 @@ def cleanup_set(current: DataFrame, asof: Column, keep_last: int = CLEANUP_KEEP)
 def object_delete_plan(doomed: DataFrame, catalog: DataFrame) -> DataFrame:
     """(uri, scheme) that only deleted records use. Rows stay in the catalog; objects shared with a kept row stay too."""
     doomed = materialise(doomed.select("id", "destination_uri"), "doomed")
-    gone = doomed.filter("destination_uri is not null").select("destination_uri").distinct()
+    named = doomed.filter("destination_uri is not null").select("destination_uri", object_id("destination_uri").alias("_id"))
+    # one object may be spelled in several ways: it goes once, and stays if a kept row means it in any spelling
+    gone = named.groupBy("_id").agg(F.min("destination_uri").alias("destination_uri"))
     kept = catalog.join(doomed.select("id"), "id", "left_anti").filter("destination_uri is not null")
     # distinct first: an object that many kept rows share must not become one task's work
-    free = gone.join(kept.select("destination_uri").distinct(), "destination_uri", "left_anti")
+    free = gone.join(kept.select(object_id("destination_uri").alias("_id")).distinct(), "_id", "left_anti")
     return free.select(F.col("destination_uri").alias("uri"), uri_scheme("destination_uri").alias("scheme"))

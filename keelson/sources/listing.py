@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.functions.text import SCHEME_PROVIDERS, blank_to_null, uri_bucket, uri_key, uri_path, uri_scheme
+from keelson.functions.text import SCHEME_PROVIDERS, blank_to_null, object_id, uri_bucket, uri_key, uri_path, uri_scheme
 
 #: The first bytes of a gzip stream, and the age after which a left-over object is stale.
 GZIP_MAGIC = "1F8B"
@@ -30,11 +30,9 @@ def list_objects(spark: SparkSession, prefix: str, missing_ok: bool = False) ->
     return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
-def list_prefix(spark: SparkSession, folder: str, name_prefix: str) -> DataFrame:
-    """Files below ``folder`` whose path continues with ``name_prefix``."""
-    listed = list_objects(spark, folder)
-    start = F.concat(F.lit(folder.rstrip("/") + "/"), F.lit(name_prefix))
-    return listed.filter(F.startswith(uri_path("path"), F.regexp_replace(start, "^file:(//)?", "")))
+def list_prefix(spark: SparkSession, folder: str, name_prefix: str) -> DataFrame | None:
+    """Files below ``folder`` whose path continues with ``name_prefix``. Only what the pattern names is listed."""
+    return list_objects(spark, f"{folder.rstrip('/')}/{name_prefix}*", missing_ok=True)
 
 
 @lru_cache(maxsize=64)
@@ -89,31 +87,42 @@ def split_uri(objects: DataFrame, uri: str = "uri") -> DataFrame:
     )
 
 
+def run_id(c: Column | str) -> Column:
+    """What a run's record calls the folder an object lies in, over all tables; null outside of runs."""
+    run = F.regexp_replace(object_id(c), r"/[^/]+/(backup_id=[^/]+)/.*$", "/*/$1")
+    return F.when(object_id(c).rlike(r"/[^/]+/backup_id=[^/]+/"), run)
+
+
+def listed_ids(listing: DataFrame) -> DataFrame:
+    """Every name under which a record can mean a listed object: the object's own, and its run's."""
+    names = F.filter(F.array(object_id("path"), run_id("path")), lambda n: n.isNotNull())
+    return listing.select(F.explode(names).alias("_id")).distinct()
+
+
 def missing_objects(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     """Successful records whose object is not in the listing."""
     done = catalog.filter("status = 'SUCCESS' and destination_uri is not null")
-    there = listing.select("path").distinct()
-    return done.join(there, F.col("destination_uri") == F.col("path"), "left_anti")
+    return done.join(listed_ids(listing), object_id("destination_uri") == F.col("_id"), "left_anti")
 
 
 def orphan_objects(catalog: DataFrame, listing: DataFrame) -> DataFrame:
-    """Listed objects no record names."""
+    """Listed objects no record names, by itself or by its run."""
     # records may share an object: distinct combines them before the shuffle
-    named = catalog.filter("destination_uri is not null").select("destination_uri").distinct()
-    return listing.join(named, F.col("path") == F.col("destination_uri"), "left_anti")
+    named = catalog.filter("destination_uri is not null").select(object_id("destination_uri").alias("_id")).distinct()
+    alone = listing.join(named, object_id("path") == F.col("_id"), "left_anti")
+    return alone.join(named, run_id("path") == F.col("_id"), "left_anti")
 
 
 def with_existence(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     """Every record with a URI and whether the listing has the object."""
-    there = listing.select(F.col("path").alias("_path")).distinct()
-    joined = catalog.filter("destination_uri is not null").join(there, F.col("destination_uri") == F.col("_path"), "left")
-    return joined.withColumn("object_exists", F.col("_path").isNotNull()).drop("_path")
+    joined = catalog.filter("destination_uri is not null").join(listed_ids(listing), object_id("destination_uri") == F.col("_id"), "left")
+    return joined.withColumn("object_exists", F.col("_id").isNotNull()).drop("_id")
 
 
 def stale_objects(listing: DataFrame, asof: Column, folder: str, minutes: int = STALE_MINUTES) -> DataFrame:
     """Objects directly in one folder (not below it) that are strictly older than the age limit."""
-    parent = F.regexp_replace("path", "/[^/]*$", "")
-    return listing.filter((parent == folder) & (F.col("modified") < asof - F.make_dt_interval(mins=F.lit(minutes))))
+    parent = F.regexp_replace(object_id("path"), "/[^/]*$", "")
+    return listing.filter((parent == object_id(F.lit(folder.rstrip("/")))) & (F.col("modified") < asof - F.make_dt_interval(mins=F.lit(minutes))))
 
 
 def codec_of(content: Column | str) -> Column:

@@ -11,6 +11,7 @@ from keelson.operators import catalog as C
 from keelson.operators.replay import fingerprint, multiset_difference, replay, snapshot_diff, union_steps
 from keelson.plans.backup import BackupRequest, Catalog, restore_table, run_backup
 from keelson.session import scratch_path
+from keelson.functions.text import object_id
 from keelson.sources import listing as L
 from keelson.sources.snapshots import (
     STORE_FORMATS, TrackedTable, full_rows, load_table, read_snapshots, rows_between, store_table, write_snapshot,
@@ -185,13 +186,16 @@ def codec_sniff(spark, sf_dir):
     )
 
 
-@query("s13_prefix_listing")
+@query("s13_prefix_listing", "select concat('b-', o_orderstatus) as backup_id, count(*) as row_count from orders group by 1")
 def prefix_listing(spark, sf_dir):
-    """Files of the given folder with their sizes."""
-    listed = L.list_objects(spark, sf_dir).filter("path like '%.parquet%'")
-    return listed.groupBy(F.regexp_extract("path", r"/([a-z_]+)\.parquet", 1).alias("table_name")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
-    )
+    """Snapshots of the orders, one per status, found by listing a prefix beside another table's, and their rows counted."""
+    root = scratch_path(spark, "listed")
+    orders = table(spark, sf_dir, "orders").withColumn("backup_id", F.concat(F.lit("b-"), "o_orderstatus"))
+    orders.write.partitionBy("backup_id").parquet(f"{root}/db/orders")
+    table(spark, sf_dir, "nation").withColumn("backup_id", F.lit("b-X")).write.partitionBy("backup_id").parquet(f"{root}/db/others")
+    listed = L.list_prefix(spark, f"{root}/db", "orders/backup_id=b-").select(object_id("path").alias("object"))
+    stored = spark.read.parquet(f"{root}/db/orders").groupBy(object_id("_metadata.file_path").alias("object"), "backup_id").count()
+    return listed.join(stored, "object").groupBy("backup_id").agg(F.sum("count").alias("row_count"))
 
 
 @query(

@@ -228,3 +228,66 @@ def test_uris(spark):
     }
     known, unknown = L.classify(df)
     assert [r["uri"] for r in unknown.collect()] == ["ftp://h/x"] and known.count() == 9
+
+
+def test_own_runs_are_reconciled(spark):
+    root = scratch_path(spark, "own")
+    catalog = Catalog(spark, scratch_path(spark, "catalog"))
+    rows_ = spark.range(20).select("id", F.col("id").alias("pos"))
+    for backup in ("r1", "r2"):
+        run_backup(catalog, BackupRequest("db", [TrackedTable("t", ("id",), "pos")], 100, f"file:{root.removeprefix('file:')}", backup_id=backup), lambda n: rows_)
+    records, listed = catalog.current(), L.list_objects(spark, root)
+    assert L.missing_objects(records, listed).count() == L.orphan_objects(records, listed).count() == 0
+    without = listed.filter("path not like '%backup_id=r1%'")
+    assert rows(L.missing_objects(records, without), "id") == [("r1",)]
+    stray = listed.limit(1).withColumn("path", F.lit(f"{root}/stray/file"))
+    assert L.orphan_objects(records, listed.unionAll(stray)).count() == 1
+
+
+def test_one_object_in_several_spellings(spark):
+    from keelson.functions.text import object_id
+    from keelson.operators.retention import object_delete_plan
+
+    same = ["file:///x/shared", "/x/shared", "FILE:/x//shared"], ["s3://b/k", "S3A://b/k", "s3n://b/k"], ["gs:store/k", "gcs://store/k"]
+    for group in same:
+        got = spark.createDataFrame([(u,) for u in group], "u string").select(object_id("u").alias("o")).distinct()
+        assert got.count() == 1
+    catalog = spark.createDataFrame([("a", "file:///x/shared"), ("b", "/x/shared"), ("c", "s3://b/k"), ("d", "S3A://b/k")], "id string, destination_uri string")
+    doomed = catalog.filter("id in ('a', 'c', 'd')")
+    assert rows(object_delete_plan(doomed, catalog)) == [("S3A://b/k", "s3a")]
+
+
+def test_white_space_and_named_schedules(spark):
+    from keelson.functions.text import blank_to_null, decode_tables, normal_cron
+
+    frame = spark.createDataFrame([("\t\n ",), (" a,\tb\n,\t",), ("@Daily",), ("\t5 1 * * *",)], "t string")
+    got = frame.select(blank_to_null("t").alias("b"), decode_tables("t").alias("d"), normal_cron("t").alias("c")).collect()
+    assert got[0]["b"] is None and got[0]["d"] == [] and got[1]["d"] == ["a", "b"]
+    assert [r["c"] for r in got[2:]] == ["0 0 0 * * *", "0 5 1 * * *"]
+
+
+def test_diff_with_null_keys_and_a_later_column(spark):
+    old = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    new = spark.createDataFrame([(None, 1, "x"), (3, 3, None)], "k int, v int, w string")
+    got = {(r["k"], r["change"]) for r in snapshot_diff(old, new, ["k"]).collect()}
+    assert got == {(None, "UPDATE"), (2, "DELETE"), (3, "INSERT")}
+    assert snapshot_diff(old, old, ["k"]).count() == 0
+
+
+def test_replay_of_maps(spark):
+    steps = spark.createDataFrame([(0, 1, 1, {"a": 1}), (1, 1, 2, {"b": 2}), (1, 1, 2, {"a": 9})], "step long, id int, pos int, m map<string,int>")
+    got = replay(steps, TrackedTable("t", ("id",), "pos")).collect()
+    assert [(r["id"], r["m"]) for r in got] == [(1, {"b": 2})]
+
+
+def test_child_of_a_failed_run_goes_on_from_the_last_good_step(spark):
+    root, catalog = scratch_path(spark, "failed"), Catalog(spark, scratch_path(spark, "catalog"))
+    rows_ = spark.range(1, 41).select("id", F.col("id").alias("pos"))
+    table = TrackedTable("t", ("id",), "pos")
+    ask = lambda **k: BackupRequest("db", [table], root=root, **k)
+    run_backup(catalog, ask(cut=10, backup_id="f"), lambda n: rows_)
+    with pytest.raises(RuntimeError):
+        run_backup(catalog, ask(cut=20, backup_id="bad", backup_type="INCREMENTAL", parent_id="f"), lambda n: (_ for _ in ()).throw(RuntimeError("gone")))
+    record = run_backup(catalog, ask(cut=30, backup_id="next", backup_type="INCREMENTAL", parent_id="bad"), lambda n: rows_)
+    assert record["parent_backup_id"] == "f"
+    assert restore_table(catalog, "next", table, root, "db").count() == 30

@@ -190,3 +190,18 @@ def test_status_filter(spark):
     rec = [record("ok", start=days_ago(30)), record("bad", start=days_ago(30), status="FAILED")]
     got = R.delete_set(frame(spark, rec), asof(), retention_days=1, statuses=["FAILED"])
     assert [r["id"] for r in got.collect()] == ["bad"]
+
+
+def test_duplicate_and_missing_ids(spark):
+    from datetime import datetime
+
+    from keelson.operators import chains as K
+    from pyspark.sql import functions as F
+
+    day = lambda n: datetime(2024, 1, n)
+    data = [("a", None, "c1", day(1)), ("a", None, "c2", day(2)), ("b", "a", None, day(3)), (None, "a", None, day(4)), (None, None, "own", day(5))]
+    records = spark.createDataFrame([(*r, "SUCCESS") for r in data], "id string, parent_backup_id string, backup_chain_id string, start_time timestamp, status string")
+    got = K.effective_chain(records).select("id", "start_time", "eff_chain").collect()
+    assert sorted((r["start_time"].day, r["eff_chain"]) for r in got) == [(1, "c1"), (2, "c2"), (3, "c1"), (4, "c1"), (5, "own")]
+    assert K.with_parent(records, records, "backup_chain_id").count() == len(data)
+    assert K.chain_usability(records).count() == 2
