@@ -23,6 +23,8 @@ def build_session(app_name: str = "keelson", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # rows may be whole files or segments: batches for Python are bounded by bytes too
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.sql.parquet.filterPushdown": "true",
         # stored files are compressed: judge what may be broadcast by what it becomes in memory
         "spark.sql.sources.fileCompressionFactor": "4.0",

@@ -11,6 +11,9 @@ from keelson.functions import crypto
 from keelson.operators.segments import length_verdict
 from keelson.sources.listing import locate, open_object, spread_tasks
 
+#: Payload bytes read before they are handed on; a single segment may be larger.
+FETCH_BYTES = 64 << 20
+
 FRAME_SCHEMA = "path string, salt binary, base_iv binary, segment_index bigint, offset bigint, length bigint, file_bytes bigint"
 
 #: Frames a task holds before it hands them on.
@@ -53,25 +56,30 @@ def scan_frames(listing: DataFrame) -> DataFrame:
         import pandas as pd
 
         names = [f.split()[0] for f in FRAME_SCHEMA.split(", ")]
+
+        def frames_of(path: str, total: int) -> Iterator:
+            with open_object(path) as stream:
+                head = stream.read(crypto.HEADER_BYTES)
+                if len(head) < crypto.HEADER_BYTES or head[:4].hex().upper() != crypto.MAGIC:
+                    yield path, None, None, -1, 0, 0, total
+                    return
+                at, index = crypto.HEADER_BYTES, 0
+                while at + 4 <= total:
+                    stream.seek(at)
+                    length = int.from_bytes(stream.read(4), "big", signed=True)
+                    yield path, head[4:20], head[20:32], index, at + 4, length, total
+                    if length <= 0 or length > crypto.MAX_SEGMENT_BYTES:
+                        return
+                    at, index = at + 4 + length, index + 1
+
         frames = []
         for batch in batches:
             for path, total in zip(batch["path"], batch["length"]):
-                with open_object(path) as stream:
-                    head = stream.read(crypto.HEADER_BYTES)
-                    if len(head) < crypto.HEADER_BYTES or head[:4].hex().upper() != crypto.MAGIC:
-                        frames.append((path, None, None, -1, 0, 0, total))
-                        continue
-                    at, index = crypto.HEADER_BYTES, 0
-                    while at + 4 <= total:
-                        stream.seek(at)
-                        length = int.from_bytes(stream.read(4), "big", signed=True)
-                        frames.append((path, head[4:20], head[20:32], index, at + 4, length, total))
-                        if length <= 0 or length > crypto.MAX_SEGMENT_BYTES:
-                            break
-                        at, index = at + 4 + length, index + 1
-                        if len(frames) >= FRAMES_PER_BATCH:
-                            yield pd.DataFrame(frames, columns=names)
-                            frames = []
+                for frame in frames_of(path, total):
+                    frames.append(frame)
+                    if len(frames) >= FRAMES_PER_BATCH:
+                        yield pd.DataFrame(frames, columns=names)
+                        frames = []
         if frames:
             yield pd.DataFrame(frames, columns=names)
 
@@ -113,17 +121,22 @@ def read_segments(frames: DataFrame, spread: int | None = None) -> DataFrame:
 
     def fetch(batches: Iterator) -> Iterator:
         for batch in batches:
-            data, opened, stream = [], None, None
-            for path, offset, length in zip(batch["path"], batch["offset"], batch["length"]):
+            data, held, begin, opened, stream = [], 0, 0, None, None
+            for row, (path, offset, length) in enumerate(zip(batch["path"], batch["offset"], batch["length"])):
                 if path != opened:
                     if stream is not None:
                         stream.close()
                     stream, opened = open_object(path), path
                 stream.seek(offset)
                 data.append(stream.read(length))
+                held += length
+                if held >= FETCH_BYTES:
+                    yield batch.iloc[begin : row + 1].assign(payload=data)
+                    data, held, begin = [], 0, row + 1
             if stream is not None:
                 stream.close()
-            yield batch.assign(payload=data)
+            if data:
+                yield batch.iloc[begin:].assign(payload=data)
 
     whole = with_verdict(frames).filter("verdict = 'SEGMENT'").drop("verdict", "file_bytes")
     return whole.repartition(spread or spread_tasks(frames), "path", "segment_index").mapInPandas(
