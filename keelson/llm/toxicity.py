@@ -71,7 +71,7 @@ class Linear:
         return np.bincount(rows, self.weight[cols], n) + before @ self.earlier + self.bias
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, n: int, places: np.ndarray, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> Linear:
+def fit(rows: np.ndarray, cols: np.ndarray, n: int, places: np.ndarray, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 100) -> Linear:
     """Logistic regression with an L2 penalty, by accelerated gradient steps scaled per feature."""
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     out = Linear(np.zeros(SIZE), np.zeros(before.shape[1]), float(np.log(rate / (1 - rate))))
@@ -114,7 +114,7 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 20_000, max_features: int = 3000, folds: int = 3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = 20_000, max_features: int = 2000, folds: int = 3) -> Chain:
     """Fit a chain on labelled rows: ``labels`` has ``doc_id`` and one 0/1 column per category, in chain order."""
     spark = docs.sparkSession
     names = [f"y{k}" for k in range(len(categories))]
