@@ -66,6 +66,11 @@ def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
+def below(score: np.integer) -> float:
+    """A bound no larger than ``score``, which may have more digits than a float."""
+    return float(np.nextafter(np.float64(score), -np.inf))
+
+
 class Best:
     """The k best (score, id) of one query so far, and the bound they give."""
 
@@ -82,7 +87,7 @@ class Best:
         order = np.lexsort((ids, -score))[: self.k]
         self.score, self.id = score[order], ids[order]
         if len(order) == self.k:
-            self.bound = max(self.bound, float(self.score[-1]))
+            self.bound = max(self.bound, below(self.score[-1]))
 
 
 def survivors(q: np.ndarray, q_norm: float, bound: float, c: np.ndarray, norms: np.ndarray, coordinate_from: float, focus: int) -> np.ndarray | None:
@@ -134,7 +139,7 @@ def top_k(
             for x, d, v in zip(key, dim, batch.column("v").to_pylist()):
                 keys, seed = seeds.value.get(d, (None, None))
                 score = products(np.frombuffer(v, np.int64)[None], seed)[0][keys != x] if keys is not None else []
-                bound.append(float(np.partition(score, -k)[-k]) if len(score) >= k else float("-inf"))
+                bound.append(below(np.partition(score, -k)[-k]) if len(score) >= k else float("-inf"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound, pa.float64())], [*batch.schema.names, "bound"])
 
     sides = "key long, id long, dim int, norm double, v binary, bound double"
