@@ -3,12 +3,13 @@
 The Jaccard distance d = 1 - J is a metric; documents link at d <= r = 1 - J0.
 
 1. Documents with equal sets are one vertex, named by a 64-bit digest of the set; copies are not compared.
-2. Voronoi regions. Order each set by a fixed order of all shingles, rarest first. Two linked sets share one of their first
-   n - ceil(J0 n) + 1 shingles, so a document without a common first shingle with a pivot is farther than r from it, and
-   only documents with one belong to the pivot's region. Each such shingle that two vertices hold names a pivot, its vertex
-   of least digest; a document near several pivots is replicated into the regions of all of them. Two linked documents
-   share such a shingle, so they meet in a region. Rarity is read from a count of fixed size over hash buckets of all
-   shingles: common passages sink to the end of every set, and any order is a right one.
+2. Voronoi regions. Order each set by a fixed order of all shingles, rarest first. Two linked sets share at least c of
+   their first n - ceil(J0 n) + c shingles. So, with c of ``slack`` hundredths of n, a document of whose first shingles too
+   few occur twice is farther than r from all others and is left out; only those that stay send their sets. And, with c of
+   1, a document belongs to the regions of the pivots it shares a first shingle with: each such shingle that two vertices
+   hold names a pivot, its vertex of least digest, and a document near several pivots is replicated into all their regions.
+   Two linked documents share such a shingle, so they meet in a region. Rarity is read from a count of fixed size over hash
+   buckets of all shingles: common passages sink to the end of every set, and any order is a right one.
 3. A large region is cut into rings by set size, each document being in its ring and the next: linked sizes differ by at
    most a factor 1 / J0.
 4. A region joins recursively: the smallest set is the pivot, distances to it are exact. Documents within r are linked. By
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 
 from keelson.llm.components import components
 from keelson.llm.store import kept
-from keelson.llm.text import LOWER, U64, Rolling, chunks, mix, words
+from keelson.llm.text import LOWER, U64, Rolling, chunks, mix, tidy, words
 from keelson.llm.winnow import keyed, seen_twice, test
 
-COUNT_BITS = 22
+COUNT_BITS = 23
 PART = 1 << 16
 
 
@@ -50,12 +51,30 @@ class Similar:
     shingle: int = 4
     num: int = 85
     den: int = 100
-    cell_bits: int = 27
+    #: Hundredths of a set by which its first shingles are more than the least number, for the first test.
+    slack: int = 20
+    cell_bits: int = 28
     #: Members from which a region is cut into rings.
     ring_from: int = 512
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1 if n else 0
+    def overlap(self, n: int) -> int:
+        """Least intersection of a set of ``n`` with a linked one; also the least size of that one."""
+        return -(-self.num * n // self.den)
+
+    def extra(self, n: int) -> int:
+        return max(1, self.slack * n // 100)
+
+    def tested(self, n: int) -> int:
+        """How many first shingles are looked at in the first test."""
+        return min(n, n - self.overlap(n) + self.extra(n))
+
+    def least(self, n: int) -> int:
+        """How many of them a linked set shares, whatever its size."""
+        return min(self.extra(self.overlap(n)), self.overlap(n))
+
+    def first(self, n: int) -> int:
+        """How many first shingles name regions."""
+        return min(n, n - self.overlap(n) + 1)
 
 
 def sets(column: pa.Array, w: Similar) -> Iterator[tuple[int, np.ndarray]]:
@@ -114,8 +133,8 @@ def vertices(docs: DataFrame, w: Similar) -> tuple[DataFrame, np.ndarray]:
         packed = [zlib.compress(np.minimum(8 * np.log2(1 + c.astype(float)), 255).astype(np.uint8).tobytes(), 1) for c in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
-    scanned = kept(docs.select("text", "k1", "k2").mapInArrow(scan, "k1 long, k2 long, vid long, n long, part int, counts binary"), "sets")
-    parts = scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary")
+    scanned = kept(docs.select("text", "k1", "k2").mapInArrow(tidy(scan), "k1 long, k2 long, vid long, n long, part int, counts binary"), "sets")
+    parts = scanned.where("part is not null").select("part", "counts").repartition("part").mapInArrow(tidy(add), "part int, counts binary")
     common = np.zeros(1 << COUNT_BITS, np.uint8)
     rows = parts.toArrow()
     for part, packed in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -124,16 +143,14 @@ def vertices(docs: DataFrame, w: Similar) -> tuple[DataFrame, np.ndarray]:
 
 
 def first_shingles(found: np.ndarray, common: np.ndarray, w: Similar) -> np.ndarray:
-    """The shingles of which a linked set must share one: the rarest, ties by hash."""
-    size = w.prefix(len(found))
-    if size >= len(found):
-        return found
+    """The rarest shingles of a set, rarest first, ties by hash."""
     order = np.argsort(common[(found & U64((1 << COUNT_BITS) - 1)).astype(np.int64)], kind="stable")
-    return found[order[:size]]
+    return found[order[: w.tested(len(found))]]
 
 
-def regions(docs: DataFrame, w: Similar, common: np.ndarray) -> DataFrame:
-    """``pivot``, ``vid`` and ``n`` of the members of every region; the pivot is one of them."""
+def near(docs: DataFrame, w: Similar, common: np.ndarray) -> DataFrame:
+    """``vid``, ``n``, ``cells`` (first shingles others may hold) and ``hashes`` of the vertices that may have links, once per
+    task that meets them."""
     common = docs.sparkSession.sparkContext.broadcast(common)
 
     def hashes(column):
@@ -147,21 +164,38 @@ def regions(docs: DataFrame, w: Similar, common: np.ndarray) -> DataFrame:
     def shared(batches):
         known: set[int] = set()
         for batch in batches:
-            vid, n, cell = [], [], []
+            vid, n, cells, whole, size = [], [], [], [], 0
             for _, found in sets(batch.column(0), w):
                 first = first_shingles(found, common.value, w)
-                first = first[test(bits.value, first & mask)]
-                name = digest(found)
-                if len(first) and name not in known:
+                twice = test(bits.value, first & mask)
+                if not len(found) or twice.sum() < w.least(len(found)):
+                    continue
+                routes = first[: w.first(len(found))][twice[: w.first(len(found))]]
+                if len(routes) and (name := digest(found)) not in known:
                     known.add(name)
-                    vid.append(np.full(len(first), name, np.int64))
-                    n.append(np.full(len(first), len(found), np.int64))
-                    cell.append(first.view(np.int64))
+                    vid.append(name)
+                    n.append(len(found))
+                    cells.append(routes.view(np.int64))
+                    whole.append(found.tobytes())
+                    size += len(found)
+                    if size > 1 << 20:
+                        yield rows(vid, n, cells, whole)
+                        vid, n, cells, whole, size = [], [], [], [], 0
             if vid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (cell, vid, n)], ["cell", "vid", "n"])
+                yield rows(vid, n, cells, whole)
+
+    def rows(vid, n, cells, whole):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(vid, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(whole, pa.binary())], ["vid", "n", "cells", "hashes"]
+        )
 
-    cells = kept(docs.select("text").mapInArrow(shared, "cell long, vid long, n long"), "cells")
-    cells = cells.groupBy("cell", "vid").agg(F.max("n").alias("n"))
+    return kept(docs.select("text").mapInArrow(tidy(shared), "vid long, n long, cells array<long>, hashes binary"), "near")
+
+
+def regions(held: DataFrame) -> DataFrame:
+    """``pivot``, ``vid`` and ``n`` of the members of every region, from ``near``."""
+    cells = held.select(F.explode("cells").alias("cell"), "vid", "n").groupBy("cell", "vid").agg(F.max("n").alias("n"))
+    cells = kept(cells, "cells")
     pivots = cells.groupBy("cell").agg(F.min("vid").alias("pivot"), F.max("vid").alias("other")).where("pivot < other").select("cell", "pivot")
     return kept(cells.join(pivots, "cell").select("pivot", "vid", "n").distinct(), "regions")
 
@@ -227,46 +261,36 @@ def join_region(members: list[np.ndarray], w: Similar) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, found: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
+def links(held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
     """``a``, ``b``: links between vertices that span every component of every region."""
     wide = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > w.ring_from).select("pivot", F.lit(True).alias("wide"))
     ring = F.floor(F.log(F.col("n").cast("double")) / math.log(w.den / w.num) + F.lit(1e-9)).cast("int") if w.num < w.den else F.col("n").cast("int")
     dealt = members.join(wide, "pivot", "left").select(
         "pivot", "vid", F.explode(F.when(F.col("wide"), F.array(ring, ring + 1)).otherwise(F.array(F.lit(-1)))).alias("ring")
     )
-    source = found.groupBy("vid").agg(F.min(F.struct("k1", "k2")).alias("key"))
-    wanted = members.select("vid").distinct().join(source, "vid").select("vid", "key.k1", "key.k2")
-
-    def hashed(batches):
-        for batch in batches:
-            got = [s.tobytes() for _, s in sets(batch.column("text"), w)]
-            yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(got, pa.binary())], ["vid", "hashes"])
-
-    held = docs.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("vid", "text").mapInArrow(hashed, "vid long, hashes binary")
-    rows = dealt.join(held, "vid").select("pivot", "ring", "vid", "hashes")
+    wanted = held.select("vid", "hashes").join(members.select("vid").distinct(), "vid", "left_semi").dropDuplicates(["vid"])
+    rows = dealt.join(wanted, "vid").select("pivot", "ring", "vid", "hashes")
 
     def join(batches):
         key, vids, held = None, [], []
 
         def close():
-            of = dict(zip(vids, held))  # a vertex can come twice, from repeated rows
-            names = list(of)
-            got = join_region([np.frombuffer(of[v], np.uint64) for v in names], w)
-            return pa.RecordBatch.from_arrays([pa.array([names[p[k]] for p in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+            got = join_region([np.frombuffer(h, np.uint64) for h in held], w)
+            return pa.RecordBatch.from_arrays([pa.array([vids[p[k]] for p in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for pivot, ring, vid, hashes in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row, (pivot, ring, vid) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if (pivot, ring) != key:
                     if len(vids) > 1:
                         yield close()
                     key, vids, held = (pivot, ring), [], []
                 vids.append(vid)
-                held.append(hashes)
+                held.append(batch.column(3)[row].as_py())
         if len(vids) > 1:
             yield close()
 
     dealt_out = rows.repartition("pivot", "ring").sortWithinPartitions("pivot", "ring")
-    return dealt_out.mapInArrow(join, "a long, b long")
+    return dealt_out.mapInArrow(tidy(join), "a long, b long")
 
 
 def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
@@ -274,7 +298,8 @@ def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
     ``component_id`` of every document."""
     rows = keyed(docs)
     found, common = vertices(rows, w)
-    edges = links(rows, found, regions(rows, w, common), w)
+    held = near(rows, w, common)
+    edges = links(held, regions(held), w)
     roots = kept(components(edges), "roots")
     # an empty set is a vertex of its own for every document
     named = rows.select("doc_id", "k1", "k2").join(found.dropDuplicates(["k1", "k2"]), ["k1", "k2"])

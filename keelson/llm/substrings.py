@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from keelson.llm.text import chunks, words
+from keelson.llm.text import chunks, tidy, words
 from keelson.llm.winnow import Windows, covered, with_spans
 
 WORDS = Windows("words", 35, 8)
@@ -158,4 +158,4 @@ def repeated_substrings(docs: DataFrame, w: Windows = WORDS, separator: str | No
     names = ["doc_id", "n_words", "n_removed", "kept_text", *(["row"] if carry else [])]
     found = with_spans(docs, w, automaton_ranges(w.size), carry)
     kinds = [found.schema["doc_id"].dataType, LongType(), LongType(), StringType(), *([found.schema["row"].dataType] if carry else [])]
-    return found.mapInArrow(remove, StructType([StructField(n, t) for n, t in zip(names, kinds)]))
+    return found.mapInArrow(tidy(remove), StructType([StructField(n, t) for n, t in zip(names, kinds)]))

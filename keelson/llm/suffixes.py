@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keelson.llm.text import chunks
+from keelson.llm.text import chunks, tidy
 from keelson.llm.winnow import Windows, covered, with_spans
 
 BYTES = Windows("bytes", 400, 32, window_bits=0, shard_bytes=1_200_000)
@@ -152,4 +152,4 @@ def repeated_bytes(docs: DataFrame, w: Windows = BYTES) -> DataFrame:
             )
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-    return with_spans(docs, w, suffix_ranges(w.size)).mapInArrow(remove, schema)
+    return with_spans(docs, w, suffix_ranges(w.size)).mapInArrow(tidy(remove), schema)

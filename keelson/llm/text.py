@@ -6,6 +6,7 @@ of ``[^\\x20\\x09-\\x0D]+``. A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,12 +14,31 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def tidy(work):
+    """A task function that gives freed memory back when it ends: workers live on, and would keep the most they ever held."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes of text worked on at once; a longer document is worked on alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

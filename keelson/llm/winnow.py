@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.store import kept, kept_counted
-from keelson.llm.text import U64, Chunk, Rolling, byte_values, chunks, inside_one, sliding_min, words
+from keelson.llm.text import U64, Chunk, Rolling, byte_values, chunks, inside_one, release, sliding_min, tidy, words
 
 PART_BITS = 16
 TIE = U64((1 << 24) - 1)
 SLICE = 1 << 22
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Windows:
     #: 0: windows are not tested before they are sent.
     window_bits: int = 28
     #: Bytes of distinct segments (before copies from other tasks are merged) for one shard.
-    shard_bytes: int = 1_500_000
+    shard_bytes: int = 1_000_000
 
 
 class Tokens:
@@ -117,7 +117,7 @@ def seen_twice(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray
                 if len(found):
                     got.append((found & mask).astype(np.uint32))
                     size += len(found)
-            if size > 1 << 23:
+            if size > 1 << 21:
                 yield flush(got)
                 got, size = [], 0
         if size:
@@ -139,8 +139,8 @@ def seen_twice(docs: DataFrame, hashes: Callable[[pa.Array], Iterator[np.ndarray
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "bits"]
         )
 
-    sent = docs.select("text").mapInArrow(send, "part int, ones binary, twos binary")
-    merged = sent.repartition("part").mapInArrow(merge, "part int, bits binary")
+    sent = docs.select("text").mapInArrow(tidy(send), "part int, ones binary, twos binary")
+    merged = sent.repartition("part").mapInArrow(tidy(merge), "part int, bits binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (PART_BITS - 3)
     rows = merged.toArrow()
@@ -239,7 +239,7 @@ def segments(docs: DataFrame, w: Windows) -> tuple[DataFrame, int]:
         if held:
             yield contents()
 
-    found = docs.select("text", "k1", "k2").mapInArrow(cut, "h long, sh long, k1 long, k2 long, at long, n long, cnt long, body binary")
+    found = docs.select("text", "k1", "k2").mapInArrow(tidy(cut), "h long, sh long, k1 long, k2 long, at long, n long, cnt long, body binary")
     table, counts = kept_counted(found, "segments", size=F.sum(F.length("body")))
     return table, counts["size"]
 
@@ -297,6 +297,7 @@ def matched(table: DataFrame, size: int, w: Windows, repeated: Callable[[list[by
         total = total[np.bincount(anchor, total)[anchor] > 1]
         bodies = group.column("body").take(pa.array(order[keep])).to_pylist()
         spans = trimmed(bodies, total, w, repeated) if bodies else []
+        release()
         rows = [(a, b, s.astype(np.int32).tobytes()) for a, b, s in zip(h[keep].tolist(), sh[keep].tolist(), spans) if len(s)]
         return pa.table(
             {"h": pa.array([r[0] for r in rows], pa.int64()), "sh": pa.array([r[1] for r in rows], pa.int64()), "spans": pa.array([r[2] for r in rows], pa.binary())}
