@@ -273,11 +273,14 @@ def borders(matrices: DataFrame, longest: int) -> DataFrame:
     return matrices.groupBy("pid", "row").applyInArrow(scan, "pid long, row long, part int, enter int, leave int")
 
 
-def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
-    """``pid``, ``row``, ``doc_id``, ``part``, ``parts``, ``ids`` (little-endian 32 bits) and ``score`` of each chunk."""
+def encode_apart(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> tuple[DataFrame, DataFrame]:
+    """``pid``, ``row``, ``doc_id``, ``part``, ``parts``, ``ids`` (little-endian 32 bits) and ``score`` of each chunk: of the
+    texts that are one chunk, and of the longer ones."""
     longest = vocabulary(path).longest
-    chunks = chunked(docs, chunk_chars, longest)
-    long = kept(chunks.where("parts > 1"), "chunks")
+    size = F.length(F.coalesce("text", F.lit("")))
+    # with the mark before it, a text of chunk_chars characters has two chunks
+    short = chunked(docs.where(size < chunk_chars), chunk_chars, longest)
+    long = kept(chunked(docs.where(size >= chunk_chars), chunk_chars, longest), "chunks")
     states = borders(transfers(long, path), longest)
 
     def segment(batches):
@@ -295,10 +298,16 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
 
     columns = ["pid", "row", "doc_id", "part", "parts", "size", "origin", "text", "enter", "leave"]
     zero = F.lit(0).cast("int")
-    short = chunks.where("parts = 1").select("*", zero.alias("enter"), zero.alias("leave")).select(*columns)
+    short = short.select("*", zero.alias("enter"), zero.alias("leave")).select(*columns)
     schema = f"pid long, row long, doc_id {dict(docs.dtypes)['doc_id']}, part int, parts int, ids binary, score long"
-    # apart, so that short texts are not joined with anything
-    return short.mapInArrow(segment, schema).union(long.join(states, ["pid", "row", "part"]).select(*columns).mapInArrow(segment, schema))
+    # short texts are not joined with anything
+    return short.mapInArrow(segment, schema), long.join(states, ["pid", "row", "part"]).select(*columns).mapInArrow(segment, schema)
+
+
+def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
+    """Both tables of ``encode_apart``; ``pid`` and ``row`` tell documents apart where ``parts`` is above 1."""
+    short, long = encode_apart(docs, path, chunk_chars)
+    return short.union(long)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -316,10 +325,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(turn, ", ".join(f"{c} {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
 
-def whole(decoded: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``ids``, ``score`` and ``text`` put together from its chunks."""
-    one = decoded.where("parts = 1").select("doc_id", "ids", "score", F.col("decoded").cast("string").alias("text"))
+def whole(short: DataFrame, long: DataFrame) -> DataFrame:
+    """One row per document from the two decoded tables: ``doc_id``, ``ids``, ``score`` and ``text``."""
+    one = short.select("doc_id", "ids", "score", F.col("decoded").cast("string").alias("text"))
     order = F.sort_array(F.collect_list(F.struct("part", "ids", "decoded")))
-    many = decoded.where("parts > 1").groupBy("pid", "row").agg(F.first("doc_id").alias("doc_id"), order.alias("c"), F.sum("score").alias("score"))
+    many = long.groupBy("pid", "row").agg(F.first("doc_id").alias("doc_id"), order.alias("c"), F.sum("score").alias("score"))
     join = lambda name: F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x[name]))
     return one.union(many.select("doc_id", join("ids").alias("ids"), "score", join("decoded").cast("string").alias("text")))

@@ -7,7 +7,7 @@ from cases import documents, texts
 
 from keelson.llm.lattice import MARK
 from keelson.llm.packing_queries import tokenizer_path
-from keelson.llm.viterbi import NEVER, STEP, decode, encode, places, product, segmenter, unit_begin, whole
+from keelson.llm.viterbi import NEVER, STEP, decode, encode, encode_apart, places, product, segmenter, unit_begin, whole
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 PARTS = ["the", "ing", " ", "tion", "a", "é", "\n", "漢", "er", " of ", "in", "  ", "xq", "🙂"]
@@ -67,7 +67,8 @@ def test_chunks_make_the_whole():
 def test_documents(spark, chunk):
     best = segmenter(PATH)
     rows = [r for r in texts() if r[0] != 7] + [(200 + k, t) for k, t in enumerate(some_texts(5, 30))]
-    out = whole(decode(encode(documents(spark, rows), PATH, chunk), PATH)).collect()
+    short, long = encode_apart(documents(spark, rows), PATH, chunk)
+    out = whole(decode(short, PATH), decode(long, PATH)).collect()
     want = Counter()
     for i, t in rows:
         ids, score = plain(best, MARK + t.replace(" ", MARK)) if t else ([], 0)
@@ -76,4 +77,4 @@ def test_documents(spark, chunk):
 
 
 def test_empty_table(spark):
-    assert whole(decode(encode(documents(spark, [(1, "a")]).limit(0), PATH), PATH)).count() == 0
+    assert decode(encode(documents(spark, [(1, "a")]).limit(0), PATH), PATH).count() == 0
