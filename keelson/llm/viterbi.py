@@ -22,11 +22,11 @@ A null or empty text has no pieces. Repeated rows are encoded once each. An empt
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ from keelson.llm.tokens import WordIds
 STEP = 1 << 20
 NEVER = -(1 << 62)
 UNSCORED = -1e8
-UNIT = regex.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
 class Best(WordIds):
@@ -53,6 +53,8 @@ class Best(WordIds):
         # the file marks pieces that are not for scoring (runs of marks) with a score far below all others
         plain = {p: round(model.get_score(i)) for p, i in self.vocab.id.items() if model.get_score(i) > UNSCORED}
         self.score = {p: s * STEP + zlib.crc32(p.encode()) % STEP for p, s in plain.items()}
+        #: Beginnings of pieces: a search ends where none goes on.
+        self.begins = {p[:n] for p in plain for n in range(1, len(p))}
         worst = min(plain.values())
         self.unknown = (worst - 10) * STEP
         #: Per id: its score (an unknown character's is on its first byte piece), and the bytes it stands for.
@@ -72,17 +74,20 @@ class Best(WordIds):
         end = min(len(text), high + over)
         best, last = [NEVER] * (end - low + 1), [-1] * (end - low + 1)
         best[0] = 0
-        get, longest = self.score.get, self.longest
+        get, begins, longest = self.score.get, self.begins, self.longest
         for i in range(low, high):
             here = best[i - low]
             if here == NEVER:
                 continue
             odd = 2 * place[i] + 1
             for j in range(i + 1, min(end, i + longest) + 1):
-                s = get(text[i:j])
+                piece = text[i:j]
+                s = get(piece)
                 if s is None:
                     if j > i + 1:
-                        continue
+                        if piece in begins:
+                            continue
+                        break
                     s = self.unknown
                 own = s & (STEP - 1)
                 s += here - own + (own * odd & (STEP - 1))
@@ -280,7 +285,9 @@ def encode_apart(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> tuple
     size = F.length(F.coalesce("text", F.lit("")))
     # with the mark before it, a text of chunk_chars characters has two chunks
     short = chunked(docs.where(size < chunk_chars), chunk_chars, longest)
-    long = kept(chunked(docs.where(size >= chunk_chars), chunk_chars, longest), "chunks")
+    # few rows with much work each: dealt out by a number, or small files would be one task
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = kept(chunked(docs.where(size >= chunk_chars), chunk_chars, longest), "chunks").repartition(tasks, "pid", "row", "part")
     states = borders(transfers(long, path), longest)
 
     def segment(batches):
