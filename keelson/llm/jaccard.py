@@ -15,7 +15,10 @@ The Jaccard distance d = 1 - J is a metric; documents link at d <= r = 1 - J0.
 4. A region joins recursively: the smallest set is the pivot, distances to it are exact. Documents within r are linked. By
    the triangle inequality a document beyond 2 r has no link into that ball; one between r and 2 r is compared with the
    ball's documents whose distance to the pivot is at least its own less r. All beyond r are joined among themselves.
-5. Links found span the components of each region; ``components`` joins regions.
+5. A region or ring too large for one task is joined by ``rounds``: some of its members go to all tasks, its members stay
+   where they are and are compared with those, until only pairs in one component are left. Memory of a task is bounded;
+   work is quadratic in members that are in a region and link with few of it.
+6. Links found span the components of each region; ``components`` joins regions.
 
 Words are lower-cased in A-Z. With fewer words than a shingle has, the whole sequence is the one shingle; without words or
 text the set is empty and linked with nothing. Equal rows get equal results; a null ``doc_id`` can link others, and is a
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.components import components
-from keelson.llm.store import kept
+from keelson.llm.store import kept, kept_counted
 from keelson.llm.text import LOWER, U64, Rolling, chunks, mix, tidy, words
 from keelson.llm.winnow import keyed, seen_twice, test
 
@@ -56,6 +59,11 @@ class Similar:
     cell_bits: int = 28
     #: Members from which a region is cut into rings.
     ring_from: int = 512
+    #: Shingles of its members from which a group is joined by ``rounds`` over all tasks, and those sent to all in a round.
+    group_shingles: int = 1 << 20
+    round_shingles: int = 1 << 20
+    #: Members of a group sent in the first round.
+    sub_pivots: int = 16
 
     def overlap(self, n: int) -> int:
         """Least intersection of a set of ``n`` with a linked one; also the least size of that one."""
@@ -261,14 +269,112 @@ def join_region(members: list[np.ndarray], w: Similar) -> list[tuple[int, int]]:
     return out
 
 
+class Block:
+    """Sets that others are compared with all at once."""
+
+    def __init__(self, vids: list[int], sets_: list[np.ndarray]):
+        self.vids, self.size = np.array(vids, np.int64), np.array([len(s) for s in sets_], np.int64)
+        all_ = np.concatenate(sets_)
+        order = np.argsort(all_, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets_)), self.size)[order]
+        self.keys, first = np.unique(all_[order], return_index=True)
+        self.cuts = np.append(first, len(all_))
+
+    def linked(self, one: np.ndarray, w: Similar) -> np.ndarray:
+        """Places of the sets that link with ``one``."""
+        at = np.searchsorted(self.keys, one)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == one]
+        n = self.cuts[at + 1] - self.cuts[at]
+        holders = np.repeat(self.cuts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[holders], minlength=len(self.size))
+        return np.flatnonzero((common > 0) & (w.den * common >= w.num * (self.size + len(one) - common)))
+
+
+def rounds(rows: DataFrame, edges: DataFrame, w: Similar) -> DataFrame:
+    """``edges`` and those that join the components of the groups of ``rows`` (``pivot``, ``ring``, ``vid``, ``n``, ``hashes``).
+
+    In each round a bounded number of members of each group goes to all tasks, and every member is compared with those of
+    its group. A pair is left out only if its two ends are known to be in one component: members that have had their round, or
+    are in the component that holds most of their group, are not sent. It ends when no group has others.
+    """
+    spark = rows.sparkSession
+    ids = kept(rows.select("pivot", "ring", "vid", "n"), "members")
+    sent: DataFrame | None = None
+    width = w.sub_pivots
+    while True:
+        named = ids.join(components(edges).withColumnRenamed("id", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+        named = kept(named, "named")
+        parts = named.groupBy("pivot", "ring", "root").agg(F.count(F.lit(1)).alias("members"))
+        most = parts.groupBy("pivot", "ring").agg(F.max(F.struct("members", "root"))["root"].alias("most"))
+        left = named.join(most, ["pivot", "ring"]).where("root <> most")
+        if sent is not None:
+            left = left.join(sent, ["pivot", "ring", "vid"], "left_anti")
+        left, seen = kept_counted(left.select("pivot", "ring", "vid", "n"), "left", n=F.count(F.lit(1)), shingles=F.sum("n"))
+        if not seen["n"]:
+            return edges
+        groups = left.select("pivot", "ring").distinct().count()
+        # as many as the bytes of a round allow, few at first: most members are near one of them
+        salt = max(1, min(width, w.round_shingles * seen["n"] // (seen["shingles"] * groups)))
+        width *= 8
+        turn = F.xxhash64("vid", F.lit(width))
+        some = left.groupBy("pivot", "ring", F.pmod(turn, F.lit(salt)).alias("salt")).agg(F.min(F.struct(turn.alias("turn"), "vid"))["vid"].alias("vid"))
+        some = kept(some.select("pivot", "ring", "vid"), "sent")
+        sent = some if sent is None else sent.union(some)
+        chosen = rows.join(some, ["pivot", "ring", "vid"], "left_semi").select("pivot", "ring", "vid", "hashes").toArrow()
+        held: dict[tuple[int, int], tuple[list, list]] = {}
+        for pivot, ring, vid, found in zip(*(chosen.column(k).to_pylist() for k in range(4))):
+            vids, sets_ = held.setdefault((pivot, ring), ([], []))
+            vids.append(vid)
+            sets_.append(np.frombuffer(found, np.uint64))
+        blocks = spark.sparkContext.broadcast({key: Block(*have) for key, have in held.items()})
+
+        def compare(batches, blocks=blocks):
+            same: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while same.setdefault(v, v) != v:
+                    same[v] = v = same[same[v]]
+                return v
+
+            for batch in batches:
+                a, b = [], []
+                for row, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                    block = blocks.value.get(key)
+                    if block is None:
+                        continue
+                    vid = batch.column(2)[row].as_py()
+                    near_ = [v for v in block.vids[block.linked(np.frombuffer(batch.column(3)[row].as_buffer(), np.uint64), w)].tolist() if v != vid]
+                    # one edge for the member, and those between sets sent that the task has not joined yet
+                    for k, v in enumerate(near_):
+                        if k and root(v) == root(near_[0]):
+                            continue
+                        if k:
+                            same[root(v)] = root(near_[0])
+                        a.append(vid)
+                        b.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        got = rows.select("pivot", "ring", "vid", "hashes").mapInArrow(tidy(compare), "a long, b long")
+        edges = kept(edges.union(got).distinct(), "edges")
+        blocks.unpersist()
+
+
 def links(held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
     """``a``, ``b``: links between vertices that span every component of every region."""
     wide = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > w.ring_from).select("pivot", F.lit(True).alias("wide"))
     ring = F.floor(F.log(F.col("n").cast("double")) / math.log(w.den / w.num) + F.lit(1e-9)).cast("int") if w.num < w.den else F.col("n").cast("int")
     dealt = members.join(wide, "pivot", "left").select(
-        "pivot", "vid", F.explode(F.when(F.col("wide"), F.array(ring, ring + 1)).otherwise(F.array(F.lit(-1)))).alias("ring")
+        "pivot", "vid", "n", F.explode(F.when(F.col("wide"), F.array(ring, ring + 1)).otherwise(F.array(F.lit(-1)))).alias("ring")
     )
+    dealt = kept(dealt, "dealt")
+    large = dealt.groupBy("pivot", "ring").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > w.group_shingles).select("pivot", "ring")
+    large, seen = kept_counted(large, "large", n=F.count(F.lit(1)))
     wanted = held.select("vid", "hashes").join(members.select("vid").distinct(), "vid", "left_semi").dropDuplicates(["vid"])
+    if seen["n"]:
+        wanted = kept(wanted, "wanted")
+        big = kept(dealt.join(large, ["pivot", "ring"], "left_semi").join(wanted, "vid").select("pivot", "ring", "vid", "n", "hashes"), "big")
+        dealt = dealt.join(large, ["pivot", "ring"], "left_anti")
     rows = dealt.join(wanted, "vid").select("pivot", "ring", "vid", "hashes")
 
     def join(batches):
@@ -290,7 +396,8 @@ def links(held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
             yield close()
 
     dealt_out = rows.repartition("pivot", "ring").sortWithinPartitions("pivot", "ring")
-    return dealt_out.mapInArrow(tidy(join), "a long, b long")
+    edges = dealt_out.mapInArrow(tidy(join), "a long, b long")
+    return rounds(big, kept(edges, "links"), w) if seen["n"] else edges
 
 
 def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
 from cases import documents, texts, words
 
+from keelson.llm import jaccard
 from keelson.llm.components import components
 from keelson.llm.jaccard import Similar, join_region, one_of_each, similar
 
@@ -80,6 +82,35 @@ def test_region():
         assert [[x == y for y in a] for x in a] == [[x == y for y in b] for x in b]
 
 
+def template_copies(seed, n):
+    """Copies of one template, with unique words at its end; and near copies of some of them."""
+    rnd = random.Random(seed)
+    base = [f"t{i}" for i in range(40)]
+    out = [(1000 + i, " ".join(base + [f"u{i}x{k}" for k in range(rnd.randint(1, 8))])) for i in range(n)]
+    return out + [(2000 + i, text + " end") for i, (_, text) in enumerate(out[::3])]
+
+
+def test_large_groups_are_joined_in_rounds(spark):
+    w = Similar(2, 60, 100, 16, ring_from=4, group_shingles=100, sub_pivots=2)
+    check(spark, texts() + near_copies(6) + template_copies(7, 45), w)
+
+
+def test_no_task_holds_a_large_group(spark, tmp_path, monkeypatch):
+    plain, folder = jaccard.join_region, str(tmp_path)
+
+    def noted(members, w):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(len(m) for m in members)))
+        return plain(members, w)
+
+    monkeypatch.setattr(jaccard, "join_region", noted)
+    # two small groups, and copies of a template that are one group
+    rows = template_copies(8, 60) + [(i, " ".join(f"s{i % 2}x{k}" for k in range(20 + i // 2))) for i in range(4)]
+    check(spark, rows, Similar(4, 85, 100, 16, group_shingles=400))
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sizes and max(sizes) <= 400
+
+
 def test_one_of_each(spark):
     rows = [*near_copies(3, 24), (1, None), (1, None), (2, " "), (None, "lone text here"), (7, "x y z"), (7, "x y z"), (8, "X y z")]
     docs = documents(spark, rows)
