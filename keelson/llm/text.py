@@ -94,10 +94,11 @@ class Chunk:
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The documents of a string column in runs of at most ``limit`` bytes, or one longer document."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """The documents of a string or binary column in runs of at most ``limit`` bytes, or one longer document."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if binary else "")
     n = len(column)
     if not n:
         return

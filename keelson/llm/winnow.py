@@ -10,6 +10,9 @@ hold each window of the corpus exactly once, and all equal windows lie in segmen
 2. ``segments`` writes the occurrences of the segments of windows that passed, and each distinct segment once per task.
 3. ``matched`` deals distinct segments by anchor hash to shards; a shard sees every occurrence of its windows and decides
    exactly. Copies of a segment come as one row with a count, however many documents hold it.
+   An anchor whose segments are more than a shard is cut further: windows are counted by what the windows of a few
+   neighbouring places of the anchor share, only those counted twice go on, and these are dealt by that key; keys that are
+   still too large, by whole windows, of which a key has one content.
 4. ``document_spans`` brings the spans back to their documents.
 """
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.store import kept, kept_counted
-from keelson.llm.text import U64, Chunk, Rolling, byte_values, chunks, inside_one, release, sliding_min, tidy, words
+from keelson.llm.text import U64, Chunk, Rolling, byte_values, chunks, inside_one, mix, release, sliding_min, tidy, words
 
 PART_BITS = 16
 TIE = U64((1 << 24) - 1)
@@ -279,10 +282,77 @@ def trimmed(bodies: list[bytes], weights: np.ndarray, w: Windows, repeated: Call
 
 
 def matched(table: DataFrame, size: int, w: Windows, repeated: Callable[[list[bytes], list[int]], list[np.ndarray]]) -> DataFrame:
-    """Per distinct segment, the token ranges covered by repeated windows: ``h``, ``sh``, ``spans`` (pairs of 32-bit integers).
+    """Per distinct segment, the token ranges covered by repeated windows: ``h``, ``sh``, ``shift``, ``spans`` (pairs of 32-bit
+    integers, counted from token ``shift``). A segment may have several rows.
 
     ``repeated`` gets the distinct segments of one shard and how often each occurs, and returns an array of ranges for each.
     """
+    widths = sorted({max(1, w.size // 24), 1}, reverse=True)
+    return _matched(table.where("cnt > 0").select("h", "sh", "cnt", "body"), size, w, repeated, widths)
+
+
+def _matched(contents: DataFrame, size: int, w: Windows, repeated, widths: list[int]) -> DataFrame:
+    """``matched`` for ``h``, ``sh``, ``cnt`` and ``body``. Segments of an anchor with more than a shard's bytes are cut into
+    pieces (see ``pieces``) of ``widths[0]`` windows each, and those go on under their own keys."""
+    if not widths:
+        return _dealt(contents, size, w, repeated)
+    hot = contents.groupBy("h").agg(F.sum(F.length("body")).alias("bytes")).where(F.col("bytes") > w.shard_bytes)
+    hot, seen = kept_counted(hot, "hot", n=F.count(F.lit(1)), bytes=F.sum("bytes"))
+    if not seen["n"]:
+        return _dealt(contents, size, w, repeated)
+    whole = contents.join(hot, "h", "left_semi").groupBy("h", "sh").agg(F.sum("cnt").alias("cnt"), F.first("body").alias("body"))
+    whole = kept(whole, "whole")
+    cut = kept(pieces(whole, w, widths[0]), "pieces")
+    # an equal window elsewhere lies in a piece with the same key
+    twice = cut.groupBy("ph").agg(F.sum("cnt").alias("places")).where("places > 1").select("ph")
+    cut = kept(cut.join(twice, "ph", "left_semi"), "pieces")
+    one = cut.groupBy("ph", "psh").agg(F.sum("cnt").alias("cnt"), F.min(F.struct("h", "sh", "begin", "length")).alias("one"))
+    one = one.select("ph", "psh", F.col("cnt").alias("places"), "one.*").join(whole.select("h", "sh", "body"), ["h", "sh"])
+    one = one.select(F.col("ph").alias("h"), F.col("psh").alias("sh"), F.col("places").alias("cnt"), F.expr("substring(body, begin + 1, length)").alias("body"))
+    one, further = kept_counted(one, "contents", size=F.sum(F.length("body")))
+    found = _matched(one, further["size"], w, repeated, widths[1:]).withColumnsRenamed({"h": "ph", "sh": "psh", "shift": "inner"})
+    back = cut.join(found, ["ph", "psh"]).select("h", "sh", (F.col("shift") + F.col("inner")).alias("shift"), "spans")
+    cool = _dealt(contents.join(hot, "h", "left_anti"), max(0, size - seen["bytes"]), w, repeated)
+    return cool.union(back)
+
+
+def pieces(whole: DataFrame, w: Windows, width: int) -> DataFrame:
+    """Runs of windows of each segment by the place of the anchor in them: ``ph``, ``psh``, ``h``, ``sh``, ``cnt``, ``begin`` and
+    ``length`` (bytes of the body), ``shift`` (its first token).
+
+    The windows with the anchor at places ``k * width`` to ``k * width + width - 1`` share ``size - width + 1`` tokens; ``ph``
+    is their hash. Equal windows have equal keys, and windows differ from others of their key in ``width - 1`` tokens at most.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(3)]
+            for chunk in chunks(batch.column(3)):
+                tokens = Tokens(chunk, w.unit)
+                roll, place, _, ok = anchors(tokens, w)
+                at = np.flatnonzero(ok)
+                zone = (place[at] - at) // width
+                owner = np.searchsorted(tokens.first, at, "right") - 1
+                start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (zone[1:] != zone[:-1])][: len(at)])
+                low, zone, owner = at[start], zone[start], owner[start]
+                high = low + np.diff(np.append(start, len(at))) + w.size - 1
+                key = place[low] - zone * width
+                ph = mix(roll.spans(key, key + w.size - width + 1) ^ mix(zone.astype(np.uint64) + U64(width << 32)))
+                psh = roll.spans(low, high)
+                base = chunk.offsets[owner]
+                first, last = (low, high) if tokens.begin is None else (tokens.begin[low], tokens.end[high - 1])
+                row = chunk.low + owner
+                arrays = [ph.view(np.int64), psh.view(np.int64), *(c[row] for c in cols), first - base, last - first, low - tokens.first[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a).astype(np.int64)) for a in arrays], names)
+
+    names = ["ph", "psh", "h", "sh", "cnt", "begin", "length", "shift"]
+    return whole.select("h", "sh", "cnt", "body").mapInArrow(
+        tidy(cut), "ph long, psh long, h long, sh long, cnt long, begin long, length long, shift long"
+    )
+
+
+def _dealt(contents: DataFrame, size: int, w: Windows, repeated) -> DataFrame:
+    """``matched`` by shards of anchors."""
     shards = max(1, -(-size // w.shard_bytes))
 
     def shard(group: pa.Table) -> pa.Table:
@@ -303,14 +373,15 @@ def matched(table: DataFrame, size: int, w: Windows, repeated: Callable[[list[by
             {"h": pa.array([r[0] for r in rows], pa.int64()), "sh": pa.array([r[1] for r in rows], pa.int64()), "spans": pa.array([r[2] for r in rows], pa.binary())}
         )
 
-    contents = table.where("cnt > 0").select("h", "sh", "cnt", "body", F.pmod(F.col("h"), F.lit(shards)).alias("shard"))
-    return contents.groupBy("shard").applyInArrow(shard, "h long, sh long, spans binary")
+    sharded = contents.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    found = sharded.groupBy("shard").applyInArrow(shard, "h long, sh long, spans binary")
+    return found.select("h", "sh", F.lit(0).cast("long").alias("shift"), "spans")
 
 
 def document_spans(table: DataFrame, spans: DataFrame) -> DataFrame:
     """``k1``, ``k2`` and ``found``: the (place, ranges) pairs of each document that has any."""
     occurrences = table.where("cnt = 0").select("h", "sh", "k1", "k2", "at")
-    return occurrences.join(spans, ["h", "sh"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("found"))
+    return occurrences.join(spans, ["h", "sh"]).groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("at") + F.col("shift")).alias("at"), "spans")).alias("found"))
 
 
 def covered(found, n: int) -> np.ndarray:

@@ -1,12 +1,15 @@
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
 from cases import documents, texts, words
+from pyspark.sql import functions as F
 
+from keelson.llm import winnow
 from keelson.llm.substrings import automaton_ranges, repeated_substrings
 from keelson.llm.suffixes import repeated_bytes, suffix_array, suffix_ranges
-from keelson.llm.winnow import Windows
+from keelson.llm.winnow import Windows, document_spans, keyed, matched, segments
 
 
 def gone(sequences, size):
@@ -79,6 +82,38 @@ def test_bytes(spark):
     assert Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]), len(r["spans"])) for r in got) == want
 
 
+def test_hot_anchor_is_dealt_out(spark, tmp_path, monkeypatch):
+    """A line shorter than a window in every document, between different text; some windows over it are repeated."""
+    rnd = random.Random(9)
+    line = "".join(rnd.choice("abcdefgh") for _ in range(50))
+    text = lambda n: "".join(rnd.choice("mnopqrstuvwéßñ漢字") for _ in range(n))
+    rows = [(i, text(80) + line + text(80)) for i in range(60)]
+    rows += [(100 + i, text(40) + rows[i][1][60:150] + text(40)) for i in range(6)]
+    rows += [(200 + i, text(40) + line + "the end" + text(40)) for i in range(6)]
+    folder = str(tmp_path)
+
+    w = Windows("bytes", 56, 8, 16, 0, shard_bytes=2000)
+    docs = documents(spark, rows)
+    table, size = segments(keyed(docs), w)
+    largest = table.where("cnt > 0").groupBy("h").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n")).first()[0]
+    assert largest > 2000
+    plain = winnow.trimmed
+
+    def all_bodies(bodies, weights, w, repeated):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(map(len, bodies))))
+        return plain(bodies, weights, w, repeated)
+
+    monkeypatch.setattr(winnow, "trimmed", all_bodies)
+    assert document_spans(table, matched(table, size, w, suffix_ranges(56))).collect()
+    received = [int(f.read_text()) for f in tmp_path.iterdir()]
+    # no shard holds what the anchor had
+    assert received and max(received) < largest // 2
+    masks = gone([t.encode() for _, t in rows], 56)
+    want = Counter((i, bytes(c for c, g in zip(t.encode(), m) if not g)) for (i, t), m in zip(rows, masks))
+    assert Counter((r["doc_id"], bytes(r["kept"])) for r in repeated_bytes(docs, w).collect()) == want
+
+
 def test_empty_table(spark):
     assert repeated_substrings(documents(spark, texts()[:1]).limit(0)).count() == 0
     assert repeated_bytes(documents(spark, texts()[:1]).limit(0)).count() == 0
