@@ -1,8 +1,10 @@
+import inspect
 import random
 
 from cases import WORDS, documents
 from pyspark.sql import functions as F
 
+from keelson.llm import toxicity
 from keelson.llm.toxicity import classify, train
 
 
@@ -48,3 +50,8 @@ def test_one_class_and_nothing(spark):
     assert classify(docs.limit(0), chain).count() == 0
     again = classify(docs.withColumn("p_toxic", F.lit("old")), chain)
     assert dict(again.dtypes)["p_toxic"] == "double"
+
+
+def test_steps_and_features_are_not_cut():
+    assert inspect.signature(toxicity.fit).parameters["steps"].default >= 300
+    assert inspect.signature(toxicity.train).parameters["max_features"].default >= 3000
