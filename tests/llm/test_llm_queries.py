@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and all(any(re.match(f"op{n}_", q) for q in found) for n in range(1, 12))
+    assert "pipeline" in found and all(any(re.match(f"op{n}_", q) for q in found) for n in range(1, 14))
 
 
 def test_pipeline(spark):
