@@ -100,12 +100,9 @@ def object_id(c: Column | str) -> Column:
     kind answers to stands for itself.
     """
     scheme = uri_scheme(c)
-    kind = scheme
-    for name, provider in SCHEME_PROVIDERS.items():
-        kind = F.when(scheme == name, F.lit(provider)).otherwise(kind)
-    known = scheme.isin(*SCHEME_PROVIDERS)
-    path = F.when(known, uri_path(c)).otherwise(F.regexp_replace(col(c), r"^[^:]*:(//)?", ""))
-    return F.concat(kind, F.lit(":"), F.regexp_replace(F.regexp_replace(path, "/+", "/"), "^/", ""))
+    kinds = F.create_map(*[F.lit(x) for pair in SCHEME_PROVIDERS.items() for x in pair])
+    path = F.regexp_replace(F.regexp_replace(col(c), r"^[^:]*:(//)?", ""), "/+", "/")
+    return F.concat(F.coalesce(F.element_at(kinds, scheme), scheme), F.lit(":"), F.regexp_replace(path, "^/", ""))
 
 
 # The named schedules and their six fields.

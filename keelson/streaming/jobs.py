@@ -85,11 +85,11 @@ def upsert_stream(log_stream: DataFrame, path: str, checkpoint: str, key: str =
     return latest_per_key(stored, [key], [order])
 
 
-def alert_stream(records: DataFrame, path: str, checkpoint: str, channels: list[str], chat_id: str = "") -> DataFrame:
+def alert_stream(records: DataFrame, path: str, checkpoint: str, channels: list[str], chat_id: str = "", details: bool = False) -> DataFrame:
     """Finished runs of a record stream as rendered alerts, one row per channel."""
 
     def emit(batch: DataFrame, number: int) -> None:
-        alerts = N.run_alerts(batch).withColumn("channels", F.array(*[F.lit(c) for c in channels]))
+        alerts = N.run_alerts(batch, details).withColumn("channels", F.array(*[F.lit(c) for c in channels]))
         N.render(N.route(alerts), chat_id).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run_available(records, emit, checkpoint)

@@ -26,6 +26,12 @@ SLACK = (
     "{'type': 'section', 'text': {'type': 'mrkdwn', 'text': concat('*Message:* ', message, chr(10), chr(10), '*Details:*', chr(10), '• *Type:* ', kind, "
     "chr(10), case when size is null then '' else concat('• *Size:* ', size, chr(10)) end)}}]}) as varchar)"
 )
+# What a finished run sends: no details.
+TELEGRAM_PLAIN = "concat('<b>', headline, '</b>', chr(10), 'Message: ', message, chr(10))"
+SLACK_PLAIN = (
+    "cast(to_json({'text': concat(headline, ': ', message), 'blocks': [{'type': 'header', 'text': {'type': 'plain_text', 'text': headline}}, "
+    "{'type': 'section', 'text': {'type': 'mrkdwn', 'text': concat('*Message:* ', message, chr(10))}}]}) as varchar)"
+)
 DISCORD = (
     "cast(to_json({'embeds': [{'title': headline, 'description': message, 'color': case when success then 3066993 else 15158332 end, 'fields': "
     "case when size is null then [{'name': 'Type', 'value': kind, 'inline': true}] else "
@@ -45,7 +51,7 @@ def telegram_text(spark, sf_dir):
 
 @query(
     "n2_telegram_plain",
-    duck_history("select id, concat('<b>', headline, '</b>', chr(10), 'Message: ', message, chr(10)) as text from heads", ALERTS),
+    duck_history(f"select id, {TELEGRAM_PLAIN} as text from heads", ALERTS),
 )
 def telegram_plain(spark, sf_dir):
     """As runs send them: without details."""

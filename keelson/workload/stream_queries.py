@@ -12,7 +12,7 @@ from keelson.streaming import jobs as T
 from keelson.workload.catalog_queries import FLAT, flat, run_log
 from keelson.workload.fixtures import duck_history, history_of, table
 from keelson.workload.registry import query
-from keelson.workload.schedule_queries import ALERTS, SLACK, TELEGRAM
+from keelson.workload.schedule_queries import ALERTS, SLACK, SLACK_PLAIN, TELEGRAM, TELEGRAM_PLAIN
 
 #: One batch of a backup stream.
 BATCH_BYTES = 64 << 30
@@ -46,18 +46,28 @@ def streaming_upsert(spark, sf_dir):
     return flat(T.upsert_stream(stream, sink, f"{sink}-checkpoint").select(*CATALOG_COLUMNS))
 
 
-@query(
-    "t3_streaming_alerts",
-    duck_history(
-        "select id, 'slack' as channel, " + SLACK + " as body from heads union all "
-        "select id, 'telegram', cast(to_json({'chat_id': 'ops', 'text': " + TELEGRAM + ", 'parse_mode': 'HTML'}) as varchar) from heads",
+def alert_bodies(slack: str, telegram: str) -> str:
+    return duck_history(
+        f"select id, 'slack' as channel, {slack} as body from heads union all "
+        f"select id, 'telegram', cast(to_json({{'chat_id': 'ops', 'text': {telegram}, 'parse_mode': 'HTML'}}) as varchar) from heads",
         ALERTS,
-    ),
-)
-def streaming_alerts(spark, sf_dir):
+    )
+
+
+def alerts_sent(spark, sf_dir, details):
     sink = scratch_path(spark, "alerts")
     stream = history_of(table_stream(spark, sf_dir, "events", BATCH_BYTES))
-    return T.alert_stream(stream, sink, f"{sink}-checkpoint", ["Slack", "telegram", "fax"], "ops")
+    return T.alert_stream(stream, sink, f"{sink}-checkpoint", ["Slack", "telegram", "fax"], "ops", details)
+
+
+@query("t3_streaming_alerts", alert_bodies(SLACK_PLAIN, TELEGRAM_PLAIN))
+def streaming_alerts(spark, sf_dir):
+    return alerts_sent(spark, sf_dir, False)
+
+
+@query("t3_streaming_alerts_with_details", alert_bodies(SLACK, TELEGRAM))
+def detailed_streaming_alerts(spark, sf_dir):
+    return alerts_sent(spark, sf_dir, True)
 
 
 @query(
