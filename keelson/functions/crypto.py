@@ -84,6 +84,11 @@ def encrypt(data: Column | str, key: Column, iv: Column, aad: Column | None = No
     return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), iv, aad)
 
 
+def encrypt_fresh(data: Column | str, key: Column, aad: Column) -> Column:
+    """IV, cipher text and tag under a new random IV: a task that is tried again may hold other bytes and never reuses an IV."""
+    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad)
+
+
 def try_decrypt(data: Column | str, key: Column, aad: Column | None = None) -> Column:
     """Plain bytes, or null for a wrong key or changed bytes."""
     return F.try_aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), aad)

@@ -137,11 +137,12 @@ SEGMENT_SCHEMA = T.StructType(
 )
 
 
-def pack_table(df: DataFrame, backup_id: str, size: int = crypto.SEGMENT_BYTES) -> DataFrame:
+def pack_table(df: DataFrame, backup_id: str, size: int = crypto.SEGMENT_BYTES, codec: str | None = None) -> DataFrame:
     """A table as self-contained segments of about ``size`` bytes, each an Arrow stream of whole rows.
 
     The part is the task, the index counts its segments, a task never holds more than one segment. No shuffle:
-    rows stay where they are read. Write the result before encrypting it, so that places and bytes are fixed.
+    rows stay where they are read. ``codec`` (lz4 or zstd) compresses inside the segment. Write the result before encrypting it
+    with IVs made from places, so that places and bytes are fixed.
     """
     if size <= 0:
         raise ValueError("segment size must be positive")
@@ -155,7 +156,7 @@ def pack_table(df: DataFrame, backup_id: str, size: int = crypto.SEGMENT_BYTES)
 
         def segment():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as writer:
                 for batch in held:
                     writer.write_batch(batch)
             return pa.RecordBatch.from_pydict(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions import crypto
 from keelson.operators import catalog as C
 from keelson.operators import chains as K
 from keelson.operators.replay import replay
 from keelson.operators.retention import cleanup_set, object_delete_plan
 from keelson.plans.scans import latest_per_key
+from keelson.sources import sealed as S
 from keelson.sources.listing import list_objects
 from keelson.sources.snapshots import TrackedTable, full_rows, read_snapshots, rows_between, segment_name, write_snapshot
 
 LOG_SCHEMA = T.StructType(
-    [*C.CATALOG_SCHEMA.fields, T.StructField("seq", T.LongType()), T.StructField("last_position", T.StringType())]
+    [*C.CATALOG_SCHEMA.fields, T.StructField("seq", T.LongType()), T.StructField("last_position", T.StringType()), T.StructField("sealed", T.BooleanType())]
 )
 
 
@@ -42,7 +44,7 @@ class Catalog:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
 
     def append(self, records: DataFrame) -> None:
-        missing = {"seq": F.lit(time.time_ns()).cast("bigint"), "last_position": F.lit(None).cast("string")}
+        missing = {"seq": F.lit(time.time_ns()).cast("bigint"), "last_position": F.lit(None).cast("string"), "sealed": F.lit(None).cast("boolean")}
         for name, value in missing.items():
             if name not in records.columns:
                 records = records.withColumn(name, value)
@@ -73,6 +75,13 @@ class BackupRequest:
     compressed: bool = True
     backup_id: str | None = None
     selected: tuple[str, ...] = ()
+    #: With a passphrase the run is sealed: only cipher text is written.
+    passphrase: str | None = field(default=None, repr=False)
+    segment_bytes: int = crypto.SEGMENT_BYTES
+
+    @property
+    def sealed(self) -> bool:
+        return bool(self.passphrase and self.passphrase.strip())
 
 
 def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], DataFrame]) -> dict[str, Any]:
@@ -96,6 +105,7 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         destination_uri=run_uri(request.root, request.database, backup_id),
         status="IN_PROGRESS",
         last_position=str(request.cut),
+        sealed=request.sealed,
     )
     asked = spark.createDataFrame([_log_row(record)], LOG_SCHEMA)
     looked = K.with_parent(asked, known, "id", "backup_chain_id", "target_tables", "last_position", "status")
@@ -116,11 +126,16 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
     after = start_position(known, request, position)
     catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
     try:
-        codec = "gzip" if request.compressed and record["dump_format"] != "CUSTOM_FC" else "none"
+        packed = request.compressed and record["dump_format"] != "CUSTOM_FC"
+        slices = {}
         for table in tables:
             source = read(table.name)
-            rows = full_rows(source, table, request.cut) if after is None else rows_between(source, table, after, request.cut)
-            write_snapshot(rows, request.root, request.database, table.name, backup_id, codec)
+            slices[table.name] = full_rows(source, table, request.cut) if after is None else rows_between(source, table, after, request.cut)
+        if request.sealed:
+            seal_tables(spark, request, backup_id, slices, "zstd" if packed else None)
+        else:
+            for name, rows in slices.items():
+                write_snapshot(rows, request.root, request.database, name, backup_id, "gzip" if packed else "none")
         record["status"] = "SUCCESS"
         return record
     except Exception as error:
@@ -133,6 +148,19 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
 
 
+def seal_tables(spark: SparkSession, request: BackupRequest, backup_id: str, slices: dict[str, DataFrame], codec: str | None) -> None:
+    """Write every table of a run as sealed segments under the run's own key, then the manifest."""
+    keys = crypto.backup_keys(spark, request.passphrase, {backup_id: crypto.new_salt()})
+    listed = [
+        S.write_sealed(rows, keys, request.root, request.database, name, backup_id, request.segment_bytes, codec) for name, rows in slices.items()
+    ]
+    if listed:
+        manifest = listed[0]
+        for more in listed[1:]:
+            manifest = manifest.unionByName(more)
+        S.write_manifest(manifest, keys, request.root, request.database, backup_id)
+
+
 def _log_row(record: dict[str, Any]) -> tuple:
     values = {**record, "seq": time.time_ns()}
     return tuple(values[name] for name in LOG_SCHEMA.fieldNames())
@@ -214,15 +242,52 @@ def restore_table(
     database: str,
     any_status: bool = False,
     schema: T.StructType | None = None,
+    passphrase: str | None = None,
 ) -> DataFrame:
     """One table as it was at the target backup. All steps are read and replayed in a single job.
 
     The lineage is joined to the snapshots' folder column, so folders of other backups are pruned while running.
-    With a ``schema`` no file footers are read to find the columns.
+    With a ``schema`` no file footers are read to find the columns. A chain may mix plain and sealed steps; sealed ones need the
+    passphrase, and their manifests are checked for lost and changed pieces before anything is replayed.
     """
-    lineage = restore_steps(catalog.current(), target_id, any_status).select(F.col("id").alias("backup_id"), "step")
-    steps = read_snapshots(catalog.spark, root, database, table.name, schema)
-    return replay(steps.join(lineage, "backup_id").drop("backup_id"), table)
+    known = catalog.with_positions()
+    lineage = restore_steps(known, target_id, any_status).select(F.col("id").alias("backup_id"), "step")
+    marks = lineage.join(known.select(F.col("id").alias("backup_id"), F.coalesce("sealed", F.lit(False)).alias("sealed")), "backup_id")
+    # one short row per step of one chain
+    sealed = {(r["backup_id"], r["step"]): r["sealed"] for r in marks.collect()}
+    steps = []
+    if not all(sealed.values()):
+        plain = read_snapshots(catalog.spark, root, database, table.name, schema)
+        steps.append(plain.join(lineage, "backup_id").drop("backup_id"))
+    if any(sealed.values()):
+        opened = [place for place, hidden in sealed.items() if hidden]
+        steps.append(open_sealed(catalog.spark, root, database, table.name, opened, passphrase))
+    rows = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1], allowMissingColumns=True)
+    return replay(rows, table)
+
+
+def open_sealed(spark: SparkSession, root: str, database: str, table: str, steps: list[tuple[str, int]], passphrase: str | None) -> DataFrame:
+    """Rows of sealed steps, (backup id, step) each, after their manifests have been checked. Only those backups' folders are listed."""
+    if not (passphrase and passphrase.strip()):
+        raise S.SealError(f"backups are sealed and need a passphrase: {', '.join(sorted(i for i, _ in steps))}")
+    ids = [backup_id for backup_id, _ in steps]
+    manifest = S.read_manifest(spark, root, database).filter(F.col("backup_id").isin(ids))
+    segments = S.read_segments(spark, root, database, table).filter(F.col("backup_id").isin(ids))
+    keys = S.open_keys(spark, manifest, ids, passphrase)
+    S.check_sealed(manifest, segments, keys, table)
+    order = spark.createDataFrame(steps, "backup_id string, step bigint")
+    return S.open_segments(segments.join(F.broadcast(order), "backup_id"), keys, table, S.manifest_columns(manifest, table))
+
+
+def damage_report(catalog: Catalog, target_id: str, table: str, root: str, database: str, passphrase: str) -> DataFrame:
+    """(backup_id, part, segment_index) of the sealed segments in a target's lineage that do not open. No plain byte leaves the tasks."""
+    lineage = restore_steps(catalog.current(), target_id, any_status=True)
+    ids = [r["id"] for r in lineage.select("id").collect()]
+    manifest = S.read_manifest(catalog.spark, root, database).filter(F.col("backup_id").isin(ids))
+    held = [r["backup_id"] for r in manifest.select("backup_id").distinct().collect()]
+    keys = S.open_keys(catalog.spark, manifest, held, passphrase)
+    segments = S.read_segments(catalog.spark, root, database, table).filter(F.col("backup_id").isin(held))
+    return S.damaged_segments(segments, keys, table)
 
 
 def restore_database(
@@ -233,9 +298,10 @@ def restore_database(
     database: str,
     write: Callable[[DataFrame, str], None],
     selected: Sequence[str] = (),
+    passphrase: str | None = None,
 ) -> list[str]:
-    """Restore the selected tables (all when none is named) through ``write(rows, table_name)``."""
+    """Restore the selected tables (all when none is named) through ``write(rows, table_name)``; folders of others are not opened."""
     wanted = named_tables(tables, selected)
     for table in wanted:
-        write(restore_table(catalog, target_id, table, root, database), table.name)
+        write(restore_table(catalog, target_id, table, root, database, passphrase=passphrase), table.name)
     return [t.name for t in wanted]

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from keelson.operators import catalog as C
 from keelson.operators.replay import fingerprint, multiset_difference, replay, snapshot_diff, union_steps
-from keelson.plans.backup import BackupRequest, Catalog, restore_table, run_backup
+from keelson.plans.backup import BackupRequest, Catalog, restore_database, restore_table, run_backup
 from keelson.session import scratch_path
 from keelson.functions.text import object_id
 from keelson.sources import listing as L
 from keelson.sources.snapshots import (
     STORE_FORMATS, TrackedTable, full_rows, load_table, read_snapshots, rows_between, store_table, write_snapshot,
 )
-from keelson.sources.tables import consistent_read, select_tables
+from keelson.sources.tables import consistent_read
 from keelson.workload.fixtures import duck_history, history, table
 from keelson.workload.registry import query
 
@@ -264,6 +264,12 @@ def backup_and_restore(spark, sf_dir):
     root = scratch_path(spark, "chain")
     catalog = Catalog(spark, f"{root}/catalog")
     read = lambda name: table(spark, sf_dir, name)
+    run_chain(catalog, [ORDERS], root, read)
+    return restore_table(catalog, "b-5", ORDERS, root, "shop").select(*read("orders").columns)
+
+
+def run_chain(catalog, tables, root, read, **options):
+    """Five runs: FULL, INC, INC, DIFF on the FULL, INC on that."""
     plan = [
         ("b-1", "FULL", None, CUTS[0]),
         ("b-2", "INCREMENTAL", "b-1", CUTS[1]),
@@ -271,28 +277,32 @@ def backup_and_restore(spark, sf_dir):
         ("b-4", "DIFFERENTIAL", "b-1", CUTS[3]),
         ("b-5", "INCREMENTAL", "b-4", CUTS[4]),
     ]
+    names = tuple(t.name for t in tables)
     for backup_id, kind, parent, cut in plan:
-        run_backup(
-            catalog,
-            BackupRequest("shop", [ORDERS], cut, root, kind, parent_id=parent, backup_id=backup_id, selected=("orders",)),
-            read,
-        )
-    return restore_table(catalog, "b-5", ORDERS, root, "shop").select(*read("orders").columns)
+        run_backup(catalog, BackupRequest("shop", tables, cut, root, kind, parent_id=parent, backup_id=backup_id, selected=names, **options), read)
 
 
-@query(
-    "k10_selective_restore",
-    f"select 'orders' as table_name, count(*) as row_count from orders where o_orderdate <= timestamp '{CUTS[1]}'",
-)
+@query("k7_encrypted_chain", newest_sql(CUTS[4]))
+def encrypted_chain(spark, sf_dir):
+    """A chain of a change table made by sealed runs, checked against its manifests, opened and replayed."""
+    root = scratch_path(spark, "sealed-chain")
+    catalog = Catalog(spark, f"{root}/catalog")
+    read = lambda name: table(spark, sf_dir, name)
+    run_chain(catalog, [LINEITEM], root, read, passphrase="correct horse", segment_bytes=8 << 20)
+    return restore_table(catalog, "b-5", LINEITEM, root, "shop", passphrase="correct horse").select(*read("lineitem").columns)
+
+
+@query("k10_selective_restore", f"select * from orders where o_orderdate <= timestamp '{CUTS[4]}'")
 def selective_restore(spark, sf_dir):
-    """Of a chain over two tables only the asked one is replayed."""
-    kept = {t.name: t for t in (ORDERS, EVENTS)}
-    restored = []
-    for name in select_tables(["orders"], kept):
-        rows = table(spark, sf_dir, name)
-        steps = union_steps([full_rows(rows, kept[name], CUTS[0]), rows_between(rows, kept[name], CUTS[0], CUTS[1])])
-        restored.append(replay(steps, kept[name]).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")))
-    return reduce(DataFrame.unionAll, restored)
+    """Of a chain over two tables only the asked one is restored; the other's folders are not opened."""
+    root = scratch_path(spark, "selective")
+    catalog = Catalog(spark, f"{root}/catalog")
+    read = lambda name: table(spark, sf_dir, name)
+    run_chain(catalog, [ORDERS, LINEITEM], root, read)
+    restored = {}
+    restore_database(catalog, "b-5", [ORDERS, LINEITEM], root, "shop", lambda rows, name: restored.update({name: rows}), selected=["orders"])
+    (rows,) = restored.values()
+    return rows.select(*read("orders").columns)
 
 
 @query(
