@@ -40,7 +40,7 @@ def _nodes(records: DataFrame, stop: Column, answer: Column, ok: Column) -> Data
     )
 
 
-def _walk(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def walk(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Resolve every node to (id, end, answer, ok, dist): the kind of end its walk has and what it found there.
 
     ``dist`` counts the steps to the end, ``ok`` is the conjunction of ``ok`` from the node to the end.
@@ -136,7 +136,7 @@ def effective_chain(records: DataFrame) -> DataFrame:
     chain and parent, so rows that share an id, or have none, get their own answer and are never multiplied.
     """
     own, parent = blank_to_null("backup_chain_id"), blank_to_null("parent_backup_id")
-    walked, _ = _walk(_nodes(records, own.isNotNull(), F.coalesce(own, F.col("id")), F.lit(True)))
+    walked, _ = walk(_nodes(records, own.isNotNull(), F.coalesce(own, F.col("id")), F.lit(True)))
     found = walked.filter(F.col("end") == ROOT).select(F.col("id").alias("_wid"), F.col("answer").alias("_answer"))
     # a row that has its answer asks nothing
     asked = records.withColumn("_ask", F.when(own.isNull(), parent))
@@ -147,7 +147,7 @@ def effective_chain(records: DataFrame) -> DataFrame:
 
 def _rooted(records: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     ok = F.coalesce(F.col("status") == "SUCCESS", F.lit(False))
-    walked, levels = _walk(_nodes(records, F.lit(False), F.col("id"), ok))
+    walked, levels = walk(_nodes(records, F.lit(False), F.col("id"), ok))
     named = walked.select(
         "id", "end", F.col("answer").alias("end_id"), F.col("dist").alias("steps"), F.col("ok").alias("all_success")
     )
@@ -192,10 +192,10 @@ def restore_lineage(records: DataFrame, targets: DataFrame) -> DataFrame:
     """(target_id, step, id) base first, for targets whose walk reaches a root. ``targets`` has ``target_id``."""
     walked, levels = _rooted(records)
     rooted = targets.distinct().join(walked.filter(F.col("end") == ROOT), F.col("target_id") == F.col("id"))
-    return _climb(rooted.select("target_id", "id", "steps"), levels)
+    return climb(rooted.select("target_id", "id", "steps"), levels)
 
 
-def _climb(rooted: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def climb(rooted: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """All ancestors of each target. Every level doubles the known part, so the work is the size of the answer."""
     known = rooted.withColumn("back", F.lit(0).cast("bigint"))
     for exponent, level in enumerate(levels):
@@ -213,7 +213,7 @@ def resolve_target(records: DataFrame, target_id: str) -> tuple[str | None, str
     walked, levels = _rooted(records)
     mine = walked.filter(F.col("id") == target_id)
     row = mine.select(usability().alias("verdict"), "end_id").first()
-    lineage = _climb(mine.filter(F.col("end") == ROOT).select(F.col("id").alias("target_id"), "id", "steps"), levels)
+    lineage = climb(mine.filter(F.col("end") == ROOT).select(F.col("id").alias("target_id"), "id", "steps"), levels)
     return (row["verdict"] if row else None), (row["end_id"] if row else None), lineage
 
 

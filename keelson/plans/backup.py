@@ -18,6 +18,7 @@ from keelson.operators import catalog as C
 from keelson.operators import chains as K
 from keelson.operators.replay import replay
 from keelson.operators.retention import cleanup_set, object_delete_plan
+from keelson.plans.chain_index import ChainIndex
 from keelson.plans.scans import latest_per_key
 from keelson.sources import sealed as S
 from keelson.sources.listing import list_objects
@@ -33,12 +34,17 @@ class ChainError(ValueError):
 
 
 class Catalog:
-    """An append-only Parquet log of run records. Writers append; readers see the last row per id."""
+    """An append-only Parquet log of run records. Writers append; readers see the last row per id.
 
-    def __init__(self, spark: SparkSession, path: str):
+    With ``indexed`` an index of parent links is kept beside the log and extended by each append, so that resolving one target reads its
+    own lineage and not the whole catalog.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, indexed: bool = False):
         self.spark = spark
         self.path = path
         spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").parquet(path)
+        self.index = ChainIndex(spark, f"{path.rstrip('/')}@index") if indexed else None
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
@@ -49,6 +55,16 @@ class Catalog:
             if name not in records.columns:
                 records = records.withColumn(name, value)
         records.select(*LOG_SCHEMA.fieldNames()).write.mode("append").parquet(self.path)
+        if self.index:
+            self.index.extend(self.log())
+
+    def resolve_target(self, target_id: str) -> tuple[str | None, str | None, DataFrame]:
+        """(verdict, id the walk ends at, lineage) of one target."""
+        return (self.index or K).resolve_target(self.current(), target_id)
+
+    def restore_steps(self, target_id: str, any_status: bool = False) -> DataFrame:
+        """(target_id, step, id) of one target, or an error that says why it cannot be restored."""
+        return restorable(*self.resolve_target(target_id), target_id, any_status)
 
     def current(self) -> DataFrame:
         return C.current(self.log())
@@ -123,7 +139,7 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         good = last_good_step(known, admitted["chain"])
         request = replace(request, parent_id=good["id"])
         record["parent_backup_id"], position = good["id"], good["last_position"]
-    after = start_position(known, request, position)
+    after = start_position(catalog, known, request, position)
     catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
     try:
         packed = request.compressed and record["dump_format"] != "CUSTOM_FC"
@@ -208,7 +224,7 @@ def last_good_step(known: DataFrame, chain: str) -> Any:
     return row
 
 
-def start_position(known: DataFrame, request: BackupRequest, parent_position: str | None) -> str | None:
+def start_position(catalog: Catalog, known: DataFrame, request: BackupRequest, parent_position: str | None) -> str | None:
     """Where a step begins: nowhere for FULL, at the parent for INCREMENTAL, at the chain's base for DIFFERENTIAL."""
     if request.backup_type not in CHILDREN:
         return None
@@ -216,15 +232,18 @@ def start_position(known: DataFrame, request: BackupRequest, parent_position: st
         raise ChainError(f"parent backup not found: {request.parent_id}")
     if request.backup_type == "INCREMENTAL":
         return parent_position
-    end = K.walk_to_root(known).filter(F.col("id") == request.parent_id).first()
-    if end["end"] != K.ROOT:
-        raise ChainError(f"chain of {request.parent_id} has no base: {end['end']}")
-    return known.filter(F.col("id") == end["end_id"]).select("last_position").first()["last_position"]
+    verdict, base, _ = catalog.resolve_target(request.parent_id)
+    if verdict in (K.CYCLE, "MISSING_PARENT"):
+        raise ChainError(f"chain of {request.parent_id} has no base: {verdict}")
+    return known.filter(F.col("id") == base).select("last_position").first()["last_position"]
 
 
 def restore_steps(records: DataFrame, target_id: str, any_status: bool = False) -> DataFrame:
-    """(target_id, step, id) of one target, or an error that says why it cannot be restored."""
-    verdict, end_id, lineage = K.resolve_target(records, target_id)
+    """``Catalog.restore_steps`` of records that are in no catalog."""
+    return restorable(*K.resolve_target(records, target_id), target_id, any_status)
+
+
+def restorable(verdict: str | None, end_id: str | None, lineage: DataFrame, target_id: str, any_status: bool) -> DataFrame:
     if verdict is None:
         raise ChainError(f"target backup not found: {target_id}")
     if verdict == "MISSING_PARENT":
@@ -251,7 +270,7 @@ def restore_table(
     passphrase, and their manifests are checked for lost and changed pieces before anything is replayed.
     """
     known = catalog.with_positions()
-    lineage = restore_steps(known, target_id, any_status).select(F.col("id").alias("backup_id"), "step")
+    lineage = catalog.restore_steps(target_id, any_status).select(F.col("id").alias("backup_id"), "step")
     marks = lineage.join(known.select(F.col("id").alias("backup_id"), F.coalesce("sealed", F.lit(False)).alias("sealed")), "backup_id")
     # one short row per step of one chain
     sealed = {(r["backup_id"], r["step"]): r["sealed"] for r in marks.collect()}
@@ -281,7 +300,7 @@ def open_sealed(spark: SparkSession, root: str, database: str, table: str, steps
 
 def damage_report(catalog: Catalog, target_id: str, table: str, root: str, database: str, passphrase: str) -> DataFrame:
     """(backup_id, part, segment_index) of the sealed segments in a target's lineage that do not open. No plain byte leaves the tasks."""
-    lineage = restore_steps(catalog.current(), target_id, any_status=True)
+    lineage = catalog.restore_steps(target_id, any_status=True)
     ids = [r["id"] for r in lineage.select("id").collect()]
     manifest = S.read_manifest(catalog.spark, root, database).filter(F.col("backup_id").isin(ids))
     held = [r["backup_id"] for r in manifest.select("backup_id").distinct().collect()]

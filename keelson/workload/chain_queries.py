@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from keelson.operators import chains as K
 from keelson.operators import retention as R
+from keelson.plans.chain_index import ChainIndex
+from keelson.session import scratch_path
 from keelson.workload.catalog_queries import LIST
 from keelson.workload.fixtures import duck_history, history, table
 from keelson.workload.registry import query
@@ -89,20 +91,34 @@ def effective_chain(spark, sf_dir):
     )
 
 
-@query(
-    "k4_restore_lineage",
-    duck_history(
-        "select t.target_id, k.d - u.d as step, u.spot as id from tg t join kinds k on k.id = t.target_id and k.kind = 'ROOT' join up u on u.id = t.target_id",
-        f"{UP}, tg as (select max_by(id, start_time) as target_id from raw_history where status = 'SUCCESS' group by profile_name, dump_format)",
-        recursive=True,
-    ).replace("k.d - u.d as step", "cast(k.d - u.d as bigint) as step"),
+LINEAGE = duck_history(
+    "select t.target_id, cast(k.d - u.d as bigint) as step, u.spot as id from tg t join kinds k on k.id = t.target_id and k.kind = 'ROOT' join up u on u.id = t.target_id",
+    f"{UP}, tg as (select max_by(id, start_time) as target_id from raw_history where status = 'SUCCESS' group by profile_name, dump_format)",
+    recursive=True,
 )
+
+
+def newest_targets(rows):
+    """The newest successful run of every database and format."""
+    newest = rows.filter("status = 'SUCCESS'").groupBy("profile_name", "dump_format")
+    return newest.agg(F.max_by("id", F.struct("start_time", "id")).alias("target_id")).select("target_id")
+
+
+@query("k4_restore_lineage", LINEAGE)
 def restore_lineage(spark, sf_dir):
-    """Base-first steps for the newest successful run of every database and format."""
+    """Base-first steps of the newest targets, from a walk over the whole catalog."""
     rows = history(spark, sf_dir)
-    newest = rows.filter("status = 'SUCCESS'").groupBy("profile_name", "dump_format")
-    targets = newest.agg(F.max_by("id", F.struct("start_time", "id")).alias("target_id")).select("target_id")
-    return K.restore_lineage(rows, targets)
+    return K.restore_lineage(rows, newest_targets(rows))
+
+
+@query("k4_indexed_lineage", LINEAGE)
+def indexed_lineage(spark, sf_dir):
+    """The same from an index of parent links over two thirds of the log, extended by what came after."""
+    log = history(spark, sf_dir).withColumn("seq", F.substring_index("id", "-", -1).cast("bigint"))
+    index = ChainIndex(spark, scratch_path(spark, "chain-index"))
+    index.extend(log.filter((F.col("seq") % 3) < 2).withColumn("seq", F.col("seq") - 2**40))
+    index.extend(log)
+    return index.lineage(newest_targets(log))
 
 
 @query("k5_cycle_report", duck_history("select id from kinds where kind = 'CYCLE'", UP, recursive=True))
