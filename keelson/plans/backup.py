@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,6 +165,49 @@ def run_backup(catalog: Catalog, request: BackupRequest, read: Callable[[str], D
         catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
 
 
+def stream_parent(catalog: Catalog, name: str) -> Any:
+    """(id, chain, number) of the newest successful step of a stream; None before its first one."""
+    number = F.substring_index("id", "-", -1).cast("bigint")
+    mine = catalog.log().filter(F.col("id").rlike(f"^{re.escape(name)}-[0-9]+$") & (F.col("status") == "SUCCESS"))
+    return mine.select("id", F.col("backup_chain_id").alias("chain"), number.alias("number")).orderBy(F.desc("number")).first()
+
+
+def commit_step(catalog: Catalog, name: str, number: int, table: TrackedTable, root: str, database: str, rows: DataFrame) -> bool:
+    """Write one batch of a stream as a snapshot step of the chain ``<name>-*`` and log it, once: a batch whose record is there is left alone.
+
+    The record comes last, so a batch that failed before it is written anew in the same folder, and one that failed after it is
+    known to be stored. Returns whether anything was written.
+    """
+    before = stream_parent(catalog, name)
+    if before is not None and before["number"] >= number:
+        return False
+    spark, started, backup_id = catalog.spark, datetime.now(), f"{name}-{number}"
+    seen = Observation()
+    observed = rows.observe(seen, F.max(table.position).cast("string").alias("last"))
+    write_snapshot(observed, root, database, table.name, backup_id)
+    ended = datetime.now()
+    record = dict.fromkeys(LOG_SCHEMA.fieldNames())
+    record.update(
+        id=backup_id,
+        profile_name=database,
+        backup_type="INCREMENTAL" if before else "FULL",
+        dump_format="PLAIN_SQL",
+        parent_backup_id=before["id"] if before else None,
+        backup_chain_id=before["chain"] if before else backup_id,
+        target_tables=[table.name],
+        start_time=started,
+        end_time=ended,
+        duration_ms=int((ended - started).total_seconds() * 1000),
+        destination_uri=run_uri(root, database, backup_id),
+        status="SUCCESS",
+        last_position=seen.get["last"],
+        sealed=False,
+    )
+    record["file_size_bytes"] = stored_bytes(spark, record["destination_uri"])
+    catalog.append(spark.createDataFrame([_log_row(record)], LOG_SCHEMA))
+    return True
+
+
 def seal_tables(spark: SparkSession, request: BackupRequest, backup_id: str, slices: dict[str, DataFrame], codec: str | None) -> None:
     """Write every table of a run as sealed segments under the run's own key, then the manifest."""
     keys = crypto.backup_keys(spark, request.passphrase, {backup_id: crypto.new_salt()})

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keelson.operators import alerts as N
+from keelson.plans.backup import Catalog, commit_step, stream_parent
 from keelson.plans.scans import latest_per_key
-from keelson.sources.snapshots import TrackedTable, snapshot_path
+from keelson.sources.snapshots import TrackedTable
 
 
 def file_stream(
@@ -42,32 +43,15 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return query
 
 
-def backup_stream(stream: DataFrame, table: TrackedTable, root: str, database: str, name: str, checkpoint: str) -> str:
-    """Each batch is one INCREMENTAL snapshot ``<name>-<batch>`` whose parent is the batch before; returns the log path.
+def backup_stream(stream: DataFrame, table: TrackedTable, catalog: Catalog, root: str, database: str, name: str, checkpoint: str) -> str | None:
+    """Each batch is one step of the chain ``<name>-*`` in the catalog, whose parent is the step before; returns the newest step's id.
 
-    The log holds one row per step: id, parent, chain, rows, and the last position in it.
+    Steps are ordinary records: lineage, retention and restore treat them like those of runs. A batch is committed once, however
+    often the stream tries it.
     """
-    log = f"{root.rstrip('/')}/_steps/{name}"
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        backup_id = f"{name}-{number}"
-        path = snapshot_path(root, database, table.name, backup_id)
-        batch.write.mode("overwrite").parquet(path)
-        stored = spark.read.schema(batch.schema).parquet(path)
-        row = stored.agg(F.count(F.lit(1)).alias("rows"), F.max(table.position).alias("last_position")).select(
-            F.lit(backup_id).alias("id"),
-            F.lit("INCREMENTAL" if number else "FULL").alias("backup_type"),
-            F.lit(f"{name}-{number - 1}" if number else None).cast("string").alias("parent_backup_id"),
-            F.lit(f"{name}-0").alias("backup_chain_id"),
-            F.lit(number).cast("bigint").alias("step"),
-            "rows",
-            "last_position",
-        )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    run_available(stream, step, checkpoint)
-    return log
+    run_available(stream, lambda batch, number: commit_step(catalog, name, number, table, root, database, batch), checkpoint)
+    newest = stream_parent(catalog, name)
+    return newest["id"] if newest else None
 
 
 def upsert_stream(log_stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "seq") -> DataFrame:

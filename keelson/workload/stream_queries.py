@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keelson.operators.catalog import CATALOG_COLUMNS
-from keelson.operators.replay import replay
+from keelson.plans.backup import Catalog, restore_table
 from keelson.session import scratch_path
-from keelson.sources.snapshots import TrackedTable, read_snapshots
+from keelson.sources.snapshots import TrackedTable
 from keelson.streaming import jobs as T
 from keelson.workload.catalog_queries import FLAT, flat, run_log
 from keelson.workload.fixtures import duck_history, history_of, table
@@ -26,16 +26,27 @@ def table_stream(spark, sf_dir, name, batch_bytes=None):
     return T.file_stream(spark, f"{sf_dir}/{name}.parque[t]", schema, batch_bytes)
 
 
+#: Batches that a registered stream arrives in, and files of each.
+BATCHES, FILES = 4, 2
+
+
+def arriving(spark, rows, batch, label):
+    """``rows`` as a stream of ``BATCHES`` batches: the one a row comes in is its ``batch``, a number from 0."""
+    path, held = scratch_path(spark, label), rows.withColumn("_batch", batch)
+    for k in range(BATCHES):
+        held.filter(F.col("_batch") == k).drop("_batch").repartition(FILES).write.mode("append").parquet(path)
+    return T.file_stream(spark, path, rows.schema, batch_files=FILES)
+
+
 @query("t1_streaming_backup", "select * from events")
 def streaming_backup(spark, sf_dir):
-    """Events backed up batch by batch, then restored by replaying the steps."""
+    """Events committed to the catalog batch by batch, then restored as a chain."""
     events = table(spark, sf_dir, "events")
     root = scratch_path(spark, "stream-backup")
-    stream = table_stream(spark, sf_dir, "events", BATCH_BYTES)
-    log = T.backup_stream(stream, EVENTS, root, "app", "live", f"{root}/_checkpoint")
-    steps = spark.read.parquet(f"{log}/batch=*").select(F.col("id").alias("backup_id"), "step")
-    stored = read_snapshots(spark, root, "app", "events", events.schema).join(steps, "backup_id").drop("backup_id")
-    return replay(stored, EVENTS).select(*events.columns)
+    catalog = Catalog(spark, f"{root}/catalog")
+    stream = arriving(spark, events, F.pmod("event_id", F.lit(BATCHES)), "stream-events")
+    newest = T.backup_stream(stream, EVENTS, catalog, root, "app", "live", f"{root}/_checkpoint")
+    return restore_table(catalog, newest, EVENTS, root, "app", schema=events.schema).select(*events.columns)
 
 
 @query("t2_streaming_upsert", duck_history(f"select {FLAT} from raw_history"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from conftest import rows
 from keelson.operators import alerts as N
 from keelson.operators import catalog as C
+from keelson.operators import chains as K
 from keelson.operators import schedule as J
-from keelson.operators.replay import replay
+from keelson.plans.backup import BackupRequest, Catalog, commit_step, restore_table, run_backup
 from keelson.session import scratch_path
-from keelson.sources.snapshots import TrackedTable, read_snapshots
+from keelson.sources.snapshots import TrackedTable
 from keelson.streaming import jobs as T
 
 
@@ -22,23 +23,58 @@ def drop_files(df, path, column, groups):
         df.filter(F.col(column) == g).drop(column).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_backup_stream_goes_on_where_it_stopped(spark):
+def test_streamed_chain_in_the_catalog(spark):
     table = TrackedTable("t", ("k",), "pos")
     data = [(1, 1, "a", 0), (2, 2, "b", 0), (1, 3, "a2", 1), (3, 4, "c", 2), (2, 5, "b2", 3)]
     df = spark.createDataFrame(data, "k int, pos bigint, v string, g int")
     schema = df.drop("g").schema
     source, root = scratch_path(spark, "src"), scratch_path(spark, "sb")
-    run = lambda: T.backup_stream(T.file_stream(spark, source, schema, batch_files=1), table, root, "d", "live", f"{root}/_cp")
+    catalog = Catalog(spark, f"{root}/catalog")
+    stream = lambda: T.file_stream(spark, source, schema, batch_files=1)
+    run = lambda cp: T.backup_stream(stream(), table, catalog, root, "d", "live", f"{root}/{cp}")
     drop_files(df, source, "g", [0, 1])
-    run()
+    assert run("_cp") == "live-1"
     drop_files(df, source, "g", [2, 3])
-    log = spark.read.parquet(f"{run()}/batch=*")
-    assert rows(log, "id", "backup_type", "parent_backup_id", "rows", "last_position") == [
-        ("live-0", "FULL", None, 2, 2), ("live-1", "INCREMENTAL", "live-0", 1, 3),
-        ("live-2", "INCREMENTAL", "live-1", 1, 4), ("live-3", "INCREMENTAL", "live-2", 1, 5),
+    assert run("_cp") == "live-3"
+    expected = [
+        ("live-0", "FULL", None, "live-0", "SUCCESS", "2"), ("live-1", "INCREMENTAL", "live-0", "live-0", "SUCCESS", "3"),
+        ("live-2", "INCREMENTAL", "live-1", "live-0", "SUCCESS", "4"), ("live-3", "INCREMENTAL", "live-2", "live-0", "SUCCESS", "5"),
     ]
-    steps = read_snapshots(spark, root, "d", "t", schema).join(log.select(F.col("id").alias("backup_id"), "step"), "backup_id").drop("backup_id")
-    assert rows(replay(steps, table), "k", "v") == [(1, "a2"), (2, "b2"), (3, "c")]
+    told = lambda: rows(catalog.with_positions(), "id", "backup_type", "parent_backup_id", "backup_chain_id", "status", "last_position")
+    assert told() == expected
+    sizes = {r["id"]: r["file_size_bytes"] for r in catalog.current().collect()}
+    state = lambda target: rows(restore_table(catalog, target, table, root, "d"), "k", "v")
+    assert state("live-3") == [(1, "a2"), (2, "b2"), (3, "c")] and state("live-1") == [(1, "a2"), (2, "b")]
+    # a stream that lost its checkpoint tries every batch again: one record each, nothing new
+    before = catalog.log().count()
+    assert run("_other") == "live-3"
+    assert told() == expected and catalog.log().count() == before
+    assert {r["id"]: r["file_size_bytes"] for r in catalog.current().collect()} == sizes and state("live-3") == [(1, "a2"), (2, "b2"), (3, "c")]
+    # the chain is one for lineage and retention
+    assert rows(K.restore_lineage(catalog.current(), spark.createDataFrame([("live-2",)], "target_id string")), "step", "id") == [(0, "live-0"), (1, "live-1"), (2, "live-2")]
+    assert rows(K.effective_chain(catalog.current()), "id", "eff_chain") == [(f"live-{n}", "live-0") for n in range(4)]
+    # and a run can go on from it
+    later = spark.createDataFrame([(9, 9, "z")], schema).unionByName(df.drop("g"))
+    run_backup(catalog, BackupRequest("d", [table], 10, root, "INCREMENTAL", parent_id="live-3", backup_id="b", selected=("t",)), lambda name: later)
+    assert state("b") == [(1, "a2"), (2, "b2"), (3, "c"), (9, "z")]
+
+
+def test_a_batch_that_failed_before_its_record_is_written_anew(spark, monkeypatch):
+    table = TrackedTable("t", ("k",), "pos")
+    df = spark.createDataFrame([(1, 1), (2, 2)], "k int, pos bigint")
+    root = scratch_path(spark, "sb")
+    catalog = Catalog(spark, f"{root}/catalog")
+
+    def fail(*_):
+        raise OSError("no more disk")
+
+    with monkeypatch.context() as m:
+        m.setattr(Catalog, "append", fail)
+        with pytest.raises(OSError):
+            commit_step(catalog, "s", 0, table, root, "d", df)
+    assert catalog.current().count() == 0
+    assert commit_step(catalog, "s", 0, table, root, "d", df) and not commit_step(catalog, "s", 0, table, root, "d", df)
+    assert restore_table(catalog, "s-0", table, root, "d").count() == 2
 
 
 def test_upsert_stream_ignores_arrival_order(spark):
