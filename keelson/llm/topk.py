@@ -14,8 +14,8 @@ b / (|q| L), the local threshold:
 What is left is verified by exact integer products, and raises the bound. Tiles give the k best of each query; the final
 rank takes the best of all tiles.
 
-Vectors that are null, empty, or hold null or non-finite components take no part; so do vectors whose integers exceed
-2**31. A query meets only vectors of its own dimension. Repeated rows are vectors of their own: only the query's own row is
+Vectors that are null, empty, or hold null or non-finite components take no part; every other one does, integers beyond 2**62
+counting as that and scores beyond a long as the largest long. A query meets only vectors of its own dimension. Repeated rows are vectors of their own: only the query's own row is
 left out, and each repeated query row gets its own k results. Ties go to the smaller id, null ids last. An empty table
 gives an empty result. Only the id and the vector column are read.
 """
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from keelson.llm.store import kept_counted
 
-LIMIT = float(1 << 31)
+LIMIT = float(1 << 62)
 LAST = np.iinfo(np.int64).max
 
 
@@ -46,8 +46,9 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
             for key, vec_id, vector in zip(keys.to_pylist(), ids.to_pylist(), column):
                 if not vector.is_valid or not len(vector.values) or vector.values.null_count:
                     continue
-                v = np.floor(scale * vector.values.to_numpy().astype(np.float64))
-                if np.isfinite(v).all() and np.abs(v).max() < LIMIT:
+                v = vector.values.to_numpy().astype(np.float64)
+                if np.isfinite(v).all():
+                    v = np.clip(np.floor(scale * np.clip(v, -LIMIT, LIMIT)), -LIMIT, LIMIT)
                     out.append((key, vec_id, len(v), float(np.sqrt(v @ v)), v.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary()))],
@@ -59,11 +60,13 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows; in floating point where every sum fits into 53 bits."""
+    """Exact integer products of rows: in floating point where every sum fits into 53 bits, as Python integers where 63 may not do."""
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if largest < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if largest < LIMIT:
+        return q @ c.T
+    return np.clip(q.astype(object) @ c.T.astype(object), -LAST, LAST).astype(np.int64)
 
 
 def below(score: np.integer) -> float:

@@ -13,17 +13,18 @@ def rows(seed, n=160, dim=6):
     rnd = random.Random(seed)
     out = [(i, [rnd.gauss(0, 1) * (5 if i % 40 == 0 else 1) for _ in range(dim)]) for i in range(n)]
     out += [(500 + i, out[7][1]) for i in range(15)]  # a common vector
-    out += [(600, None), (601, [0.1, None] + [0.0] * (dim - 2)), (602, [float("nan")] * dim), (603, [math.inf] * dim), (604, []), (605, [1e12] * dim)]
+    out += [(600, None), (601, [0.1, None] + [0.0] * (dim - 2)), (602, [float("nan")] * dim), (603, [math.inf] * dim), (604, []), (605, [1e12] * dim), (606, [3e6] * dim), (607, [-1e25] * dim), (608, [1e300] + [0.0] * (dim - 1))]
     out += [(700, [0.0] * dim), (800, [1.0, 2.0]), (801, [3.0, -1.0]), (100, out[3][1]), (None, out[5][1])]
     return out
 
 
 def expected(data, k):
-    whole = [(i, np.floor(1024 * np.array(v, float)).astype(object)) for i, v in data if v and None not in v and np.isfinite(v).all() and np.abs(1024 * np.array(v)).max() < 2**31]
+    whole = [(i, np.array([max(-(2**62), min(2**62, math.floor(1024 * x))) for x in v], object)) for i, v in data if v and None not in v and np.isfinite(v).all()]
+    cut = lambda s: max(1 - 2**63, min(2**63 - 1, s))
     out = Counter()
     for a, (i, v) in enumerate(whole):
         if i is not None and i % 100 == 0:
-            scores = sorted((-int(v @ w), math.inf if j is None else j) for b, (j, w) in enumerate(whole) if a != b and len(v) == len(w))[:k]
+            scores = sorted((-cut(int(v @ w)), math.inf if j is None else j) for b, (j, w) in enumerate(whole) if a != b and len(v) == len(w))[:k]
             out.update((i, rank + 1, None if j == math.inf else j, -s) for rank, (s, j) in enumerate(scores))
     return out
 
