@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keelson.llm.store import kept
+from keelson.llm.text import tidy
 from keelson.llm.tokens import encoded
 
 
@@ -158,7 +159,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end: int, window: int, grain
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
-        cut, f"pid long, row long, doc_id {kind}, start long, n long, doc_tokens long, cls int, nth long, ids binary"
+        tidy(cut), f"pid long, row long, doc_id {kind}, start long, n long, doc_tokens long, cls int, nth long, ids binary"
     )
 
 

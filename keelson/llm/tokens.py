@@ -10,8 +10,8 @@ import regex
 
 from keelson.llm.text import chunks
 
-#: Words one worker remembers; beyond that it starts anew. About 250 bytes each.
-WORDS_KEPT = 1_200_000
+#: Words one worker remembers; beyond that it starts anew. About 250 bytes each, so 150 MB a worker.
+WORDS_KEPT = 600_000
 
 #: Fixed values of the tokenizer file: what it splits off before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

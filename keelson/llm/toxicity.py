@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from keelson.llm.store import kept
-from keelson.llm.text import LOWER, U64, Rolling, byte_values, chunks, mix, words
+from keelson.llm.text import LOWER, U64, Rolling, byte_values, chunks, mix, tidy, words
 
 BITS = 18
 SIZE = 1 << BITS
@@ -118,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_row
     """Fit a chain on labelled rows: ``labels`` has ``doc_id`` and one 0/1 column per category, in chain order."""
     spark = docs.sparkSession
     names = [f"y{k}" for k in range(len(categories))]
-    known = labels.select("doc_id", *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names)]).dropna().dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *[F.col(c).cast("int").alias(n) for c, n in zip(categories, names)]).dropna()
+    # of several label rows of a document a category counts if any names it
+    known = known.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     # about max_rows short rows, whatever the input
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_row
 
     totals = np.zeros((2 * len(names), SIZE + 1))
     # 2 * categories * 2**18 counts at most
-    got = sample.mapInArrow(seen, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.mapInArrow(tidy(seen), "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toArrow()
     totals[got.column("k").to_numpy(), got.column("place").to_numpy()] = got.column("n").to_numpy()
     kept_places = []
     for k in range(len(names)):
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_row
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(batch.column(n) for n in names), pa.array(got, pa.binary())], ["doc_id", *names, "places"])
 
     schema = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", places binary"
-    table = sample.mapInArrow(chosen_features, schema).orderBy("doc_id").toArrow()
+    table = sample.mapInArrow(tidy(chosen_features), schema).orderBy("doc_id").toArrow()
     places = [np.frombuffer(p, np.int32) for p in table.column("places").to_pylist()]
     n = len(places)
     rows = np.repeat(np.arange(n), [len(p) for p in places])
@@ -203,4 +205,4 @@ def classify(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*batch.schema.names, *added])
 
     schema = StructType([*rows.schema.fields, *(StructField(name, DoubleType()) for name in added)])
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(tidy(predict), schema)

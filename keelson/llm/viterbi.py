@@ -2,8 +2,9 @@
 
 The encoding of a text is the segmentation into pieces with the greatest sum of piece scores. A space is the mark ``▁``, one
 mark is put before the text, and a character outside the vocabulary costs ten less than the worst piece and becomes byte
-pieces. Scores are 64-bit integers: the vocabulary's score times 2**20 plus a number below 2**20 made from the piece, so that
-sums are exact and equal scores are told apart the same way everywhere.
+pieces. Paths are compared by 64-bit integers: the vocabulary's score times 2**20 plus a number below 2**12 made from the piece, so
+that sums are exact and equal scores are told apart the same way everywhere. In a unit (below) of 256 pieces these numbers
+sum to less than one point of score. The score handed on is the sum of the vocabulary's scores alone.
 
 A long text is cut into chunks of ``chunk_chars``. A piece belongs to the chunk it starts in and can reach at most
 ``longest - 1`` characters into the next, which is the state at a border.
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 
 from keelson.llm.lattice import MARK, vocabulary
 from keelson.llm.store import kept
+from keelson.llm.text import tidy
 from keelson.llm.tokens import WordIds
 
 STEP = 1 << 20
+#: Tie parts are below this.
+TIE = 1 << 12
 NEVER = -(1 << 62)
 UNSCORED = -1e8
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -52,7 +56,7 @@ class Best(WordIds):
         self.longest = self.vocab.longest
         # the file marks pieces that are not for scoring (runs of marks) with a score far below all others
         plain = {p: round(model.get_score(i)) for p, i in self.vocab.id.items() if model.get_score(i) > UNSCORED}
-        self.score = {p: s * STEP + zlib.crc32(p.encode()) % STEP for p, s in plain.items()}
+        self.score = {p: s * STEP + zlib.crc32(p.encode()) % TIE for p, s in plain.items()}
         #: Beginnings of pieces: a search ends where none goes on.
         self.begins = {p[:n] for p in plain for n in range(1, len(p))}
         worst = min(plain.values())
@@ -63,6 +67,11 @@ class Best(WordIds):
             pieces[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(self.vocab.byte):
             pieces[i] = bytes([b])
+        #: An unknown character's score is on its first byte; the other bytes of a character are 0x80 to 0xBF.
+        self.points = np.full(self.vocab.size, worst - 10, np.int64)
+        self.points[[self.vocab.byte[b] for b in range(0x80, 0xC0)]] = 0
+        for p, score in plain.items():
+            self.points[self.vocab.id[p]] = score
         self.width = np.array([len(p) for p in pieces], np.int64)
         self.place = np.cumsum(self.width) - self.width
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
@@ -89,14 +98,14 @@ class Best(WordIds):
                             continue
                         break
                     s = self.unknown
-                own = s & (STEP - 1)
-                s += here - own + (own * odd & (STEP - 1))
+                own = s & (TIE - 1)
+                s += here - own + (own * odd & (TIE - 1))
                 if s > best[j - low]:
                     best[j - low], last[j - low] = s, i - low
         return best, last
 
-    def segment(self, text: str, place: list[int] | range) -> tuple[list[int], int]:
-        """Ids and score of the best segmentation of ``text``, marks for spaces."""
+    def segment(self, text: str, place: list[int] | range) -> list[int]:
+        """Ids of the best segmentation of ``text``, marks for spaces."""
         best, last = self.forward(text, 0, len(text), 0, place)
         ids: list[int] = []
         at = len(text)
@@ -105,23 +114,19 @@ class Best(WordIds):
             known = self.vocab.id.get(piece)
             ids += [known] if known is not None else [self.vocab.byte[b] for b in reversed(piece.encode())]
             at = last[at]
-        return ids[::-1], best[len(text)]
+        return ids[::-1]
 
     def ids_of(self, word: bytes) -> list[int]:
         text = word.decode()
-        ids, score = self.segment(text, range(len(text)))
-        self.unit_score[word] = score
-        return ids
+        return self.segment(text, range(len(text)))
 
-    def clear(self) -> None:
-        super().clear()
-        self.unit_score: dict[bytes, int] = {}
+    def units(self, text: str) -> np.ndarray:
+        """Ids of a text whose begin and end are unit borders."""
+        return self.encode([u.encode() for u in UNIT.findall(text)])[0]
 
-    def units(self, text: str) -> tuple[np.ndarray, int]:
-        """Ids and score of a text whose begin and end are unit borders."""
-        found = [u.encode() for u in UNIT.findall(text)]
-        ids, _ = self.encode(found)
-        return ids, sum(map(self.unit_score.__getitem__, found))
+    def total(self, ids: np.ndarray) -> int:
+        """The sum of the vocabulary's scores."""
+        return int(self.points[ids].sum())
 
     def matrix(self, text: str, size: int, origin: int) -> np.ndarray:
         """Best scores from each state at the begin to each state at the end of the first ``size`` characters; ``text`` goes
@@ -141,7 +146,8 @@ class Best(WordIds):
                     out[a, a - size] = 0
             return out
         low, high = cuts[0], cuts[-1]
-        middle = self.units(text[low:high])[1]
+        # the same for all states, so its tie parts decide nothing
+        middle = self.total(self.units(text[low:high])) * STEP
         tail, _ = self.forward(text, high, size, k - 1, place)
         for a in range(k):
             head = self.forward(text, a, low, 0, place)[0][low - a]
@@ -151,16 +157,15 @@ class Best(WordIds):
                         out[a, b] = head + middle + tail[size + b - high]
         return out
 
-    def between(self, text: str, low: int, high: int, origin: int) -> tuple[np.ndarray, int]:
-        """Ids and score of the best segmentation of ``text[low:high]``, borders anywhere."""
+    def between(self, text: str, low: int, high: int, origin: int) -> np.ndarray:
+        """Ids of the best segmentation of ``text[low:high]``, borders anywhere."""
         place = places(text, origin)
         cuts = [m.start() for m in UNIT.finditer(text) if low < m.start() < high]
         if not cuts:
-            ids, score = self.segment(text[low:high], place[low:high])
-            return np.array(ids, np.uint32), score
+            return np.array(self.segment(text[low:high], place[low:high]), np.uint32)
         first, last = cuts[0], cuts[-1]
-        (a, x), (b, y), (c, z) = self.segment(text[low:first], place[low:first]), self.units(text[first:last]), self.segment(text[last:high], place[last:high])
-        return np.concatenate([np.array(a, np.uint32), b, np.array(c, np.uint32)]), x + y + z
+        head, tail = (np.array(self.segment(text[x:y], place[x:y]), np.uint32) for x, y in ((low, first), (last, high)))
+        return np.concatenate([head, self.units(text[first:last]), tail])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of some pieces, marks as spaces."""
@@ -235,7 +240,7 @@ def chunked(docs: DataFrame, chunk_chars: int, longest: int) -> DataFrame:
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(cut, f"pid long, row long, doc_id {kind}, part int, parts int, size long, origin long, text string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"pid long, row long, doc_id {kind}, part int, parts int, size long, origin long, text string")
 
 
 def transfers(chunks: DataFrame, path: str) -> DataFrame:
@@ -247,7 +252,7 @@ def transfers(chunks: DataFrame, path: str) -> DataFrame:
             got = [best.matrix(t, n, o).tobytes() for t, n, o in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin")))]
             yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("row"), batch.column("part"), pa.array(got, pa.binary())], ["pid", "row", "part", "matrix"])
 
-    return chunks.where("parts > 1").select("pid", "row", "part", "size", "origin", "text").mapInArrow(make, "pid long, row long, part int, matrix binary")
+    return chunks.where("parts > 1").select("pid", "row", "part", "size", "origin", "text").mapInArrow(tidy(make), "pid long, row long, part int, matrix binary")
 
 
 def borders(matrices: DataFrame, longest: int) -> DataFrame:
@@ -295,9 +300,9 @@ def encode_apart(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> tuple
         for batch in batches:
             ids, score = [], []
             for text, size, origin, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin", "enter", "leave"))):
-                a, s = best.between(text, enter, size + leave, origin) if origin or enter or leave or size < len(text) else best.units(text)
-                ids.append(a.tobytes())
-                score.append(s)
+                own = best.between(text, enter, size + leave, origin) if origin or enter or leave or size < len(text) else best.units(text)
+                ids.append(own.tobytes())
+                score.append(best.total(own))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("pid", "row", "doc_id", "part", "parts")), pa.array(ids, pa.binary()), pa.array(score, pa.int64())],
                 ["pid", "row", "doc_id", "part", "parts", "ids", "score"],
@@ -308,7 +313,7 @@ def encode_apart(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> tuple
     short = short.select("*", zero.alias("enter"), zero.alias("leave")).select(*columns)
     schema = f"pid long, row long, doc_id {dict(docs.dtypes)['doc_id']}, part int, parts int, ids binary, score long"
     # short texts are not joined with anything
-    return short.mapInArrow(segment, schema), long.join(states, ["pid", "row", "part"]).select(*columns).mapInArrow(segment, schema)
+    return short.mapInArrow(tidy(segment), schema), long.join(states, ["pid", "row", "part"]).select(*columns).mapInArrow(tidy(segment), schema)
 
 
 def encode(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> DataFrame:
@@ -329,7 +334,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*columns, "decoded"])
 
     columns = encoded.columns
-    return encoded.mapInArrow(turn, ", ".join(f"{c} {t}" for c, t in encoded.dtypes) + ", decoded binary")
+    return encoded.mapInArrow(tidy(turn), ", ".join(f"{c} {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
 
 def whole(short: DataFrame, long: DataFrame) -> DataFrame:

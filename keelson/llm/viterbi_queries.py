@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.packing_queries import tokenizer_path
 from keelson.llm.registry import query, table
-from keelson.llm.viterbi import STEP, decode, encode_apart, whole
+from keelson.llm.viterbi import decode, encode_apart, whole
 
 
 @query("op5_sentencepiece")
@@ -18,6 +18,6 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = whole(decode(short, path), decode(long, path))
     return back.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
-        F.floor(F.col("score") / STEP).cast("long").alias("score"), F.length("text").cast("long").alias("n_chars"),
+        "score", F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
