@@ -28,7 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fit on the labelled documents, calls toxic go."""
-    return classify(docs, fitted(spark, sf_dir)).where(F.col("p_toxic") < THRESHOLD).select(*docs.columns)
+    # the chain names its results p_<category>; columns of the input that begin so step aside
+    aside = {c: f"_aside_{c}" for c in docs.columns if c.startswith("p_")}
+    judged = classify(docs.withColumnsRenamed(aside), fitted(spark, sf_dir))
+    return judged.where(F.col("p_toxic") < THRESHOLD).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
