@@ -6,11 +6,14 @@ A trigger is (trigger_id, job_id, start_time, duration_us). Every scan over a jo
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keelson.functions.text import blank_to_null, normal_cron
+from keelson.functions.text import blank_to_null, normal_cron, trimmed
 from keelson.plans.scans import slice_rows
 from keelson.session import materialise, materialise_counted
 
@@ -27,64 +30,136 @@ def schedulable(jobs: DataFrame) -> DataFrame:
     return jobs.filter(blank_to_null("cron").isNotNull()).withColumn("cron", normal_cron("cron"))
 
 
-def field_values(text: Column, low: int, high: int) -> Column:
-    """Numbers a cron field stands for: ``*``, ``?``, lists, ranges and steps. Null for text that is none of these."""
+def _numbers(part: Column, low: int, high: int) -> Column:
+    """Numbers one part of a field stands for: star, number, range, each with a step. Null for other text."""
+    piece = lambda group: F.regexp_extract(part, CRON_PART, group).try_cast("int")
+    # a lone number with a step, and a star, run to the highest value
+    open_ended = part.rlike(r"[*?/]") & ~part.contains("-")
+    first = F.coalesce(piece(1), F.lit(low))
+    last = F.when(open_ended, F.lit(high)).otherwise(F.coalesce(piece(2), piece(1)))
+    every = F.coalesce(piece(3), F.lit(1))
+    fine = part.rlike(CRON_PART) & (first >= low) & (last <= high) & (first <= last) & (every > 0)
+    return F.when(fine, F.sequence(first, last, every))
+
 
-    def numbers(part: Column) -> Column:
-        piece = lambda group: F.regexp_extract(part, CRON_PART, group).try_cast("int")
-        # a lone number with a step, and a star, run to the highest value
-        open_ended = part.rlike(r"[*?/]") & ~part.contains("-")
-        first = F.coalesce(piece(1), F.lit(low))
-        last = F.when(open_ended, F.lit(high)).otherwise(F.coalesce(piece(2), piece(1)))
-        every = F.coalesce(piece(3), F.lit(1))
-        fine = part.rlike(CRON_PART) & (first >= low) & (last <= high) & (first <= last) & (every > 0)
-        return F.when(fine, F.sequence(first, last, every))
+def field_values(text: Column, low: int, high: int, rules: list[str] | None = None) -> Column:
+    """Numbers a cron field stands for, of a comma list. Null if a part is neither a number form nor one of ``rules``.
 
-    lists = F.transform(F.split(text, ","), numbers)
+    Parts that match a pattern of ``rules`` are read by ``rule_values``; they name no numbers here.
+    """
+    rule = lambda part: reduce(or_, [part.rlike(pattern) for pattern in rules or ()], F.lit(False))
+    none = F.array().cast("array<int>")
+    lists = F.transform(F.split(text, ","), lambda part: F.when(rule(part), none).otherwise(_numbers(part, low, high)))
     # a list that is no number list makes the whole field null
     return F.array_sort(F.array_distinct(F.flatten(lists)))
 
 
+def rule_values(text: Column, pattern: str, number) -> Column:
+    """What ``number`` makes of the parts of a comma list that match a pattern; an empty list if none does."""
+    parts = F.filter(F.split(text, ","), lambda part: part.rlike(pattern))
+    return F.coalesce(F.transform(parts, number), F.array().cast("array<int>"))
+
+
+def _part(pattern: str, group: int):
+    return lambda part: F.coalesce(F.regexp_extract(part, pattern, group).try_cast("int"), F.lit(0))
+
+
+# Calendar rules: a pattern of the field's text, and the number kept for a part that matches it.
+# L, L-3: days before the month's last. 15W: the weekday nearest to a day, LW: to the last weekday, kept as 0.
+DAY_RULES = {
+    "day_back": (r"^L(?:-([1-9]|[12]\d|30))?$", 1),
+    "day_near": (r"^(?:([1-9]|[12]\d|3[01])|L)W$", 1),
+}
+# 5L: the month's last Friday. 5#2: its second, kept as week and day in one number.
+WEEKDAY_LAST = r"^([0-7])L$"
+WEEKDAY_NTH = r"^([0-7])#([1-9]\d?)$"
+
+
 def parsed_cron(jobs: DataFrame) -> DataFrame:
-    """(cron, second, minute, hour, day, month, weekday) for every different six-field text; Sunday is 0."""
+    """One row for every different six-field text: numbers of its fields, calendar rules, and a reason if it has no meaning.
+
+    Sunday is 0. ``reason`` names the number of fields if it is not six, else the first field that cannot be read.
+    """
     parts = F.split(F.upper("cron"), r"\s+")
     names = {"month": [(m, n + 1) for n, m in enumerate(MONTHS)], "weekday": [(d, n) for n, d in enumerate(WEEKDAYS)]}
-    columns = []
-    for place, (name, (low, high)) in enumerate(CRON_FIELDS.items()):
+    texts = {}
+    for place, name in enumerate(CRON_FIELDS):
         text = F.get(parts, F.lit(place))
         for word, number in names.get(name, []):
             text = F.replace(text, F.lit(word), F.lit(str(number)))
-        values = field_values(text, low, high)
-        if name == "weekday":
-            values = F.array_sort(F.array_distinct(F.transform(values, lambda d: d % 7)))
-        columns.append(F.when(F.size(parts) == len(CRON_FIELDS), values).alias(name))
+        texts[name] = text
+    rules = {"day": [pattern for pattern, _ in DAY_RULES.values()], "weekday": [WEEKDAY_LAST, WEEKDAY_NTH]}
+    columns = {name: field_values(texts[name], low, high, rules.get(name)) for name, (low, high) in CRON_FIELDS.items()}
+    columns["weekday"] = F.array_sort(F.array_distinct(F.transform(columns["weekday"], lambda d: d % 7)))
+    for name, (pattern, group) in DAY_RULES.items():
+        columns[name] = rule_values(texts["day"], pattern, _part(pattern, group))
+    columns["weekday_last"] = rule_values(texts["weekday"], WEEKDAY_LAST, lambda part: _part(WEEKDAY_LAST, 1)(part) % 7)
+    columns["weekday_nth"] = rule_values(
+        texts["weekday"], WEEKDAY_NTH, lambda part: _part(WEEKDAY_NTH, 2)(part) * 7 + _part(WEEKDAY_NTH, 1)(part) % 7
+    )
+    reason = F.when(F.size(parts) != len(CRON_FIELDS), F.concat(F.lit("fields: "), F.size(parts)))
+    for name in CRON_FIELDS:
+        reason = reason.when(F.col(name).isNull(), F.concat(F.lit(f"{name}: "), F.get(F.split("cron", r"\s+"), F.lit(list(CRON_FIELDS).index(name)))))
     # a few texts serve many jobs: parse each once, and keep the result
-    return materialise(jobs.select("cron").distinct().select("cron", *columns), "cron")
+    parsed = jobs.select("cron").distinct().select("cron", *[c.alias(name) for name, c in columns.items()])
+    return materialise(parsed.withColumn("reason", reason), "cron")
 
 
 def split_cron(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(jobs with their number lists, jobs whose cron text has no meaning)."""
-    parsed = parsed_cron(jobs)
-    fine = parsed.dropna(subset=list(CRON_FIELDS))
-    return jobs.join(fine, "cron"), jobs.join(fine.select("cron"), "cron", "left_anti").select(*jobs.columns)
+    """(jobs with their parsed texts, jobs whose cron text has no meaning with the ``reason``)."""
+    joined = jobs.join(parsed_cron(jobs), "cron")
+    return joined.filter("reason is null").drop("reason"), joined.filter("reason is not null").select(*jobs.columns, "reason")
+
+
+def unscheduled_jobs(jobs: DataFrame) -> DataFrame:
+    """(job_id, cron, reason) of every job that will never be given to the scheduler: no cron text, or one it cannot read."""
+    blank = jobs.filter(blank_to_null("cron").isNull()).select("job_id", "cron", F.lit("missing cron expression").alias("reason"))
+    return blank.unionByName(split_cron(schedulable(jobs))[1].select("job_id", "cron", "reason"))
+
+
+def fires_on(d: Column) -> Column:
+    """Whether a parsed cron text names a date. Day of month and day of week must both fit.
+
+    The nearest weekday lies in the same month: a Saturday goes to Friday, the first of the month to Monday the third; a
+    Sunday to Monday, the month's last day to Friday. A month without the day has none.
+    """
+    day, weekday, last = F.dayofmonth(d), F.dayofweek(d) - 1, F.dayofmonth(F.last_day(d))
+    end = F.dayofweek(F.last_day(d)) - 1
+    working = weekday.between(1, 5)
+    # days of the month whose nearest weekday is d
+    served = F.array(
+        F.when(working, day),
+        F.when((weekday == 5) & (day < last), day + 1),
+        F.when((weekday == 5) & (day + 2 == last), last),
+        F.when((weekday == 1) & (day > 1), day - 1),
+        F.when((weekday == 1) & (day == 3), F.lit(1)),
+        F.when(working & (day == last - F.when(end == 6, 1).when(end == 0, 2).otherwise(0)), F.lit(0)),
+    )
+    week = F.ceil(day / 7).cast("int")
+    of_month = (
+        F.array_contains("day", day)
+        | F.array_contains("day_back", last - day)
+        | F.coalesce(F.arrays_overlap("day_near", F.array_compact(served)), F.lit(False))
+    )
+    of_week = (
+        F.array_contains("weekday", weekday)
+        | (F.array_contains("weekday_last", weekday) & (day + 7 > last))
+        | F.array_contains("weekday_nth", week * 7 + weekday)
+    )
+    return F.array_contains("month", F.month(d)) & of_month & of_week
 
 
 def expected_runs(jobs: DataFrame, begin: str, end: str) -> DataFrame:
     """Fire times in [begin, end) of jobs (job_id, cron).
 
     Days are tested first; only the hours, minutes and seconds a job names are ever made, so the work is the
-    number of fire times and not the number of minutes in the range.
+    number of fire times and not the number of minutes in the range. ``unscheduled_jobs`` has the jobs left out.
     """
     first, stop = F.lit(begin).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     named = schedulable(jobs)
-    days = F.filter(
-        F.sequence(first.cast("date"), stop.cast("date")),
-        lambda d: F.array_contains("month", F.month(d))
-        & F.array_contains("day", F.dayofmonth(d))
-        & F.array_contains("weekday", F.dayofweek(d) - 1),
-    )
+    days = F.filter(F.sequence(first.cast("date"), stop.cast("date")), fires_on)
     # the days are found once per cron text, before the jobs that share it are joined
-    calendar = parsed_cron(named).dropna(subset=list(CRON_FIELDS)).select("cron", "hour", "minute", "second", days.alias("days"))
+    calendar = parsed_cron(named).filter("reason is null").select("cron", "hour", "minute", "second", days.alias("days"))
     timed = named.join(calendar, "cron").select("job_id", "hour", "minute", "second", F.explode("days").alias("_day"))
     for name in ("hour", "minute", "second"):
         timed = timed.withColumn(name, F.explode(name))
@@ -111,6 +186,48 @@ def missed_runs(expected: DataFrame, runs: DataFrame, tolerance_minutes: int) ->
     return both.filter((F.col("kind") == 0) & late).select("job_id", F.col("at").alias("fire_time"))
 
 
+#: What becomes of missed fire times: one run for all of them, one run each, or none.
+MISFIRES = ("FIRE_NOW", "FIRE_ALL", "IGNORE")
+
+
+def misfire_outcome(missed: DataFrame, runs: DataFrame, policies: DataFrame) -> DataFrame:
+    """(job_id, fire_time, misfire, outcome, run_at): the run that makes up for each missed fire time.
+
+    A job comes back with its first run at or after the fire time. FIRE_NOW (also for a blank text or a job without a row in
+    ``policies``) makes up for all fire times missed since the run before in one run: the last of them is FIRED, the others MERGED.
+    FIRE_ALL fires every one then; IGNORE has them DROPPED. PENDING: the job has not come back. An unknown text has outcome UNKNOWN.
+
+    Missed times and runs are read in one order per job; ``policies`` has (job_id, misfire), one row per job.
+    """
+    fires = missed.select("job_id", F.col("fire_time").alias("at"), F.lit(0).alias("kind"))
+    seen = runs.select("job_id", F.col("start_time").alias("at"), F.lit(1).alias("kind"))
+    cut = slice_rows(materialise(fires.unionAll(seen), "misfires"), ["job_id"], [F.col("at").asc(), F.col("kind").asc()])
+    run_at = F.when(F.col("kind") == 1, F.col("at"))
+    ahead = cut.ahead(F.col("at").desc(), F.col("kind").desc())
+    here = cut.rows.withColumn("_run", F.last(run_at, ignorenulls=True).over(ahead)).withColumn("_kind", F.lead("kind").over(cut.window()))
+    both = cut.with_carry(
+        here,
+        {"_first": F.min(run_at), "_head": F.min_by("kind", F.struct("at", "kind"))},
+        {"_later": lambda w: F.last("_first", ignorenulls=True).over(w), "_follows": lambda w: F.last("_head").over(w)},
+        backward=True,
+    )
+    back = both.filter("kind = 0").select(
+        "job_id", F.col("at").alias("fire_time"), F.coalesce("_run", "_later").alias("back"), (F.coalesce("_kind", "_follows") == 1).alias("newest")
+    )
+    rules = policies.select(F.col("job_id").alias("_job"), F.upper(trimmed(blank_to_null("misfire"))).alias("_rule"))
+    ruled = back.join(rules, F.col("job_id").eqNullSafe(F.col("_job")), "left")
+    rule = F.coalesce("_rule", F.lit(MISFIRES[0]))
+    outcome = (
+        F.when(~rule.isin(*MISFIRES), "UNKNOWN")
+        .when(rule == "IGNORE", "DROPPED")
+        .when(F.col("back").isNull(), "PENDING")
+        .when((rule == "FIRE_ALL") | F.col("newest"), "FIRED")
+        .otherwise("MERGED")
+    )
+    told = ruled.select("job_id", "fire_time", rule.alias("misfire"), outcome.alias("outcome"), "back")
+    return told.select("job_id", "fire_time", "misfire", "outcome", F.when(F.col("outcome").isin("FIRED", "MERGED"), F.col("back")).alias("run_at"))
+
+
 # ---- overlap policies over a trigger log ----
 def _micros(triggers: DataFrame) -> DataFrame:
     start = F.unix_micros(F.col("start_time").cast("timestamp"))

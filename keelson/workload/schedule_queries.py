@@ -136,6 +136,58 @@ def expected_runs(spark, sf_dir):
     return J.expected_runs(jobs(spark, sf_dir), BEGIN, END)
 
 
+# Cron texts with calendar rules, and texts that cannot be read, given to the jobs in turn.
+RULED = ["0 2 L * *", "0 2 L-3 * *", "0 2 1W * *", "0 2 15W,L * *", "0 2 LW * *", "0 2 * * 5L", "0 2 ? * FRI#2", "0 2 31W 1-6 MON#5,SUN"]
+UNREADABLE = ["0 2 32W * *", "0 2 * * L", "61 2 * * *", "0 2 * *", " "]
+YEAR_BEGIN, YEAR_END = "2024-01-01 00:00:00", "2026-01-01 00:00:00"
+
+
+def ruled_jobs(spark, sf_dir):
+    texts = F.array(*[F.lit(c) for c in RULED + UNREADABLE])
+    cron = F.element_at(texts, (F.col("c_custkey") % F.size(texts) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), cron.alias("cron"))
+
+
+# a date table: months as lists of their working days and of the days of each weekday
+DATES = f"""
+ dates as (select cast(t as date) as d, date_trunc('month', t) as m, month(t) as mo, day(t) as dom, dayofweek(t) as w
+   from (select unnest(generate_series(timestamp '{YEAR_BEGIN}', timestamp '{YEAR_END}' - interval 1 day, interval 1 day)) as t) x),
+ months as (select m, max(dom) as last, list(dom order by dom) filter (w between 1 and 5) as working from dates group by m),
+ wanted as (select m, n from months, (values (1), (15), (31)) v(n) where n <= last),
+ near as (select m, n, arg_min(dom, abs(dom - n)) as dom from wanted join dates using (m) where w between 1 and 5 group by m, n),
+ nth as (select *, row_number() over (partition by m, w order by d) as up, row_number() over (partition by m, w order by d desc) as down from dates),
+ marked as (select nth.*, last, working, exists (select 1 from near x where x.m = nth.m and x.dom = nth.dom and x.n = 1) as near1,
+   exists (select 1 from near x where x.m = nth.m and x.dom = nth.dom and x.n = 15) as near15,
+   exists (select 1 from near x where x.m = nth.m and x.dom = nth.dom and x.n = 31) as near31 from nth join months using (m)),
+ ruled as (
+   select 0 as k, d from marked where dom = last union all select 1, d from marked where dom = last - 3
+   union all select 2, d from marked where near1 union all select 3, d from marked where near15 or dom = last
+   union all select 4, d from marked where dom = working[-1] union all select 5, d from marked where w = 5 and down = 1
+   union all select 6, d from marked where w = 5 and up = 2
+   union all select 7, d from marked where near31 and mo <= 6 and ((w = 1 and up = 5) or w = 0))
+"""
+
+
+@query(
+    "j2_calendar_rules",
+    f"with {DATES} select c_custkey as job_id, cast(d as timestamp) + interval 2 hour as fire_time from customer join ruled on c_custkey % {len(RULED + UNREADABLE)} = k",
+)
+def calendar_rules(spark, sf_dir):
+    """Two years of fire times of jobs on last days, nearest weekdays and nth weekdays."""
+    return J.expected_runs(ruled_jobs(spark, sf_dir), YEAR_BEGIN, YEAR_END)
+
+
+@query(
+    "j2_unscheduled_jobs",
+    "select * from (select c_custkey as job_id, case c_custkey % 13 when 8 then '0 0 2 32W * *' when 9 then '0 0 2 * * L' when 10 then '0 61 2 * * *' "
+    "when 11 then '0 2 * *' when 12 then ' ' end as cron, case c_custkey % 13 when 8 then 'day: 32W' when 9 then 'weekday: L' when 10 then 'minute: 61' "
+    "when 11 then 'fields: 4' when 12 then 'missing cron expression' end as reason from customer) x where reason is not null",
+)
+def unscheduled_jobs(spark, sf_dir):
+    """Jobs the scheduler leaves out, each with its reason."""
+    return J.unscheduled_jobs(ruled_jobs(spark, sf_dir))
+
+
 MISSED = """
  runs as (select user_id % 50 as job_id, ts as start_time from events)
 """
@@ -147,8 +199,29 @@ MISSED = """
     "(select 1 from runs r where r.job_id = e.job_id and r.start_time >= e.fire_time and r.start_time <= e.fire_time + interval 90 minute)",
 )
 def missed_runs(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("job_id"), F.col("ts").alias("start_time"))
-    return J.missed_runs(J.expected_runs(jobs(spark, sf_dir), BEGIN, END), runs, 90)
+    return J.missed_runs(J.expected_runs(jobs(spark, sf_dir), BEGIN, END), job_runs(spark, sf_dir), 90)
+
+
+def job_runs(spark, sf_dir):
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("job_id"), F.col("ts").alias("start_time"))
+
+
+@query(
+    "j3_misfire_outcome",
+    f"with {CALENDAR}, {MISSED}, missed as (select job_id, fire_time from expected e where not exists "
+    "(select 1 from runs r where r.job_id = e.job_id and r.start_time >= e.fire_time and r.start_time <= e.fire_time + interval 90 minute)), "
+    "nx as (select m.job_id, m.fire_time, r.start_time as back, case m.job_id % 5 when 1 then 'IGNORE' when 2 then 'FIRE_ALL' when 4 then 'LATER' "
+    "else 'FIRE_NOW' end as misfire from missed m asof left join runs r on m.job_id = r.job_id and m.fire_time <= r.start_time), "
+    "oc as (select *, case when misfire = 'LATER' then 'UNKNOWN' when misfire = 'IGNORE' then 'DROPPED' when back is null then 'PENDING' "
+    "when misfire = 'FIRE_ALL' or row_number() over (partition by job_id, back order by fire_time desc) = 1 then 'FIRED' else 'MERGED' end as outcome from nx) "
+    "select job_id, fire_time, misfire, outcome, case when outcome in ('FIRED', 'MERGED') then back end as run_at from oc",
+)
+def misfire_outcome(spark, sf_dir):
+    """What the misfire instruction of each job makes of its missed runs; a fifth of the jobs have none, another an unknown one."""
+    key = F.col("c_custkey")
+    text = F.when(key % 5 == 1, "ignore").when(key % 5 == 2, "FIRE_ALL").when(key % 5 == 3, " ").when(key % 5 == 4, "later")
+    policies = table(spark, sf_dir, "customer").select(key.alias("job_id"), text.alias("misfire"))
+    return J.misfire_outcome(missed_runs(spark, sf_dir), job_runs(spark, sf_dir), policies)
 
 
 @query(

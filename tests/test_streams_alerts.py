@@ -135,13 +135,92 @@ def test_cron_texts(spark):
     assert fire_times(spark, "0 0 * * *", "2024-03-01 00:00:01", "2024-03-02 00:00:00") == []
 
 
-@pytest.mark.parametrize("bad", ["61 * * * *", "a b c d e", "* * *", "5-1 * * * *", "*/0 * * * *", "0 0 L * *"])
+@pytest.mark.parametrize("bad", ["61 * * * *", "a b c d e", "* * *", "5-1 * * * *", "*/0 * * * *", "0 0 L-31 * *", "0 0 * * L", "0 0 32W * *", "0 0 * * 1#0"])
 def test_bad_cron_texts_are_rejected(spark, bad):
     jobs = J.schedulable(spark.createDataFrame([(1, bad), (2, "* * * * *")], "job_id int, cron string"))
     good, rejected = J.split_cron(jobs)
     assert [r["job_id"] for r in good.collect()] == [2] and [r["job_id"] for r in rejected.collect()] == [1]
 
 
+def nearest(y, m, n, days):
+    """The working day of the month nearest to its day n; none if the month has no such day."""
+    working = [d for d in days if (d.year, d.month) == (y, m) and d.weekday() < 5]
+    there = any((d.year, d.month, d.day) == (y, m, n) for d in days)
+    return min(working, key=lambda d: abs(d.day - n)) if there else None
+
+
+CALENDAR_RULES = {
+    "0 0 L * *": lambda d, last, near: d.day == last,
+    "0 0 L-3 * *": lambda d, last, near: d.day == last - 3,
+    "0 0 1W * *": lambda d, last, near: d == near(1),
+    "0 0 31W * *": lambda d, last, near: d == near(31),
+    "0 0 1,L,15W * *": lambda d, last, near: d.day in (1, last) or d == near(15),
+    "0 0 LW * *": lambda d, last, near: d == near(last),
+    "0 0 * * friL": lambda d, last, near: d.weekday() == 4 and d.day + 7 > last,
+    "0 0 ? * MON#5": lambda d, last, near: d.weekday() == 0 and d.day > 28,
+    "0 0 * * 7#1,5L": lambda d, last, near: (d.weekday() == 6 and d.day <= 7) or (d.weekday() == 4 and d.day + 7 > last),
+    "0 0 L * 0L": lambda d, last, near: d.day == last and d.weekday() == 6,
+    "0 0 30 2 *": lambda d, last, near: False,
+}
+
+
+def test_calendar_rules(spark):
+    jobs = spark.createDataFrame(list(enumerate(CALENDAR_RULES)), "job_id int, cron string")
+    days = [datetime(2023, 1, 1) + timedelta(days=n) for n in range(6 * 365 + 2)]  # whole years, two of them leap years
+    last = {(d.year, d.month): d.day for d in days}
+    want = [
+        (n, d)
+        for n, named in enumerate(CALENDAR_RULES.values())
+        for d in days
+        if named(d, last[d.year, d.month], lambda k, d=d: nearest(d.year, d.month, k, days))
+    ]
+    got = rows(J.expected_runs(jobs, "2023-01-01 00:00:00", str(days[-1] + timedelta(days=1))), "job_id", "fire_time")
+    assert got == sorted(want)
+
+
+def test_unscheduled_jobs_have_reasons(spark):
+    texts = ["0 1 * * *", None, "", "x 1 * * *", "0 0 1 * * 1-9", "* *", "0 1 5W,32 * *", "@never"]
+    jobs = spark.createDataFrame(list(enumerate(texts)), "job_id int, cron string")
+    assert rows(J.unscheduled_jobs(jobs), "job_id", "reason") == [
+        (1, "missing cron expression"), (2, "missing cron expression"), (3, "minute: x"), (4, "weekday: 1-9"),
+        (5, "fields: 2"), (6, "day: 5W,32"), (7, "fields: 1"),
+    ]
+    assert rows(J.expected_runs(jobs, "2024-01-01 00:00:00", "2024-01-02 00:00:00")) == [(0, datetime(2024, 1, 1, 1))]
+    none = spark.createDataFrame([], "job_id int, cron string")
+    assert rows(J.unscheduled_jobs(none)) == [] and rows(J.expected_runs(none, "2024-01-01 00:00:00", "2024-02-01 00:00:00")) == []
+
+
+def misfires(spark):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    missed = [(job, at(h)) for job in (1, 2, 3, 4, 5) for h in (1, 2, 4, 9)] + [(None, at(1)), (None, at(2))]
+    runs = [(job, at(h)) for job in (1, 2, 3, 4, 5, None) for h in (0, 3, 4, 5)]
+    policies = [(1, "fire_now"), (2, "FIRE_ALL"), (3, " ignore "), (4, "sometimes"), (6, "IGNORE")]
+    got = J.misfire_outcome(
+        spark.createDataFrame(missed, "job_id int, fire_time timestamp_ntz"),
+        spark.createDataFrame(runs, "job_id int, start_time timestamp_ntz"),
+        spark.createDataFrame(policies, "job_id int, misfire string"),
+    )
+    once = [(1, "MERGED", 3), (2, "FIRED", 3), (4, "FIRED", 4), (9, "PENDING", None)]
+    each = [(1, "FIRED", 3), (2, "FIRED", 3), (4, "FIRED", 4), (9, "PENDING", None)]
+    told = {1: once, 2: each, 3: [(h, "DROPPED", None) for h in (1, 2, 4, 9)], 4: [(h, "UNKNOWN", None) for h in (1, 2, 4, 9)], 5: once, None: once[:2]}
+    want = {(job, at(h), outcome, run and at(run)) for job, list_ in told.items() for h, outcome, run in list_}
+    found = [tuple(r) for r in got.select("job_id", "fire_time", "outcome", "run_at").collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_misfires(spark):
+    misfires(spark)
+
+
+def test_misfires_over_slices(spark):
+    """Every job is cut; a run or fire time may lie in a later slice."""
+    spark.conf.set("spark.keelson.rowsPerKey", "2")
+    try:
+        misfires(spark)
+    finally:
+        spark.conf.unset("spark.keelson.rowsPerKey")
+
+
 def test_blank_cron_is_dropped(spark):
     jobs = spark.createDataFrame([(1, " "), (2, None), (3, "0 1 * * *")], "job_id int, cron string")
     assert rows(J.schedulable(jobs)) == [(3, "0 0 1 * * *")]
