@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keelson.operators import alerts as N
 from keelson.plans.backup import Catalog, commit_step, stream_parent
-from keelson.plans.scans import latest_per_key
 from keelson.sources.snapshots import TrackedTable
+from keelson.streaming.runs import RunTable
 
 
 def file_stream(
@@ -55,18 +55,13 @@ def backup_stream(stream: DataFrame, table: TrackedTable, catalog: Catalog, root
 
 
 def upsert_stream(log_stream: DataFrame, path: str, checkpoint: str, key: str = "id", order: str = "seq") -> DataFrame:
-    """Newest row per id of a log stream.
+    """Newest row per id of a log stream, kept as runs of falling size: the sink grows with the ids, not with the batches.
 
-    A batch is reduced to its newest row per id and appended; the reader takes the newest over batches. The
-    sink therefore holds no state that grows, and late rows lose to newer ones by ``order``, not by arrival.
+    Late rows lose to newer ones by ``order``, not by arrival, and a repeated batch changes nothing.
     """
-
-    def append(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, [key], [order]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    run_available(log_stream, append, checkpoint)
-    stored = log_stream.sparkSession.read.schema(log_stream.schema).parquet(f"{path}/batch=*")
-    return latest_per_key(stored, [key], [order])
+    table = RunTable(log_stream.sparkSession, path, log_stream.schema, [key], [order])
+    run_available(log_stream, lambda batch, number: table.merge(batch), checkpoint)
+    return table.current()
 
 
 def alert_stream(records: DataFrame, path: str, checkpoint: str, channels: list[str], chat_id: str = "", details: bool = False) -> DataFrame:
@@ -80,13 +75,18 @@ def alert_stream(records: DataFrame, path: str, checkpoint: str, channels: list[
     return records.sparkSession.read.schema("id string, channel string, body string").parquet(f"{path}/batch=*")
 
 
-def run_rates(records: DataFrame, delay: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Runs and failures per window; a window closes when the watermark passes its end, later rows are dropped.
+def _on_time(records: DataFrame, delay: str, unique: str | None) -> DataFrame:
+    """Records with their instant ``at`` and its watermark; of those with one ``unique`` value within the delay, the first to come.
 
     Watermarks need an instant, so the zone-less start time is read in the session's zone.
     """
     timed = records.withColumn("at", F.col("start_time").cast("timestamp")).withWatermark("at", delay)
-    grouped = timed.groupBy(F.window("at", width)).agg(
+    return timed.dropDuplicatesWithinWatermark([unique]) if unique else timed
+
+
+def run_rates(records: DataFrame, delay: str = "2 hours", width: str = "1 hour", unique: str | None = None) -> DataFrame:
+    """Runs and failures per window; a window closes when the watermark passes its end, later rows are dropped."""
+    grouped = _on_time(records, delay, unique).groupBy(F.window("at", width)).agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "FAILED").alias("failures")
     )
     return grouped.select(
@@ -97,8 +97,22 @@ def run_rates(records: DataFrame, delay: str = "2 hours", width: str = "1 hour")
     )
 
 
+def run_sessions(records: DataFrame, key: str, delay: str = "2 hours", gap: str = "30 minutes", unique: str | None = None) -> DataFrame:
+    """Stretches of runs of one ``key`` with no pause of ``gap``; a session closes when the watermark passes its last run plus the gap."""
+    grouped = _on_time(records, delay, unique).groupBy(key, F.session_window("at", gap).alias("session")).agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "FAILED").alias("failures")
+    )
+    return grouped.select(
+        key,
+        F.col("session.start").cast("timestamp_ntz").alias("session_start"),
+        F.col("session.end").cast("timestamp_ntz").alias("session_end"),
+        "runs",
+        "failures",
+    )
+
+
 def closed_windows(rates: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run the rate query over what is available and read the windows that closed."""
+    """Run a window query over what is available and read the windows that closed."""
     query = (
         rates.writeStream.format("parquet")
         .outputMode("append")

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from keelson.plans.backup import BackupRequest, Catalog, commit_step, restore_ta
 from keelson.session import scratch_path
 from keelson.sources.snapshots import TrackedTable
 from keelson.streaming import jobs as T
+from keelson.streaming.runs import RunTable
 
 
 def drop_files(df, path, column, groups):
@@ -85,6 +87,94 @@ def test_upsert_stream_ignores_arrival_order(spark):
     assert rows(got) == [("x", 2, "done"), ("y", 3, None)]
 
 
+def schema_of(spark, text):
+    return spark.createDataFrame([], text).schema
+
+
+def stored(spark, path):
+    return spark.read.schema("id int").option("recursiveFileLookup", "true").parquet(f"{path}/slot=*").count()
+
+
+def test_runs_grow_with_the_ids_and_not_with_the_batches(spark):
+    path, schema = scratch_path(spark, "runs"), schema_of(spark, "id int, seq int, v string")
+    table = RunTable(spark, path, schema, ["id"], ["seq"])
+    want, most = {}, 0
+    random = Random(5)
+    for number in range(14):
+        # a few ids are changed in every batch; the order of changes is not the order of arrival
+        batch = [(random.randrange(40), random.randrange(10**6), f"b{number}") for _ in range(8)]
+        table.merge(spark.createDataFrame(batch, schema))
+        for row in batch:
+            want[row[0]] = max(want.get(row[0], row), row, key=lambda r: r[1])
+        if number % 5 == 2:
+            table.merge(spark.createDataFrame(batch, schema))
+        live = [r["rows"] for r in table.manifest() if r["state"] == "live"]
+        assert all(rows >= 2 * sum(live[n + 1 :]) for n, rows in enumerate(live))
+        assert sum(live) <= 1.5 * len(want)
+        most = max(most, len(live))
+    assert rows(table.current()) == sorted(want.values())
+    assert most > 1
+    # beside the live runs, only those of the manifest before are still there
+    assert stored(spark, path) <= 3 * len(want)
+    table.merge(spark.createDataFrame([], schema))
+    assert rows(table.current()) == sorted(want.values())
+
+
+def test_a_batch_that_failed_before_its_manifest_leaves_the_table_as_it_was(spark, monkeypatch):
+    path, schema = scratch_path(spark, "runs"), schema_of(spark, "id int, seq int")
+    table = RunTable(spark, path, schema, ["id"], ["seq"])
+    assert rows(table.current()) == []
+    table.merge(spark.createDataFrame([(1, 1), (2, 1)], schema))
+    with monkeypatch.context() as m:
+        m.setattr(spark, "createDataFrame", fails)
+        with pytest.raises(OSError):
+            table.merge(changed := spark.range(2, 4).selectExpr("cast(id as int) id", "2 seq"))
+    assert rows(table.current()) == [(1, 1), (2, 1)]
+    table.merge(changed)
+    assert rows(table.current()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def fails(*_):
+    raise OSError("no more disk")
+
+
+def test_streamed_upserts_over_many_batches(spark):
+    data = [(n % 7, (n * 37) % 60, f"v{n}", g) for g in range(6) for n in range(g * 9, g * 9 + 12)]
+    df = spark.createDataFrame(data, "id int, seq int, v string, g int")
+    source, sink = scratch_path(spark, "src"), scratch_path(spark, "up")
+    drop_files(df, source, "g", range(6))
+    stream = lambda: T.file_stream(spark, source, df.drop("g").schema, batch_files=1)
+    want = sorted({row[0]: row[:3] for row in sorted(data, key=lambda r: r[1])}.values())
+    assert rows(T.upsert_stream(stream(), sink, f"{sink}-cp")) == want
+    # the checkpoint is lost: every batch comes again
+    assert rows(T.upsert_stream(stream(), sink, f"{sink}-other")) == want
+
+
+def windows(spark, data, files, query):
+    """Closed windows of rows (minute, id, job, status) that come in the given number of files, in order."""
+    t = datetime(2024, 1, 1)
+    size = -(-len(data) // files)
+    held = [(t + timedelta(minutes=m), i, job, status, n // size) for n, (m, i, job, status) in enumerate(data)]
+    df = spark.createDataFrame(held, "start_time timestamp_ntz, id int, job string, status string, g int")
+    source, sink = scratch_path(spark, "src"), scratch_path(spark, "win")
+    drop_files(df, source, "g", range(files))
+    return rows(T.closed_windows(query(T.file_stream(spark, source, df.drop("g").schema, batch_files=1)), sink, f"{sink}-cp"))
+
+
+def test_windows_do_not_depend_on_the_number_of_batches(spark):
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    # disorder stays within the delay; ids 3 and 6 come twice; the last row closes what is before it
+    data = [(5, 1, "a", "FAILED"), (50, 2, "a", "OK"), (20, 3, "a", "OK"), (20, 3, "a", "OK"), (70, 4, "b", "OK"), (65, 5, None, "OK"),
+            (130, 6, "b", "FAILED"), (130, 6, "b", "FAILED"), (100, 7, "a", "OK"), (900, 8, "a", "OK")]
+    rates = lambda stream: T.run_rates(stream, delay="1 hour", unique="id")
+    sessions = lambda stream: T.run_sessions(stream, "job", delay="1 hour", gap="20 minutes", unique="id")
+    in_one, in_five = windows(spark, data, 1, rates), windows(spark, data, 5, rates)
+    assert in_one == in_five == [(t(0), t(60), 3, 1), (t(60), t(120), 3, 0), (t(120), t(180), 1, 1)]
+    got = windows(spark, [r for r in data if r[2]], 1, sessions)
+    assert got == windows(spark, [r for r in data if r[2]], 3, sessions)
+    assert got == [("a", t(5), t(40), 2, 1), ("a", t(50), t(70), 1, 0), ("a", t(100), t(120), 1, 0), ("b", t(70), t(90), 1, 0), ("b", t(130), t(150), 1, 1)]
+
+
 def test_late_rows_are_dropped(spark):
     t = datetime(2024, 1, 1)
     data = [(t + timedelta(minutes=m), "SUCCESS" if m % 2 else "FAILED", g) for g, ms in enumerate([[1, 5], [130, 190], [185], [3, 600]]) for m in ms]
