@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import crypto
 from keelson.operators.segments import length_verdict
-from keelson.sources.listing import locate, open_object, spread_tasks
+from keelson.sources.listing import locate, open_object, qualified, spread_tasks
 
 #: Payload bytes read before they are handed on; a single segment may be larger.
 FETCH_BYTES = 64 << 20
@@ -21,7 +21,7 @@ FRAMES_PER_BATCH = 50_000
 
 
 def write_streams(streams: DataFrame, root: str, name: str = "part", content: str = "stream") -> DataFrame:
-    """One file per row below ``root`` (name column gives the file name); returns (path, bytes) of each.
+    """One file per row below ``root`` (name column gives the file name, with folders before it); returns (path, bytes) of each.
 
     Each file is written whole under its final name, so a retried task replaces it with the same bytes.
     """
@@ -30,17 +30,17 @@ def write_streams(streams: DataFrame, root: str, name: str = "part", content: st
         import pandas as pd
 
         system, folder = locate(home)
-        system.create_dir(folder, recursive=True)
         for batch in batches:
             done = []
             for label, data in zip(batch["name"], batch["content"]):
                 target = f"{folder}/{label}.enc"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(target) as out:
                     out.write(data)
                 done.append((f"{home}/{label}.enc", len(data)))
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
-    home = root if ":" in root else f"file:{root}"
+    home = qualified(streams.sparkSession, root)
     rows = streams.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content"))
     return rows.mapInPandas(write, "path string, bytes bigint")
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.text import SCHEME_PROVIDERS, blank_to_null, object_id, uri_bucket, uri_key, uri_path, uri_scheme
+from keelson.session import materialise_counted
 
 #: The first bytes of a gzip stream, and the age after which a left-over object is stale.
 GZIP_MAGIC = "1F8B"
@@ -30,11 +31,6 @@ def list_objects(spark: SparkSession, prefix: str, missing_ok: bool = False) ->
     return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
-def list_prefix(spark: SparkSession, folder: str, name_prefix: str) -> DataFrame | None:
-    """Files below ``folder`` whose path continues with ``name_prefix``. Only what the pattern names is listed."""
-    return list_objects(spark, f"{folder.rstrip('/')}/{name_prefix}*", missing_ok=True)
-
-
 @lru_cache(maxsize=64)
 def _file_system(root: str):
     from pyarrow import fs
@@ -65,6 +61,62 @@ def spread_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system; one without a scheme lies on the cluster's default file system."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(hadoop).makeQualified(target).toString()
+
+
+#: Entries of a folder that a task hands on at a time.
+ENTRIES = 20_000
+
+
+def _entries(batches: Iterator) -> Iterator:
+    """What lies directly in each folder, as the file system tells it. A folder that is not there is empty."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch["path"]:
+            system, inner = locate(uri)
+            head = uri[: len(uri) - len(inner)]
+            infos = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            for at in range(0, len(infos), ENTRIES):
+                part = infos[at : at + ENTRIES]
+                yield pd.DataFrame(
+                    {
+                        "path": [head + i.path for i in part],
+                        "length": [i.size or 0 for i in part],
+                        "modified": pd.to_datetime(pd.Series([i.mtime_ns for i in part], dtype="Int64") // 1000, unit="us"),
+                        "folder": [i.type == fs.FileType.Directory for i in part],
+                    }
+                )
+
+
+def list_tree(spark: SparkSession, root: str, name_prefix: str = "") -> DataFrame:
+    """(path, length, modified) of every file below a folder whose path continues with ``name_prefix``, hidden names included.
+
+    Folders are dealt to tasks, one level of the tree a round, and every round is written, so the driver holds no names.
+    Only folders that the prefix leaves open are listed.
+    """
+    wanted = f"{qualified(spark, root).rstrip('/')}/{name_prefix}"
+    folders, levels = spark.createDataFrame([(wanted.rpartition("/")[0],)], "path string"), []
+    while True:
+        dealt = folders.repartition(spread_tasks(folders), "path")
+        entries = dealt.mapInPandas(_entries, "path string, length bigint, modified timestamp_ntz, folder boolean")
+        entries, seen = materialise_counted(entries.filter(F.col("path").startswith(wanted)), "listing", folders=F.count_if("folder"))
+        levels.append(entries.filter("not folder").drop("folder"))
+        if not seen["folders"]:
+            return reduce(DataFrame.unionAll, levels)
+        folders = entries.filter("folder").select("path")
+
+
+def list_prefix(spark: SparkSession, folder: str, name_prefix: str) -> DataFrame:
+    """Files below ``folder`` whose path continues with ``name_prefix``."""
+    return list_tree(spark, folder, name_prefix)
+
+
 def provider_table(spark: SparkSession) -> DataFrame:
     """The fixed scheme map as a table (one row per scheme)."""
     return spark.createDataFrame(list(SCHEME_PROVIDERS.items()), "scheme string, provider string")
@@ -148,7 +200,7 @@ def sniff_files(listing: DataFrame) -> DataFrame:
 
 
 def bytes_by_backup(listing: DataFrame) -> DataFrame:
-    """Stored files and bytes per backup id, taken from the folder names."""
+    """Stored files and bytes per backup id, taken from the folder names. Marks and checksums (hidden names) are no data."""
     backup = F.regexp_extract("path", "/backup_id=([^/]+)/", 1)
-    files = listing.withColumn("backup_id", backup).filter("backup_id <> '' and not path like '%/\\_SUCCESS'")
+    files = listing.withColumn("backup_id", backup).filter((F.col("backup_id") != "") & ~F.col("path").rlike(r"/[._][^/]*$"))
     return files.groupBy("backup_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -11,9 +11,10 @@ from keelson.operators import catalog as C
 from keelson.operators.replay import replay, snapshot_diff, union_steps
 from keelson.operators.verify import verify
 from keelson.plans.backup import BackupRequest, Catalog, restore_database, restore_table, run_backup
-from keelson.session import scratch_path
+from keelson.session import materialise, scratch_path
 from keelson.functions.text import object_id
 from keelson.sources import listing as L
+from keelson.sources.framed import write_streams
 from keelson.sources.snapshots import (
     STORE_FORMATS, TrackedTable, full_rows, load_table, read_snapshots, rows_between, store_table, write_snapshot,
 )
@@ -199,22 +200,41 @@ def prefix_listing(spark, sf_dir):
     return listed.join(stored, "object").groupBy("backup_id").agg(F.sum("count").alias("row_count"))
 
 
+@query(
+    "s13_tree_listing",
+    "select concat('n', s_nationkey) as folder, count(*) as files, sum(length(s_name) * (s_suppkey % 5)) as bytes from supplier group by 1",
+)
+def tree_listing(spark, sf_dir):
+    """An object per supplier in folders of three depths, some hidden, some empty; files and exact bytes per top folder."""
+    root = scratch_path(spark, "tree")
+    key = F.col("s_suppkey")
+    below = F.when(key % 3 == 0, "/").when(key % 3 == 1, "/_parts/").otherwise("/.later/x/")
+    name = F.concat(F.lit("n"), "s_nationkey", below, "s_name")
+    content = F.encode(F.repeat("s_name", (key % 5).cast("int")), "UTF-8")
+    objects = table(spark, sf_dir, "supplier").select(name.alias("part"), content.alias("stream"))
+    materialise(write_streams(objects, root), "objects")
+    top = F.regexp_extract("path", r"/tree-[^/]+/([^/]+)/", 1)
+    return L.list_tree(spark, root).groupBy(top.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 @query(
     "s19_bytes_written",
-    "select 'b-full' as backup_id, count(*) as row_count, true as has_bytes from orders "
-    f"union all select 'b-inc', count(*), true from orders where o_orderdate > timestamp '{CUTS[1]}' and o_orderdate <= timestamp '{CUTS[2]}'",
+    "select 'b-full' as backup_id, count(*) as row_count, true as has_bytes, true as exact from orders "
+    f"union all select 'b-inc', count(*), true, true from orders where o_orderdate > timestamp '{CUTS[1]}' and o_orderdate <= timestamp '{CUTS[2]}'",
 )
 def bytes_written(spark, sf_dir):
-    """Stored bytes per backup from the listing, beside the rows counted while writing."""
+    """Stored bytes per backup from the listing, beside the rows counted while writing and the sizes the readers of the files see."""
     root = scratch_path(spark, "bytes")
     orders = table(spark, sf_dir, "orders")
     counts = [
         ("b-full", write_snapshot(orders, root, "db", "orders", "b-full")),
         ("b-inc", write_snapshot(rows_between(orders, ORDERS, CUTS[1], CUTS[2]), root, "db", "orders", "b-inc")),
     ]
-    stored = L.bytes_by_backup(L.list_objects(spark, root))
-    return spark.createDataFrame(counts, "backup_id string, row_count bigint").join(stored, "backup_id").select(
-        "backup_id", "row_count", (F.col("bytes") > 0).alias("has_bytes")
+    stored = L.bytes_by_backup(L.list_tree(spark, root))
+    read = spark.read.parquet(f"{root}/db/orders").select("backup_id", "_metadata.file_path", "_metadata.file_size").distinct()
+    seen = read.groupBy("backup_id").agg(F.sum("file_size").alias("seen"))
+    return spark.createDataFrame(counts, "backup_id string, row_count bigint").join(stored, "backup_id").join(seen, "backup_id", "left").select(
+        "backup_id", "row_count", (F.col("bytes") > 0).alias("has_bytes"), F.col("bytes").eqNullSafe(F.col("seen")).alias("exact")
     )
 
 

@@ -11,6 +11,7 @@ from keelson.operators.replay import fingerprint, multiset_difference, replay, s
 from keelson.plans.backup import BackupRequest, Catalog, ChainError, cleanup_plan, restore_database, restore_steps, restore_table, run_backup
 from keelson.session import scratch_path
 from keelson.sources import listing as L
+from keelson.sources.framed import write_streams
 from keelson.sources import tables as S
 from keelson.sources.snapshots import STORE_FORMATS, TrackedTable, load_table, read_snapshots, store_table, write_snapshot
 
@@ -201,6 +202,26 @@ def test_filter_and_columns_reach_the_scan(spark):
     assert "LessThanOrEqual(l_shipdate" in plan and "ReadSchema: struct<l_shipdate:timestamp_ntz>" in plan
 
 
+def test_tree_listing_is_that_of_the_file_system(spark):
+    root = scratch_path(spark, "tree")
+    names = ["a", "_a", ".a", "d/b", "d/_hid/c", "d/.x/y/z", "d e/f g", "d/backup_id=b-1/part-0", "d/backup_id=b-1/.part-0.crc", "dd/q"]
+    sizes = {f"{name}.enc": n for n, name in enumerate(names)}
+    objects = spark.createDataFrame([(name, bytes(n)) for n, name in enumerate(names)], "part string, stream binary")
+    assert write_streams(objects, root).count() == len(names)
+    base = L.qualified(spark, root) + "/"
+    found = lambda df: {r["path"].removeprefix(base): r["length"] for r in df.collect()}
+    assert found(L.list_tree(spark, root)) == found(L.list_tree(spark, base)) == sizes
+    below = lambda prefix: {k: v for k, v in sizes.items() if k.startswith(prefix)}
+    for prefix in ("d", "d/", "d/_", "d/backup_id=b-", "_", "none", "none/x"):
+        assert found(L.list_prefix(spark, root, prefix)) == below(prefix)
+    assert L.list_tree(spark, f"{root}/none").collect() == []
+    assert rows(L.bytes_by_backup(L.list_tree(spark, root))) == [("b-1", 1, 7)]
+    # the times are those that Spark's own listing tells
+    told = {r["path"].removeprefix(base): r["modified"] for r in L.list_objects(spark, root).collect()}
+    mine = {r["path"].removeprefix(base): r["modified"] for r in L.list_tree(spark, root).collect()}
+    assert told and all(abs((mine[name] - at).total_seconds()) < 0.002 for name, at in told.items())
+
+
 def test_listing_sniffing_and_prefix(spark):
     root = scratch_path(spark, "ls")
     store_table(spark.range(3).coalesce(1), f"{root}/b/gz", "json")
