@@ -6,6 +6,7 @@ A trigger is (trigger_id, job_id, start_time, duration_us). Every scan over a jo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from keelson.functions.text import blank_to_null, normal_cron, trimmed
 from keelson.plans.scans import slice_rows
-from keelson.session import materialise, materialise_counted
+from keelson.session import materialise, materialise_counted, rows_per_key
 
 # Lowest and highest number of each cron field, and the names two of them accept.
 CRON_FIELDS = {"second": (0, 59), "minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
@@ -296,19 +297,20 @@ def overlap_audit(triggers: DataFrame) -> DataFrame:
     return late.select("trigger_id", "job_id", (F.col("busy") - F.col("s")).alias("overlap_us"))
 
 
-#: Triggers of an island that are folded in one row.
-ISLAND_ROWS = 1000
+def skip_outcome(triggers: DataFrame, island_limit: int | None = None) -> DataFrame:
+    """SKIP: a trigger that arrives while its job runs is dropped. A trigger without a start never runs; no duration counts as 0.
 
-
-def skip_outcome(triggers: DataFrame, island_limit: int = ISLAND_ROWS) -> DataFrame:
-    """SKIP: a trigger that arrives while its job runs is dropped.
-
-    A trigger that starts after every earlier one could have ended surely runs, so the log falls into independent
-    islands. A lone trigger runs. An island of up to ``island_limit`` triggers is one row whose array is folded. A larger
-    one is followed by jumps from each trigger to the first one after its end, doubling every round. All give the same answer.
+    A job that fits one task is read once in time order, holding nothing but the end of the running trigger. Larger jobs fall
+    into islands: a trigger that starts after every earlier one could have ended surely runs, so what follows it does not depend on
+    what came before. Islands of up to ``island_limit`` triggers (``spark.keelson.rowsPerKey``) are read in the same way; a larger one is
+    followed by jumps from each trigger to the first one after its end, doubling every round. All give the same answer.
     """
     cut = slice_rows(_micros(triggers), ["job_id"], _in_order())
-    rows = _with_busy_until(cut, cut.rows)
+    if not cut.cut:
+        return _read_in_order(cut.rows, ["job_id"])
+    limit = rows_per_key(triggers.sparkSession) if island_limit is None else island_limit
+    unstarted = cut.rows.filter("s is null").select("trigger_id", "job_id", F.lit(False).alias("ran"))
+    rows = _with_busy_until(cut, cut.rows.filter("s is not null").fillna(0, "d"))
     head = F.when(F.col("busy").isNull() | (F.col("s") >= F.col("busy")), F.struct("s", "trigger_id"))
     so_far = cut.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_head", head).withColumn("_island", F.max("_head").over(so_far))
@@ -317,27 +319,42 @@ def skip_outcome(triggers: DataFrame, island_limit: int = ISLAND_ROWS) -> DataFr
         rows.select("job_id", "trigger_id", "s", "d", F.coalesce("_island", "_earlier")["trigger_id"].alias("island")), "islands"
     )
     large, seen = materialise_counted(
-        rows.groupBy("job_id", "island").count().filter(F.col("count") > island_limit).select("job_id", "island"),
+        rows.groupBy("job_id", "island").count().filter(F.col("count") > limit).select("job_id", "island"),
         "large",
         n=F.count(F.lit(1)),
     )
+    keys = ["job_id", "island"]
     if not seen["n"]:
-        return _fold_islands(rows)
-    small = rows.join(large, ["job_id", "island"], "left_anti")
-    return _fold_islands(small).unionByName(_follow_islands(rows.join(large, ["job_id", "island"], "left_semi")))
-
-
-def _fold_islands(rows: DataFrame) -> DataFrame:
-    """Islands as arrays in time order, folded to the end of the running trigger and one flag per trigger."""
-    runs = lambda state, t: t["s"] >= state["busy"]
-    step = lambda state, t: F.struct(
-        F.when(runs(state, t), t["s"] + t["d"]).otherwise(state["busy"]).alias("busy"), F.concat(state["ran"], F.array(runs(state, t))).alias("ran")
-    )
-    start = F.struct(F.lit(-(2**63)).cast("bigint").alias("busy"), F.array().cast("array<boolean>").alias("ran"))
-    island = rows.groupBy("job_id", "island").agg(F.sort_array(F.collect_list(F.struct("s", "trigger_id", "d"))).alias("_in"))
-    flags = F.when(F.size("_in") == 1, F.array(F.lit(True))).otherwise(F.aggregate("_in", start, step, lambda state: state["ran"]))
-    folded = island.select("job_id", "_in", flags.alias("_ran")).select("job_id", F.explode(F.arrays_zip("_in", "_ran")).alias("_t"))
-    return folded.select(F.col("_t._in.trigger_id").alias("trigger_id"), "job_id", F.col("_t._ran").alias("ran"))
+        return _read_in_order(rows, keys).unionByName(unstarted)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    named = large.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    small = _read_in_order(rows.join(named, same, "left_anti"), keys)
+    return small.unionByName(_follow_islands(rows.join(named, same, "left_semi"))).unionByName(unstarted)
+
+
+def _read_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Triggers of each key in time order in one pass. Only the end of the running trigger is held, across batches too."""
+    # one text per key; null is a key of its own
+    key = F.concat_ws("\n", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys])
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        last = busy = None
+        for batch in batches:
+            ran = []
+            for name, start, length in zip(*(batch.column(c).to_pylist() for c in ("_key", "s", "d"))):
+                if name != last:
+                    last, busy = name, None
+                free = start is not None and (busy is None or start >= busy)
+                if free:
+                    busy = start + (length or 0)
+                ran.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column("trigger_id"), batch.column("job_id"), pa.array(ran, pa.bool_())], ["trigger_id", "job_id", "ran"])
+
+    types = dict(rows.dtypes)
+    dealt = rows.select("trigger_id", "job_id", key.alias("_key"), "s", "d").repartition("_key").sortWithinPartitions("_key", *_in_order())
+    return dealt.mapInArrow(scan, f"trigger_id {types['trigger_id']}, job_id {types['job_id']}, ran boolean")
 
 
 def _next_free(rows: DataFrame) -> DataFrame:

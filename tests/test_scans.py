@@ -117,7 +117,7 @@ def test_queue(spark, trigger_log, sliced, request):
     assert {r[0]: (r[1], r[2]) for r in got} == brute_queue(data)
 
 
-@pytest.mark.parametrize("sliced,limit", [(False, None), (True, None), (True, 1), (False, 20)])
+@pytest.mark.parametrize("sliced,limit", [(False, None), (True, None), (True, 1), (True, 40), (True, 10_000)])
 def test_skip(spark, trigger_log, sliced, limit, request):
     if sliced:
         request.getfixturevalue("small_slices")
@@ -127,6 +127,19 @@ def test_skip(spark, trigger_log, sliced, limit, request):
     assert {r["trigger_id"]: r["ran"] for r in got} == brute_skip(data)
 
 
+@pytest.mark.parametrize("sliced", [False, True])
+def test_skip_without_job_start_or_duration(spark, sliced, request):
+    if sliced:
+        request.getfixturevalue("small_slices")
+    # ten of each: the job without an id is a job of its own
+    data = [(n * 10 + k, job, at and at + n * 100, length) for n in range(10) for k, (job, at, length) in enumerate(
+        [(None, 1, 50), (None, 20, 5), (7, 2, None), (7, 2, 10), (7, 5, 1), (7, None, 3), (8, 20, 5)])]
+    df = spark.createDataFrame(data, "trigger_id bigint, job_id bigint, s bigint, duration_us bigint")
+    got = J.skip_outcome(df.withColumn("start_time", F.timestamp_micros("s").cast("timestamp_ntz")).drop("s"))
+    assert {r["trigger_id"] % 10: r["ran"] for r in got.collect()} == {0: True, 1: False, 2: True, 3: True, 4: False, 5: False, 6: True}
+    assert got.count() == len(data) and got.groupBy((F.col("trigger_id") % 10).alias("k")).agg(F.countDistinct("ran").alias("n")).filter("n > 1").count() == 0
+
+
 def test_cancel_and_overlap_sliced_equal_plain(spark, trigger_log):
     _, df = trigger_log
     plain_cancel, plain_overlap = rows(J.cancel_previous_outcome(df)), rows(J.overlap_audit(df))
