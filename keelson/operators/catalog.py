@@ -138,16 +138,28 @@ def run_states(runs: DataFrame) -> DataFrame:
 
 
 def job_defaults(jobs: DataFrame) -> DataFrame:
-    """Job rows with defaults. ``settings`` is a map that may use dashed or camel-case spellings."""
+    """Job rows with all their fields and defaults. ``settings`` is a map that may use dashed or camel-case spellings.
+
+    Lists are comma texts; none is an empty list. A retention rule needs a positive number of chains or days.
+    """
     setting = lambda dashed, camel: F.coalesce(F.element_at("settings", dashed), F.element_at("settings", camel))
     kind = F.upper(setting("backup-type", "backupType"))
     true = lambda name: F.coalesce(F.element_at("settings", name) == "true", F.lit(False))
     truth = true("single-transaction") | true("singleTransaction")
     # the same job gets the same id whenever it is read
     made = F.concat(F.lit("job-"), F.substring(F.sha2(F.to_json(F.struct("profile", "database", F.array_sort(F.map_entries("settings")))), 256), 1, 32))
+    keep, days = (F.coalesce(F.element_at("settings", n).try_cast("int"), F.lit(0)) for n in ("keep-last", "retention-days"))
+    ruled = (keep > 0) | (days > 0)
     return jobs.select(
         F.coalesce("job_id", made).alias("job_id"),
         "profile",
+        F.element_at("settings", "cron").alias("cron"),
+        decode_tables(F.element_at("settings", "tables")).alias("tables"),
+        true("encrypt").alias("encrypt"),
+        F.element_at("settings", "passphrase").alias("passphrase"),
+        F.when(ruled, F.when(keep > 0, keep).otherwise(F.lit(1))).alias("keep_last"),
+        F.when(ruled, days).alias("retention_days"),
+        decode_tables(F.element_at("settings", "notifications")).alias("notifications"),
         F.when(kind.isin(*BACKUP_TYPES), kind).otherwise(F.lit("FULL")).alias("backup_type"),
         F.upper(F.coalesce(setting("on-overlap", "onOverlap"), F.lit("SKIP"))).alias("on_overlap"),
         truth.alias("single_transaction"),

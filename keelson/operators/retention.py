@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelson.functions.text import blank_to_null, object_id, uri_scheme
 from keelson.operators.chains import effective_chain
@@ -33,6 +34,20 @@ def rule_from_settings(jobs: DataFrame) -> DataFrame:
     )
 
 
+def rules_by_database(jobs: DataFrame) -> DataFrame:
+    """(db, keep_last, retention_days): the rules of each database's jobs (database, two text settings) that decide.
+
+    Every job cleans up after itself, so a backup goes when any rule gives it up. A rule that keeps at least as many chains and
+    days as another one of the database gives up nothing more and is left out, as are invalid rules.
+    """
+    valid, _ = split_rules(rule_from_settings(jobs).filter("keep_last is not null"))
+    # one row per database and count before anything is ordered
+    shortest = valid.groupBy(F.col("database").alias("db"), "keep_last").agg(F.min("retention_days").alias("retention_days"))
+    fewer = Window.partitionBy("db").orderBy("keep_last").rowsBetween(Window.unboundedPreceding, -1)
+    reached = shortest.withColumn("_least", F.min("retention_days").over(fewer))
+    return reached.filter("_least is null or retention_days < _least").drop("_least")
+
+
 def cohorts(resolved: DataFrame) -> DataFrame:
     """(db, eff_chain, latest, members) from records that carry ``eff_chain``."""
     return resolved.groupBy(F.coalesce("profile_name", F.lit("default")).alias("db"), "eff_chain").agg(
@@ -103,7 +118,7 @@ def delete_set(
 def delete_set_by_rule(records: DataFrame, rules: DataFrame, asof: Column) -> DataFrame:
     """Records to delete when each database has its own rule row (db, keep_last, retention_days).
 
-    Databases without a valid rule keep everything. Ranks are taken by slices, so any keep_last is exact.
+    A database may have several rules: what any of them gives up goes. Databases without a valid rule keep everything. Ranks are taken by slices, so any keep_last is exact.
     """
     valid, _ = split_rules(rules)
     valid = valid.filter("keep_last is not null or retention_days is not null")

@@ -137,13 +137,24 @@ def jobs(spark, sf_dir):
     type_key = F.when(key % 2 == 0, "backup-type").otherwise("backupType")
     settings = F.map_filter(
         F.map_from_arrays(
-            F.array(type_key, F.lit("onOverlap"), F.lit("single-transaction"), F.lit("output"), F.lit("misfireInstruction")),
+            F.array(
+                type_key,
+                *[F.lit(n) for n in ("onOverlap", "single-transaction", "output", "misfireInstruction", "cron", "tables")],
+                *[F.lit(n) for n in ("encrypt", "passphrase", "keep-last", "retention-days", "notifications")],
+            ),
             F.array(
                 F.when(key % 5 > 0, F.element_at(kinds, (key % 4 + 1).cast("int"))),
                 F.when(key % 7 > 0, F.element_at(policies, (key % 3 + 1).cast("int"))),
                 F.when(key % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
                 F.when(key % 3 == 0, F.concat(F.lit("s3://jobs/"), key.cast("string"))).when(key % 3 == 1, F.lit(" ")),
                 F.when(key % 4 == 0, F.lit("FIRE_ONCE")),
+                F.when(key % 6 > 0, F.concat(F.lit("0 "), (key % 24).cast("string"), F.lit(" * * *"))),
+                F.when(key % 4 == 1, F.lit(" users, ,orders ")).when(key % 4 == 2, F.lit("")),
+                F.when(key % 6 == 0, F.lit("true")).when(key % 6 == 1, F.lit("false")),
+                F.when(key % 6 == 0, F.concat(F.lit("pass-"), key.cast("string"))),
+                F.when(key % 8 == 0, F.lit("many")).when(key % 2 == 1, (key % 9).cast("string")),
+                F.when(key % 5 > 1, (key % 30 - 2).cast("string")),
+                F.when(key % 3 == 1, F.lit("telegram, slack")),
             ),
         ),
         lambda k, v: v.isNotNull(),
@@ -165,12 +176,19 @@ def jobs(spark, sf_dir):
       c_custkey % 2 = 0 as single_transaction,
       case when c_custkey % 4 = 0 then 'FIRE_ONCE' end as misfire_instruction,
       case when c_custkey % 3 = 0 then concat('s3://jobs/', cast(c_custkey as varchar))
-           else concat('file:///backups/db', cast(c_nationkey as varchar), '.sql.gz') end as output
-    from customer
+           else concat('file:///backups/db', cast(c_nationkey as varchar), '.sql.gz') end as output,
+      case when c_custkey % 6 > 0 then concat('0 ', cast(c_custkey % 24 as varchar), ' * * *') end as cron,
+      case when c_custkey % 4 = 1 then 'users,orders' else '' end as tables, c_custkey % 6 = 0 as encrypt,
+      case when c_custkey % 6 = 0 then concat('pass-', cast(c_custkey as varchar)) end as passphrase,
+      case when kn > 0 then kn when dn > 0 then 1 end as keep_last, case when kn > 0 or dn > 0 then dn end as retention_days,
+      case when c_custkey % 3 = 1 then 'telegram,slack' else '' end as notifications
+    from (select *, cast(case when c_custkey % 2 = 1 then c_custkey % 9 else 0 end as integer) as kn,
+      cast(case when c_custkey % 5 > 1 then c_custkey % 30 - 2 else 0 end as integer) as dn from customer) c
     """,
 )
 def job_defaults(spark, sf_dir):
-    return C.job_defaults(jobs(spark, sf_dir))
+    lists = {name: encode_tables(name) for name in ("tables", "notifications")}
+    return C.job_defaults(jobs(spark, sf_dir)).withColumns(lists)
 
 
 @query(

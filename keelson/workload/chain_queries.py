@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from keelson.operators import chains as K
 from keelson.operators import retention as R
+from keelson.plans.backup import Catalog
+from keelson.plans.backup import cleanup_plan as plan_cleanup
 from keelson.plans.chain_index import ChainIndex
 from keelson.session import scratch_path
 from keelson.workload.catalog_queries import LIST
@@ -286,13 +290,54 @@ def delete_ids(spark, sf_dir):
     """,
 )
 def rule_from_settings(spark, sf_dir):
+    return R.rule_from_settings(job_settings(spark, sf_dir)).select("job", "keep_last", "retention_days")
+
+
+def job_settings(spark, sf_dir):
     key = F.col("c_custkey")
-    jobs = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         key.alias("job"),
         F.when(key % 4 == 0, "many").when(key % 4 == 1, (key % 9).cast("string")).when(key % 4 == 2, "0").alias("keep_last_setting"),
         F.when(key % 5 > 1, (key % 30).cast("string")).alias("retention_days_setting"),
     )
-    return R.rule_from_settings(jobs).select("job", "keep_last", "retention_days")
+
+
+@query(
+    "r6_delete_set_by_jobs",
+    duck_history(
+        "select e.id, r.db, r.eff_chain from ranked r join eff e on e.db = r.db and e.eff_chain = r.eff_chain where exists (select 1 from jobrules u "
+        f"where u.db = r.db and r.rank > u.k and not coalesce(r.latest >= timestamp '{ASOF}' - to_days(u.d), false))",
+        f"{COHORTS}, settings as (select concat('db', cast(c_custkey % 20 as varchar)) as db, coalesce(try_cast(case c_custkey % 4 when 0 then 'many' "
+        "when 1 then cast(c_custkey % 9 as varchar) when 2 then '0' end as integer), 0) as kn, "
+        "cast(case when c_custkey % 5 > 1 then c_custkey % 30 else 0 end as integer) as dn from customer), "
+        "jobrules as (select distinct db, case when kn > 0 then kn else 1 end as k, dn as d from settings where kn > 0 or dn > 0)",
+        recursive=True,
+    ),
+)
+def delete_set_by_jobs(spark, sf_dir):
+    """What the jobs' own settings let go, several jobs to a database."""
+    jobs = job_settings(spark, sf_dir).withColumn("database", F.concat(F.lit("db"), (F.col("job") % 20).cast("string")))
+    doomed = R.delete_set_by_rule(history(spark, sf_dir), R.rules_by_database(jobs), asof())
+    return doomed.select("id", F.col("profile_name").alias("db"), "eff_chain")
+
+
+@query(
+    "r10_cleanup_plan",
+    "with gone as (" + duck_history(
+        "select e.id from eff e join ranked r on e.db = r.db and e.eff_chain = r.eff_chain where r.rank > 5 and e.db = 'db0'",
+        COHORTS.replace("from raw_history)", "from raw_history where profile_name = 'db0')"),
+        recursive=True,
+    ) + "), " + duck_history(
+        "select distinct destination_uri as uri, case when position(':' in destination_uri) > 0 then lower(trim(split_part(destination_uri, ':', 1))) "
+        "else 'file' end as scheme from raw_history where id in (select id from gone) and destination_uri is not null and destination_uri not in "
+        "(select destination_uri from raw_history where id not in (select id from gone) and destination_uri is not null)"
+    )[len("with "):],
+)
+def cleanup_plan(spark, sf_dir):
+    """Objects that the cleanup after a run of the largest database may remove, from a catalog's log."""
+    catalog = Catalog(spark, scratch_path(spark, "cleanup-catalog"))
+    catalog.append(history(spark, sf_dir))
+    return plan_cleanup(catalog, "db0", datetime.fromisoformat(ASOF))
 
 
 @query(

@@ -68,6 +68,20 @@ def discord_body(spark, sf_dir):
     return N.run_alerts(history(spark, sf_dir), details=True).select("id", N.discord_body().alias("body"))
 
 
+@query(
+    "n1_restore_alerts",
+    duck_history(
+        "select id, case when error_message is null then 'Restore Successful' else 'Restore Failed' end as title, "
+        "case when error_message is null then concat('Successfully restored backup chain up to target ', id) "
+        "else concat('Failed to restore backup ', id, ': ', error_message) end as message, error_message is null as success from raw_history"
+    ),
+)
+def restore_alerts(spark, sf_dir):
+    """Alerts for restores of every backup; those of failed ones end with their error."""
+    outcomes = history(spark, sf_dir).select(F.col("id").alias("target_id"), F.col("error_message").alias("error"))
+    return N.restore_alerts(outcomes).drop("details")
+
+
 def channel_lists():
     number = F.substring("id", 3, 20).cast("bigint")
     return (

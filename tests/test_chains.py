@@ -205,3 +205,16 @@ def test_duplicate_and_missing_ids(spark):
     assert sorted((r["start_time"].day, r["eff_chain"]) for r in got) == [(1, "c1"), (2, "c2"), (3, "c1"), (4, "c1"), (5, "own")]
     assert K.with_parent(records, records, "backup_chain_id").count() == len(data)
     assert K.chain_usability(records).count() == 2
+
+
+def test_rules_of_jobs_give_up_what_any_of_them_gives_up(spark):
+    settings = [("a", "3", "10"), ("a", "5", "2"), ("a", "4", "12"), ("a", "3", "10"), ("a", "8", "9"), ("a", "2", "-4"), ("a", "x", None),
+                ("b", None, "7"), ("c", "0", "0"), (None, "4", None)]
+    jobs = spark.createDataFrame(settings, "database string, keep_last_setting string, retention_days_setting string")
+    front = rows(R.rules_by_database(jobs).filter("db is not null"))
+    assert front == [("a", 3, 10), ("a", 5, 2), ("b", 1, 7)]
+    # every cohort is judged as by all valid rules
+    every = [(3, 10), (5, 2), (4, 12), (8, 9)]
+    goes = lambda rules, rank, age: any(rank > k and age > d for k, d in rules)
+    kept = [(k, d) for db, k, d in front if db == "a"]
+    assert all(goes(every, rank, age) == goes(kept, rank, age) for rank in range(12) for age in range(16))
