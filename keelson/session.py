@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -32,7 +35,22 @@ def build_session(app_name: str = "keelson", master: str | None = None, **conf:
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the workers, so that functions run there whatever folder the driver was started in."""
+    package = Path(__file__).resolve().parent
+    if any(name.startswith(f"{package.name}-code") for name in map(os.path.basename, spark.sparkContext._python_includes)):
+        return
+    # the driver's own copy; Spark hands it to every worker
+    archive = Path(tempfile.mkdtemp(prefix=f"{package.name}-code-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def scratch_root(spark: SparkSession) -> str:
