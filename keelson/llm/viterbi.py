@@ -27,6 +27,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from keelson.llm.lattice import MARK, vocabulary
 from keelson.llm.store import kept
 from keelson.llm.text import tidy
-from keelson.llm.tokens import WordIds
+from keelson.llm.tokens import WORDS_KEPT, WordIds
 
 STEP = 1 << 20
 #: Tie parts are below this.
@@ -43,6 +44,10 @@ TIE = 1 << 12
 NEVER = -(1 << 62)
 UNSCORED = -1e8
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: Units up to this length are searched many at a time, of so many characters together.
+TOGETHER, TOGETHER_CHARS = 64, 1 << 17
+#: Texts of so many characters meet their units together.
+GROUP_CHARS = 1 << 20
 
 
 class Best(WordIds):
@@ -61,6 +66,15 @@ class Best(WordIds):
         self.begins = {p[:n] for p in plain for n in range(1, len(p))}
         worst = min(plain.values())
         self.unknown = (worst - 10) * STEP
+        #: Characters that have an id, if only an unscored one; a unit of these never needs byte pieces.
+        self.single = {p for p in self.vocab.id if len(p) == 1}
+        # the same beginnings as a tree for whole arrays: node 0 is the root, an edge is a node and the next character
+        gain = {p: self.unknown for p in self.single} | {p: s * STEP for p, s in plain.items()}
+        nodes = {p: n for n, p in enumerate(sorted(self.begins | set(gain), key=len), 1)}
+        self.edge = pd.Index([nodes.get(p[:-1], 0) << 21 | ord(p[-1]) for p in nodes])
+        self.gain = np.array([NEVER, *(gain.get(p, NEVER) for p in nodes)])
+        self.own = np.array([0, *(self.score.get(p, 0) & (TIE - 1) for p in nodes)])
+        self.piece = np.array([0, *(self.vocab.id.get(p, 0) for p in nodes)], np.uint32)
         #: Per id: its score (an unknown character's is on its first byte piece), and the bytes it stands for.
         pieces: list[bytes] = [b""] * self.vocab.size
         for p, i in self.vocab.id.items():
@@ -120,6 +134,85 @@ class Best(WordIds):
         text = word.decode()
         return self.segment(text, range(len(text)))
 
+    def together(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``segment`` gives for each of some units of ``single`` characters: all ids, and how many each unit has.
+
+        Units lie one behind another with a zero between. Places are taken by their distance from the unit's begin, for all
+        units at once.
+        """
+        flat = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        begin = np.cumsum(size + 1) - size - 1
+        odd = 2 * (np.arange(len(flat)) - np.repeat(begin, size + 1)) + 1
+        # by length less one and end: the score of the piece, and its id
+        gain = np.full((self.longest, len(flat)), NEVER)
+        piece = np.zeros((self.longest, len(flat)), np.uint32)
+        at, node = np.arange(len(flat)), np.zeros(len(flat), np.int64)
+        for n in range(self.longest):
+            node = self.edge.get_indexer(node << 21 | flat[at + n]) + 1
+            on = node > 0
+            at, node = at[on], node[on]
+            gain[n, at + n + 1] = self.gain[node] + (self.own[node] * odd[at] & (TIE - 1))
+            piece[n, at + n + 1] = self.piece[node]
+        best, back = np.full(len(flat), NEVER), np.zeros(len(flat), np.int64)
+        best[begin] = 0
+        order = np.argsort(-size, kind="stable")
+        reach = np.searchsorted(-size[order], -np.arange(size.max() + 1), side="right")
+        for j in range(1, len(reach)):
+            to = begin[order[: reach[j]]] + j
+            # longest first: of equal scores the one from the earliest begin stays, as in ``forward``
+            n = np.arange(min(j, self.longest), 0, -1)[:, None]
+            score = best[to - n] + gain[n - 1, to]
+            pick = score.argmax(axis=0)
+            best[to], back[to] = score[pick, np.arange(len(to))], n[pick, 0]
+        found, used = np.zeros(len(flat), np.uint32), np.zeros(len(flat), bool)
+        low, at = begin, begin + size
+        while len(at):
+            n = back[at]
+            found[at - n], used[at - n] = piece[n - 1, at], True
+            at = at - n
+            on = at > low
+            low, at = low[on], at[on]
+        return found[used], np.add.reduceat(used.astype(np.int64), begin)
+
+    def learn_all(self, units: list[str]) -> None:
+        """Remember the segmentations of units not met before."""
+        for low in range(0, len(units), TOGETHER_CHARS // TOGETHER):
+            some = units[low : low + TOGETHER_CHARS // TOGETHER]
+            ids, count = self.together(some)
+            first, end = len(self.code), self.size + len(ids)
+            while first + len(some) + 1 > len(self.start):
+                self.start = np.resize(self.start, 2 * len(self.start))
+            while end > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.code.update(zip(map(str.encode, some), range(first, first + len(some))))
+            self.flat[self.size : end] = ids
+            self.start[first : first + len(some) + 1] = self.size + np.append(0, np.cumsum(count))
+            self.size = end
+
+    def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        new = {u for u in found if u not in self.code}
+        if len(self.code) + len(new) > WORDS_KEPT:
+            self.clear()
+            new = set(found)
+        some = [u for u in map(bytes.decode, new) if len(u) <= TOGETHER and self.single.issuperset(u)]
+        self.learn_all(some)
+        return super().encode(found)
+
+    def many(self, texts: list[str]):
+        """The ids of each text; begins and ends are unit borders."""
+        found: list[str] = []
+        cuts, held = [0], 0
+        for k, text in enumerate(texts, 1):
+            found += UNIT.findall(text)
+            cuts.append(len(found))
+            held += len(text)
+            if held > GROUP_CHARS or k == len(texts):
+                ids, count = self.encode([u.encode() for u in found])
+                ends = np.append(0, np.cumsum(count))[cuts]
+                yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:]))
+                found, cuts, held = [], [0], 0
+
     def units(self, text: str) -> np.ndarray:
         """Ids of a text whose begin and end are unit borders."""
         return self.encode([u.encode() for u in UNIT.findall(text)])[0]
@@ -298,9 +391,12 @@ def encode_apart(docs: DataFrame, path: str, chunk_chars: int = 32_768) -> tuple
     def segment(batches):
         best = segmenter(path)
         for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin", "enter", "leave"))))
+            apart = [bool(origin or enter or leave or size < len(text)) for text, size, origin, enter, leave in rows]
+            alone = best.many([r[0] for r, cut in zip(rows, apart) if not cut])
             ids, score = [], []
-            for text, size, origin, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "origin", "enter", "leave"))):
-                own = best.between(text, enter, size + leave, origin) if origin or enter or leave or size < len(text) else best.units(text)
+            for (text, size, origin, enter, leave), cut in zip(rows, apart):
+                own = best.between(text, enter, size + leave, origin) if cut else next(alone)
                 ids.append(own.tobytes())
                 score.append(best.total(own))
             yield pa.RecordBatch.from_arrays(

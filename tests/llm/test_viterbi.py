@@ -7,7 +7,7 @@ from cases import documents, texts
 
 from keelson.llm.lattice import MARK
 from keelson.llm.packing_queries import tokenizer_path
-from keelson.llm.viterbi import NEVER, STEP, TIE, decode, encode, encode_apart, places, product, segmenter, unit_begin, whole
+from keelson.llm.viterbi import NEVER, STEP, TIE, TOGETHER, UNIT, Best, decode, encode, encode_apart, places, product, segmenter, unit_begin, whole
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 PARTS = ["the", "ing", " ", "tion", "a", "é", "\n", "漢", "er", " of ", "in", "  ", "xq", "🙂"]
@@ -68,6 +68,21 @@ def test_chunks_make_the_whole():
         assert best.decode(np.array(ids)).decode() == text.replace(MARK, " ")
 
 
+def test_units_together(monkeypatch):
+    best = Best(PATH)
+    long = MARK + "tion" * 40
+    units = sorted({u for t in some_texts(7, 300) for u in UNIT.findall(MARK + t.replace(" ", MARK))} | {MARK, MARK * 3 + "the", long, MARK + "a\0b"})
+    want = [best.segment(u, range(len(u))) for u in units]
+    assert [best.units(u).tolist() for u in units] == want
+    # met in one go, in small steps, and with a memory that overflows
+    for chars, kept in ((1 << 17, 600_000), (TOGETHER * 3, 600_000), (1 << 17, 20)):
+        monkeypatch.setattr("keelson.llm.viterbi.TOGETHER_CHARS", chars)
+        monkeypatch.setattr("keelson.llm.viterbi.WORDS_KEPT", kept)
+        best = Best(PATH)
+        assert [ids.tolist() for ids in best.many(["", *units, units[0]])] == [[], *want, want[0]]
+    assert list(best.many([])) == []
+
+
 @pytest.mark.parametrize("chunk", [7, 64, 32768])
 def test_documents(spark, chunk):
     best = segmenter(PATH)
