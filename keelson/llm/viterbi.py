@@ -27,7 +27,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from keelson.llm.lattice import MARK, vocabulary
 from keelson.llm.store import kept
 from keelson.llm.text import tidy
-from keelson.llm.tokens import WORDS_KEPT, WordIds
+from keelson.llm.tokens import WordIds
 
 STEP = 1 << 20
 #: Tie parts are below this.
@@ -47,7 +46,9 @@ UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Units up to this length are searched many at a time, of so many characters together.
 TOGETHER, TOGETHER_CHARS = 64, 1 << 17
 #: Texts of so many characters meet their units together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 16
+#: Units a worker remembers; learning some anew costs little.
+UNITS_KEPT = 300_000
 
 
 class Best(WordIds):
@@ -68,10 +69,11 @@ class Best(WordIds):
         self.unknown = (worst - 10) * STEP
         #: Characters that have an id, if only an unscored one; a unit of these never needs byte pieces.
         self.single = {p for p in self.vocab.id if len(p) == 1}
-        # the same beginnings as a tree for whole arrays: node 0 is the root, an edge is a node and the next character
+        # the same beginnings as a tree for whole arrays: node 0 is the root, an edge is a node and the next character; in this
+        # order of nodes the edges ascend
         gain = {p: self.unknown for p in self.single} | {p: s * STEP for p, s in plain.items()}
-        nodes = {p: n for n, p in enumerate(sorted(self.begins | set(gain), key=len), 1)}
-        self.edge = pd.Index([nodes.get(p[:-1], 0) << 21 | ord(p[-1]) for p in nodes])
+        nodes = {p: n for n, p in enumerate(sorted(self.begins | set(gain), key=lambda p: (len(p), p)), 1)}
+        self.edge = np.array([*(nodes.get(p[:-1], 0) << 21 | ord(p[-1]) for p in nodes), 1 << 62])
         self.gain = np.array([NEVER, *(gain.get(p, NEVER) for p in nodes)])
         self.own = np.array([0, *(self.score.get(p, 0) & (TIE - 1) for p in nodes)])
         self.piece = np.array([0, *(self.vocab.id.get(p, 0) for p in nodes)], np.uint32)
@@ -149,9 +151,10 @@ class Best(WordIds):
         piece = np.zeros((self.longest, len(flat)), np.uint32)
         at, node = np.arange(len(flat)), np.zeros(len(flat), np.int64)
         for n in range(self.longest):
-            node = self.edge.get_indexer(node << 21 | flat[at + n]) + 1
-            on = node > 0
-            at, node = at[on], node[on]
+            edge = node << 21 | flat[at + n]
+            node = np.searchsorted(self.edge, edge)
+            on = self.edge[node] == edge
+            at, node = at[on], node[on] + 1
             gain[n, at + n + 1] = self.gain[node] + (self.own[node] * odd[at] & (TIE - 1))
             piece[n, at + n + 1] = self.piece[node]
         best, back = np.full(len(flat), NEVER), np.zeros(len(flat), np.int64)
@@ -192,7 +195,7 @@ class Best(WordIds):
 
     def encode(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         new = {u for u in found if u not in self.code}
-        if len(self.code) + len(new) > WORDS_KEPT:
+        if len(self.code) + len(new) > UNITS_KEPT:
             self.clear()
             new = set(found)
         some = [u for u in map(bytes.decode, new) if len(u) <= TOGETHER and self.single.issuperset(u)]

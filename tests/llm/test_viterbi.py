@@ -77,7 +77,7 @@ def test_units_together(monkeypatch):
     # met in one go, in small steps, and with a memory that overflows
     for chars, kept in ((1 << 17, 600_000), (TOGETHER * 3, 600_000), (1 << 17, 20)):
         monkeypatch.setattr("keelson.llm.viterbi.TOGETHER_CHARS", chars)
-        monkeypatch.setattr("keelson.llm.viterbi.WORDS_KEPT", kept)
+        monkeypatch.setattr("keelson.llm.viterbi.UNITS_KEPT", kept)
         best = Best(PATH)
         assert [ids.tolist() for ids in best.many(["", *units, units[0]])] == [[], *want, want[0]]
     assert list(best.many([])) == []
