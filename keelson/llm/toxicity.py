@@ -32,6 +32,8 @@ from keelson.llm.text import LOWER, U64, Rolling, byte_values, chunks, mix, tidy
 
 BITS = 18
 SIZE = 1 << BITS
+#: Places worked on at once while fitting, to bound what the driver holds beside the sample.
+BLOCK = 1 << 18
 
 
 def features(column: pa.Array):
@@ -71,26 +73,62 @@ class Linear:
         return np.bincount(rows, self.weight[cols], n) + before @ self.earlier + self.bias
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, n: int, places: np.ndarray, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> Linear:
-    """Logistic regression with an L2 penalty, by accelerated gradient steps scaled per feature."""
+def blocks(starts: np.ndarray):
+    """Ranges of rows of about ``BLOCK`` places: first row and row behind."""
+    low = 0
+    while low < len(starts) - 1:
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + BLOCK, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def sums(weight: np.ndarray, starts: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Per row, the weights of its places added up."""
+    out = np.zeros(len(starts) - 1)
+    for low, high in blocks(starts):
+        begin = starts[low:high]
+        some = begin < starts[low + 1 : high + 1]
+        if some.any():
+            out[low:high][some] = np.add.reduceat(weight[cols[starts[low] : starts[high]]], begin[some] - begin[0])
+    return out
+
+
+def spread(value: np.ndarray, starts: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
+    """Per place, the values of the rows that hold it added up."""
+    out = np.zeros(size)
+    for low, high in blocks(starts):
+        out += np.bincount(cols[starts[low] : starts[high]], np.repeat(value[low:high], np.diff(starts[low : high + 1])), size)
+    return out
+
+
+def chosen_rows(chosen: np.ndarray, starts: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` and ``cols`` of some rows."""
+    size = np.diff(starts)
+    return np.append(0, np.cumsum(size[chosen])), cols[np.repeat(chosen, size)]
+
+
+def fit(starts: np.ndarray, cols: np.ndarray, places: np.ndarray, before: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 300) -> Linear:
+    """Logistic regression with an L2 penalty, by accelerated gradient steps scaled per feature. Row k holds the places
+    ``cols[starts[k]:starts[k + 1]]``."""
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     out = Linear(np.zeros(SIZE), np.zeros(before.shape[1]), float(np.log(rate / (1 - rate))))
     if not len(y) or y.min() == y.max():
         return out
-    index = np.full(SIZE, -1, np.int64)
-    index[places] = np.arange(len(places))
-    at = index[cols]
-    rows, at = rows[at >= 0], at[at >= 0]
-    extra = before.shape[1]
+    useful = np.zeros(SIZE, bool)
+    useful[places] = True
+    on = useful[cols]
+    number = (np.cumsum(useful) - 1).astype(np.int32)  # ``places`` ascend
+    size, extra = sums(useful.astype(float), starts, cols).astype(np.int64), before.shape[1]
+    starts, at = np.append(0, np.cumsum(size)), number[cols[on]]
     # the curvature of each feature, and how many features share a row, bound the step
-    crowd = np.bincount(rows, minlength=n) + np.abs(before).sum(axis=1) + 1
-    curve = 0.25 * np.concatenate([np.bincount(at, crowd[rows], len(places)), (np.abs(before) * crowd[:, None]).sum(axis=0), [crowd.sum()]]) + penalty
+    crowd = size + np.abs(before).sum(axis=1) + 1
+    curve = 0.25 * np.concatenate([spread(crowd, starts, at, len(places)), (np.abs(before) * crowd[:, None]).sum(axis=0), [crowd.sum()]]) + penalty
     w = np.concatenate([np.zeros(len(places) + extra), [out.bias]])
     look, momentum = w.copy(), 1.0
     for _ in range(steps):
-        z = np.bincount(rows, look[at], n) + before @ look[len(places) : len(places) + extra] + look[-1]
+        z = sums(look, starts, at) + before @ look[len(places) : len(places) + extra] + look[-1]
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        gradient = np.concatenate([np.bincount(at, error[rows], len(places)), error @ before, [error.sum()]]) + penalty * look
+        gradient = np.concatenate([spread(error, starts, at, len(places)), error @ before, [error.sum()]]) + penalty * look
         gradient[-1] -= penalty * look[-1]
         new = look - gradient / curve
         following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
@@ -167,23 +205,24 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_row
 
     schema = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", places binary"
     table = sample.mapInArrow(tidy(chosen_features), schema).orderBy("doc_id").toArrow()
-    places = [np.frombuffer(p, np.int32) for p in table.column("places").to_pylist()]
-    n = len(places)
-    rows = np.repeat(np.arange(n), [len(p) for p in places])
-    cols = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int64)
+    held = table.column("places").to_pylist()
+    n = len(held)
+    starts = np.append(0, np.cumsum([len(p) // 4 for p in held], dtype=np.int64))
+    cols = np.frombuffer(b"".join(held), np.int32)
+    del held
+    table = table.drop(["places"])
     fold = np.arange(n) % folds
     chain, before = Chain(list(categories)), np.zeros((n, 0))
     for k, name in enumerate(names):
         y = table.column(name).to_numpy().astype(float)
-        chain.models.append(fit(rows, cols, n, kept_places[k], before, y))
+        chain.models.append(fit(starts, cols, kept_places[k], before, y))
         if k + 1 < len(names):
             unseen = np.zeros(n)
             for f in range(folds):
                 inside = fold != f
-                number = np.cumsum(inside) - 1
-                use = inside[rows]
-                model = fit(number[rows[use]], cols[use], int(inside.sum()), kept_places[k], before[inside], y[inside])
-                unseen[~inside] = np.clip(model.logit(rows, cols, n, before)[~inside], -8, 8)
+                model = fit(*chosen_rows(inside, starts, cols), kept_places[k], before[inside], y[inside])
+                some = before[~inside] @ model.earlier + model.bias + sums(model.weight, *chosen_rows(~inside, starts, cols))
+                unseen[~inside] = np.clip(some, -8, 8)
             before = np.column_stack([before, unseen])
     return chain
 
