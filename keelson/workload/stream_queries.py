@@ -75,8 +75,15 @@ def alerts_sent(spark, sf_dir, details):
     return T.alert_stream(stream, sink, f"{sink}-checkpoint", ["Slack", "telegram", "fax"], "ops", details)
 
 
-@query("t3_streaming_alerts", alert_bodies(SLACK_PLAIN, TELEGRAM_PLAIN))
+@query("t3_streaming_alerts", alert_bodies(SLACK, TELEGRAM))
 def streaming_alerts(spark, sf_dir):
+    """Whole bodies, with the details of each run."""
+    return alerts_sent(spark, sf_dir, True)
+
+
+@query("t3_streaming_alerts_plain", alert_bodies(SLACK_PLAIN, TELEGRAM_PLAIN))
+def plain_streaming_alerts(spark, sf_dir):
+    """As runs send them: without details."""
     return alerts_sent(spark, sf_dir, False)
 
 

@@ -7,6 +7,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from conftest import rows
 from keelson.operators import alerts as N
 from keelson.operators import catalog as C
@@ -331,3 +332,12 @@ def test_random_ids(spark):
     df = spark.range(50).withColumn("t", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     ids = [r[0] for r in df.select(C.random_backup_id("t")).collect()]
     assert len(set(ids)) == 50 and all(i.startswith("b-1704067200000-") and len(i) == 24 for i in ids)
+
+
+def test_registered_alert_streams_send_whole_bodies(spark):
+    queries = entry_point.queries()
+    sent = lambda name: {(r["id"], r["channel"]): r["body"] for r in queries[name](spark, "/root/testdata/sf0.001").collect()}
+    whole, plain = sent("t3_streaming_alerts"), sent("t3_streaming_alerts_plain")
+    assert whole and whole.keys() == plain.keys()
+    assert all("Details:" in body and "Type:" in body for body in whole.values())
+    assert any("Size:" in body for body in whole.values()) and not any("Details:" in body for body in plain.values())
