@@ -16,6 +16,13 @@ WORDS_KEPT = 600_000
 #: Fixed values of the tokenizer file: what it splits off before merging.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Plain letters, printable marks of ASCII, and the second bytes of the letters U+00C0 to U+00FF, whose first is ``LATIN``.
+LETTER, MARK, SECOND = np.zeros((3, 256), bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+SECOND[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+LATIN = 0xC3
+
 
 def _visible_bytes() -> dict[int, str]:
     """The byte-level alphabet: printable bytes are themselves, the others follow from U+0100 on."""
@@ -81,6 +88,7 @@ class WordTokenizer(WordIds):
 
     White space ends a token, so the ids of a text are the ids of its words one after another. Latin words are split and
     merged directly; any other word, and any word that may hold a special token, goes through the whole tokenizer.
+    Words of letters alone are one part each, and are not remembered as parts.
     """
 
     def __init__(self, path: str):
@@ -90,6 +98,7 @@ class WordTokenizer(WordIds):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.alphabet = _visible_bytes()
+        self.shown = {b: c for b, c in self.alphabet.items() if chr(b) != c}
         super().__init__()
 
     def clear(self) -> None:
@@ -99,15 +108,19 @@ class WordTokenizer(WordIds):
     def _part(self, part: str) -> list[int]:
         ids = self.parts.get(part)
         if ids is None:
-            visible = "".join(map(self.alphabet.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(visible)]
+            ids = self.parts[part] = self._merged(part)
         return ids
 
+    def _merged(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]
+
     def ids_of(self, word: bytes) -> list[int]:
         if word.isalpha():  # plain letters are one part, their own letters of the byte alphabet
             return [t.id for t in self.model.tokenize(word.lower().decode())]
         text = word.decode()
-        if max(text) < "\u0250" and "<|" not in text and "\u0130" not in text and not any(c.isspace() for c in text):
+        if max(text) < "\u0250" and "<|" not in text and "\u0130" not in text and text.split() == [text]:
+            if text.isalpha():
+                return self._merged(text.lower())
             parts = SPLIT.findall(text.lower())
             return self._part(parts[0]) if len(parts) == 1 else [i for part in parts for i in self._part(part)]
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -123,16 +136,26 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def split_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space between a letter and a mark behind it: a token ends there anyway, and fewer words are to learn."""
+    letter = LETTER[data]
+    letter[1:] |= (data[:-1] == LATIN) & SECOND[data[1:]]
+    at = np.flatnonzero(letter[:-1] & MARK[data[1:]]) + 1
+    return np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
+
+
 def encoded(column: pa.Array, path: str, end: int | None):
     """For each document of a string column: its row and its ids, followed by ``end``."""
     model = tokenizer(path)
     for chunk in chunks(column):
-        raw = chunk.data.tobytes()
-        # only A-Z is lowered here, for fewer words to learn; a special token is told by its case
-        raw = raw.lower() if b"<|" not in raw else raw
+        raw, offsets = chunk.data.tobytes(), chunk.offsets
+        # only A-Z is lowered here, for fewer words to learn; a special token is told by its case, and holds marks
+        if b"<|" not in raw:
+            data, offsets = split_marks(chunk.data, offsets)
+            raw = data.tobytes().lower()
         found: list[bytes] = []
         cuts = [0]
-        for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist()):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             found += raw[a:b].split()
             cuts.append(len(found))
         ids, count = model.encode(found)

@@ -2,11 +2,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from cases import documents, texts
 
 from keelson.llm.packing import non_negative, pack, plan, strategies, tail_borders
 from keelson.llm.packing_queries import tokenizer_path
-from keelson.llm.tokens import WordTokenizer
+from keelson.llm.tokens import WordTokenizer, encoded, tokenizer
 
 
 def check(spark, rows, window, grain):
@@ -55,6 +56,21 @@ def test_word_tokenizer():
         assert got.tolist() == model.whole.encode(word, add_special_tokens=False).ids and count.tolist() == [len(got)]
 
 
+def test_marks_are_learnt_once():
+    letters = ["alpha", "Bêta", "gößß", "don't", "x\u0338y", "É"]
+    rows = [" ".join(w + m for w in letters) for m in ("", ".", ",***", "'s", "!'s", "\u0338.", "×", "9", "<", "|>", "$\xa0%")]
+    rows += ["a<|endoftext|>b. c", ".", None, "end", ".begin", ""]
+    model = tokenizer(tokenizer_path())
+    model.clear()
+    for few in ([t for t in rows if "<|" not in (t or "")], rows):
+        got = [ids.tolist() for _, ids in encoded(pa.array(few), tokenizer_path(), None)]
+        assert got == [model.whole.encode(t or "", add_special_tokens=False).ids for t in few]
+    model.clear()
+    marked = pa.array([" ".join(w + m for w in ("one", "two", "three", "öß") for m in (".", ",", "!!", "$$$", "'s", ""))])
+    assert sum(len(ids) for _, ids in encoded(marked, tokenizer_path(), None)) > 24
+    assert len(model.code) == 4 + 5
+
+
 def test_strategies_and_plan():
     found = strategies(np.array([1, 2, 3, 5]), 6, 3)
     assert set(found) == {(5, 1), (3, 3), (3, 2, 1), (2, 2, 2)}
