@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keelson.llm import winnow
 from keelson.llm.substrings import automaton_ranges, repeated_substrings
 from keelson.llm.suffixes import repeated_bytes, suffix_array, suffix_ranges
-from keelson.llm.winnow import Windows, document_spans, keyed, matched, segments
+from keelson.llm.winnow import Windows, document_spans, keyed, matched, parted, segments
 
 
 def gone(sequences, size):
@@ -114,6 +114,24 @@ def test_hot_anchor_is_dealt_out(spark, tmp_path, monkeypatch):
     assert Counter((r["doc_id"], bytes(r["kept"])) for r in repeated_bytes(docs, w).collect()) == want
 
 
+def test_only_texts_that_may_have_spans_are_shuffled(spark):
+    docs = documents(spark, [(i, f"text {i}") for i in range(3000)] + [(7, "text 7"), (None, None)])
+    keys = keyed(docs).where("k1 % 50 = 0 or k1 < 0").select("k2")
+    held = {r["k2"] for r in keys.collect()}
+    for bits in (1, 10, 26):
+        there, other = parted(keyed(docs), keys, bits)
+        found, rest = ([tuple(r) for r in part.collect()] for part in (there, other))
+        assert Counter(found + rest) == Counter(map(tuple, keyed(docs).collect()))
+        assert all((r[3] % (1 << bits)) in {k % (1 << bits) for k in held} for r in found) and not any(r[3] in held for r in rest)
+    assert len(found) < 70
+    # a passage in two of many documents
+    rnd = random.Random(4)
+    passage = " ".join(rnd.choice("abcdefgh") * 3 for _ in range(60))
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(50)) + (" " + passage if i in (5, 900) else "")) for i in range(1000)]
+    out = repeated_substrings(documents(spark, rows))
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect() if r["n_removed"]} == {5: 60, 900: 60}
+
+
 def test_empty_table(spark):
     assert repeated_substrings(documents(spark, texts()[:1]).limit(0)).count() == 0
     assert repeated_bytes(documents(spark, texts()[:1]).limit(0)).count() == 0
