@@ -132,6 +132,21 @@ def test_only_texts_that_may_have_spans_are_shuffled(spark):
     assert {r["doc_id"]: r["n_removed"] for r in out.collect() if r["n_removed"]} == {5: 60, 900: 60}
 
 
+def test_bitmaps_come_to_the_driver_compressed(spark, monkeypatch):
+    bits, mask = 22, (1 << 22) - 1
+    rnd = np.random.default_rng(5)
+    # one bucket met twice in each range of buckets, and others met once
+    twice = (np.arange(1 << 6, dtype=np.int64) << winnow.PART_BITS) + rnd.integers(0, 1 << winnow.PART_BITS, 1 << 6)
+    numbers = np.concatenate([twice, twice, rnd.integers(0, 1 << 40, 20_000)]).tolist()
+    docs = spark.createDataFrame([(str(n),) for n in numbers], "text string")
+    came, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: came.append(collect(self)) or came[-1])
+    found = winnow.seen_twice(docs, lambda column: [np.array([int(t) for t in column.to_pylist()], np.uint64)], bits)
+    count = Counter(n & mask for n in numbers)
+    assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == sorted(b for b, c in count.items() if c > 1)
+    assert len(came) == 1 and sum(t.nbytes for t in came) < found.nbytes // 10
+
+
 def test_empty_table(spark):
     assert repeated_substrings(documents(spark, texts()[:1]).limit(0)).count() == 0
     assert repeated_bytes(documents(spark, texts()[:1]).limit(0)).count() == 0
