@@ -5,10 +5,12 @@ The Jaccard distance d = 1 - J is a metric; documents link at d <= r = 1 - J0.
 1. Documents with equal sets are one vertex, named by a 64-bit digest of the set; copies are not compared.
 2. Voronoi regions. Order each set by a fixed order of all shingles, rarest first. Two linked sets share at least c of
    their first n - ceil(J0 n) + c shingles. So, with c of ``slack`` hundredths of n, a document of whose first shingles too
-   few occur twice is farther than r from all others and is left out; only those that stay send their sets. And, with c of
-   1, a document belongs to the regions of the pivots it shares a first shingle with: each such shingle that two vertices
-   hold names a pivot, its vertex of least digest, and a document near several pivots is replicated into all their regions.
-   Two linked documents share such a shingle, so they meet in a region. Rarity is read from a count of fixed size over hash
+   few are held by another vertex is farther than r from all others and is left out. One document of each vertex sends its
+   first shingles, 12 bytes each, dealt by hash: who else holds one is decided where all holders meet, and not by a table of
+   fixed size, which a large corpus would fill. And, with c of 1, a document belongs to the regions of the pivots it shares
+   a first shingle with: each such shingle that two vertices hold names a pivot, its vertex of least digest, and a document
+   near several pivots is replicated into all their regions. Two linked documents share such a shingle, so they meet in a
+   region. Only vertices of a region of two or more send their sets. Rarity is read from a count of fixed size over hash
    buckets of all shingles: common passages sink to the end of every set, and any order is a right one.
 3. A large region is cut into rings by set size, each document being in its ring and the next: linked sizes differ by at
    most a factor 1 / J0.
@@ -35,16 +37,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.components import components
 from keelson.llm.store import kept, kept_counted
 from keelson.llm.text import LOWER, U64, Rolling, chunks, mix, tidy, words
-from keelson.llm.winnow import keyed, seen_twice, test
+from keelson.llm.winnow import keyed, parted
 
 COUNT_BITS = 23
 PART = 1 << 16
+#: First shingles of a part, by hash, that meet in one task at a time; they are sent when a task has so many.
+MEET, SEND = 1 << 18, 1 << 21
+#: Buckets of the keys of documents that a scan wants: 8 MB of bits at most; when they are full, more documents are read.
+DOC_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -56,7 +62,6 @@ class Similar:
     den: int = 100
     #: Hundredths of a set by which its first shingles are more than the least number, for the first test.
     slack: int = 20
-    cell_bits: int = 28
     #: Members from which a region is cut into rings.
     ring_from: int = 512
     #: Shingles of its members from which a group is joined by ``rounds`` over all tasks, and those sent to all in a round.
@@ -80,10 +85,20 @@ class Similar:
         """How many of them a linked set shares, whatever its size."""
         return min(self.extra(self.overlap(n)), self.overlap(n))
 
+    def least_column(self, n: str) -> Column:
+        """``least`` of a column."""
+        over = f"({self.num} * {n} + {self.den - 1}) div {self.den}"
+        return F.expr(f"least(greatest(1, {self.slack} * ({over}) div 100), {over})")
+
     def first(self, n: int) -> int:
         """How many first shingles name regions."""
         return min(n, n - self.overlap(n) + 1)
 
+    def parts(self, shingles: int) -> int:
+        """Into how many parts the first shingles of sets of ``shingles`` in all are dealt; a power of two."""
+        sent = shingles * (100 * (self.den - self.num) + self.slack * self.den) // (100 * self.den)
+        return 1 << min(16, max(6, (sent // MEET).bit_length()))
+
 
 def sets(column: pa.Array, w: Similar) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted shingle hashes of each document of a string column."""
@@ -111,6 +126,11 @@ def digest(found: np.ndarray) -> int:
     return int(mix(np.array([parts.sum()])).view(np.int64)[0])
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as hold the largest."""
+    return counts.astype(np.min_scalar_type(counts.max()))
+
+
 def vertices(docs: DataFrame, w: Similar) -> tuple[DataFrame, np.ndarray]:
     """``k1``, ``k2``, ``vid`` and ``n`` of each document, and how many shingles fall into each of ``2**22`` buckets."""
     names = ["k1", "k2", "vid", "n", "part", "counts"]
@@ -128,14 +148,15 @@ def vertices(docs: DataFrame, w: Similar) -> tuple[DataFrame, np.ndarray]:
             )
         parts = [k for k in range(len(counts) // PART) if counts[k * PART : (k + 1) * PART].any()]
         none = pa.nulls(len(parts), pa.int64())
-        packed = [zlib.compress(counts[k * PART : (k + 1) * PART].tobytes(), 1) for k in parts]
+        packed = [zlib.compress(narrow(counts[k * PART : (k + 1) * PART]).tobytes(), 1) for k in parts]
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names)
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(zlib.decompress(packed), np.uint32)
+                raw = zlib.decompress(packed)
+                counts = np.frombuffer(raw, f"u{len(raw) // PART}")
                 total[part] = total[part] + counts if part in total else counts.astype(np.uint64)
         # only the order of the counts matters: a few steps per doubling are enough
         packed = [zlib.compress(np.minimum(8 * np.log2(1 + c.astype(float)), 255).astype(np.uint8).tobytes(), 1) for c in total.values()]
@@ -156,58 +177,139 @@ def first_shingles(found: np.ndarray, common: np.ndarray, w: Similar) -> np.ndar
     return found[order[: w.tested(len(found))]]
 
 
-def near(docs: DataFrame, w: Similar, common: np.ndarray) -> DataFrame:
-    """``vid``, ``n``, ``cells`` (first shingles others may hold) and ``hashes`` of the vertices that may have links, once per
-    task that meets them."""
-    common = docs.sparkSession.sparkContext.broadcast(common)
+def one_document(found: DataFrame) -> tuple[DataFrame, int]:
+    """``vid``, ``n`` and the key (``k1``, ``k2``) of one document of each vertex, from ``vertices``; and all their shingles."""
+    one = found.where("n > 0").groupBy("vid").agg(F.max("n").alias("n"), F.min(F.struct("k1", "k2")).alias("one"))
+    one, seen = kept_counted(one.select("vid", "n", "one.k1", "one.k2"), "one", shingles=F.sum("n"))
+    return one, seen["shingles"]
+
+
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``text`` of the documents with one of the keys (``k1``, ``k2``), and of a few others."""
+    return parted(docs.select("text", "k1", "k2"), keys, DOC_BITS, F.xxhash64("k1", "k2"))[0].select("text")
+
+
+def _cells(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of numbers between ``cuts`` as binary cells."""
+    return pa.BinaryArray.from_buffers(
+        pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]
+    )
 
-    def hashes(column):
-        got = [first_shingles(found, common.value, w) for _, found in sets(column, w)]
-        if got:
-            yield np.concatenate(got)
 
-    bits = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, hashes, w.cell_bits))
-    mask = U64((1 << w.cell_bits) - 1)
+def meeting(code: np.ndarray, vid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of one part (the hash and, in the lowest bit, whether it names a region; and the vertex), those hashes that
+    two vertices hold: vertex, hash, how many entries these two have, and whether one of them names a region."""
+    order = np.argsort(code >> 1, kind="stable")
+    cell = code[order] >> 1
+    same = cell[1:] == cell[:-1]
+    # most hashes occur once
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) > 1 else order[:0]
+    order = order[np.lexsort((vid[order], code[order] >> 1))]
+    code, vid = code[order], vid[order]
+    cell = code >> 1
+    first = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (vid[1:] != vid[:-1])][: len(cell)])
+    if not len(first):
+        return vid, cell, cell, cell > 0
+    places, route = np.diff(np.append(first, len(cell))), np.maximum.reduceat(code & 1, first) > 0
+    vid, cell = vid[first], cell[first]
+    group = np.cumsum(np.r_[True, cell[1:] != cell[:-1]]) - 1
+    two = np.bincount(group)[group] > 1
+    return vid[two], cell[two], places[two], route[two]
+
+
+def near(docs: DataFrame, w: Similar, common: np.ndarray, one: DataFrame, shingles: int) -> DataFrame:
+    """``vid``, ``n``, ``k1``, ``k2`` and ``cells`` (hashes of the first shingles other vertices hold) of the vertices that may have
+    links. ``one`` and ``shingles`` are those of ``one_document``."""
+    common = docs.sparkSession.sparkContext.broadcast(common)
+    parts = w.parts(shingles)
+
+    def send(batches):
+        def flush():
+            first, which = np.concatenate(hashes), np.repeat(np.array(vids, np.int64), sizes)
+            part = ((first >> U64(24)) & U64(parts - 1)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            there, cuts = np.unique(part[order], return_index=True)
+            cuts = np.append(cuts, len(order))
+            code = ((first >> U64(32)) & U64(0xFFFFFFFE)).astype(np.uint32) | np.concatenate(routes)
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), _cells(code[order], cuts), _cells(which[order], cuts)], ["part", "codes", "vids"])
 
-    def shared(batches):
         known: set[int] = set()
+        hashes, vids, sizes, routes, size = [], [], [], [], 0
         for batch in batches:
-            vid, n, cells, whole, size = [], [], [], [], 0
             for _, found in sets(batch.column(0), w):
-                first = first_shingles(found, common.value, w)
-                twice = test(bits.value, first & mask)
-                if not len(found) or twice.sum() < w.least(len(found)):
+                if not len(found) or (name := digest(found)) in known:
                     continue
-                routes = first[: w.first(len(found))][twice[: w.first(len(found))]]
-                if len(routes) and (name := digest(found)) not in known:
-                    known.add(name)
-                    vid.append(name)
-                    n.append(len(found))
-                    cells.append(routes.view(np.int64))
-                    whole.append(found.tobytes())
-                    size += len(found)
-                    if size > 1 << 20:
-                        yield rows(vid, n, cells, whole)
-                        vid, n, cells, whole, size = [], [], [], [], 0
-            if vid:
-                yield rows(vid, n, cells, whole)
+                known.add(name)
+                hashes.append(first_shingles(found, common.value, w))
+                vids.append(name)
+                sizes.append(len(hashes[-1]))
+                routes.append((np.arange(sizes[-1]) < w.first(len(found))).astype(np.uint32))
+                size += sizes[-1]
+                if size > SEND:
+                    yield flush()
+                    hashes, vids, sizes, routes, size = [], [], [], [], 0
+        if size:
+            yield flush()
+
+    def meet(batches):
+        part, codes, vids = None, [], []
+
+        def close():
+            vid, cell, places, route = meeting(np.concatenate(codes), np.concatenate(vids))
+            cell = cell.astype(np.int64) | part << 31
+            return pa.RecordBatch.from_arrays([pa.array(vid), pa.array(cell), pa.array(places.astype(np.int32)), pa.array(route)], ["vid", "cell", "places", "route"])
 
-    def rows(vid, n, cells, whole):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(vid, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(whole, pa.binary())], ["vid", "n", "cells", "hashes"]
-        )
+        for batch in batches:
+            for row, next_ in enumerate(batch.column(0).to_pylist()):
+                if next_ != part:
+                    if codes:
+                        yield close()
+                    part, codes, vids = next_, [], []
+                codes.append(np.frombuffer(batch.column(1)[row].as_py(), np.uint32))
+                vids.append(np.frombuffer(batch.column(2)[row].as_py(), np.int64))
+        if codes:
+            yield close()
 
-    return kept(docs.select("text").mapInArrow(tidy(shared), "vid long, n long, cells array<long>, hashes binary"), "near")
+    sent = texts_of(docs, one).mapInArrow(tidy(send), "part int, codes binary, vids binary")
+    met = sent.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(meet), "vid long, cell long, places int, route boolean")
+    held = met.groupBy("vid").agg(F.sum("places").alias("shared"), F.collect_list(F.when(F.col("route"), F.col("cell"))).alias("cells"))
+    held = held.join(one, "vid").where((F.col("shared") >= w.least_column("n")) & (F.size("cells") > 0))
+    return kept(held.select("vid", "n", "k1", "k2", "cells"), "near")
 
 
 def regions(held: DataFrame) -> DataFrame:
     """``pivot``, ``vid`` and ``n`` of the members of every region, from ``near``."""
-    cells = held.select(F.explode("cells").alias("cell"), "vid", "n").groupBy("cell", "vid").agg(F.max("n").alias("n"))
-    cells = kept(cells, "cells")
+    cells = held.select(F.explode("cells").alias("cell"), "vid", "n")
     pivots = cells.groupBy("cell").agg(F.min("vid").alias("pivot"), F.max("vid").alias("other")).where("pivot < other").select("cell", "pivot")
     return kept(cells.join(pivots, "cell").select("pivot", "vid", "n").distinct(), "regions")
 
 
+def whole_sets(docs: DataFrame, held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
+    """``vid`` and ``hashes`` of the members of regions."""
+
+    def send(batches):
+        known: set[int] = set()
+        for batch in batches:
+            vid, whole, size = [], [], 0
+            for _, found in sets(batch.column(0), w):
+                if len(found) and (name := digest(found)) not in known:
+                    known.add(name)
+                    vid.append(name)
+                    whole.append(found.tobytes())
+                    size += len(found)
+                    if size > 1 << 20:
+                        yield rows(vid, whole)
+                        vid, whole, size = [], [], 0
+            if vid:
+                yield rows(vid, whole)
+
+    def rows(vid, whole):
+        return pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(whole, pa.binary())], ["vid", "hashes"])
+
+    wanted = held.join(members.select("vid").distinct(), "vid", "left_semi")
+    return texts_of(docs, wanted.select("k1", "k2")).mapInArrow(tidy(send), "vid long, hashes binary").dropDuplicates(["vid"])
+
+
 def _shared(all_: np.ndarray, starts: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Size of the intersection of ``one`` with each set of a run of non-empty sets."""
     at = np.searchsorted(one, all_)
@@ -360,8 +462,8 @@ def rounds(rows: DataFrame, edges: DataFrame, w: Similar) -> DataFrame:
         blocks.unpersist()
 
 
-def links(held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
-    """``a``, ``b``: links between vertices that span every component of every region."""
+def links(wanted: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
+    """``a``, ``b``: links between vertices that span every component of every region. ``wanted`` are the ``whole_sets``."""
     wide = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > w.ring_from).select("pivot", F.lit(True).alias("wide"))
     ring = F.floor(F.log(F.col("n").cast("double")) / math.log(w.den / w.num) + F.lit(1e-9)).cast("int") if w.num < w.den else F.col("n").cast("int")
     dealt = members.join(wide, "pivot", "left").select(
@@ -370,7 +472,6 @@ def links(held: DataFrame, members: DataFrame, w: Similar) -> DataFrame:
     dealt = kept(dealt, "dealt")
     large = dealt.groupBy("pivot", "ring").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > w.group_shingles).select("pivot", "ring")
     large, seen = kept_counted(large, "large", n=F.count(F.lit(1)))
-    wanted = held.select("vid", "hashes").join(members.select("vid").distinct(), "vid", "left_semi").dropDuplicates(["vid"])
     if seen["n"]:
         wanted = kept(wanted, "wanted")
         big = kept(dealt.join(large, ["pivot", "ring"], "left_semi").join(wanted, "vid").select("pivot", "ring", "vid", "n", "hashes"), "big")
@@ -405,8 +506,10 @@ def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
     ``component_id`` of every document."""
     rows = keyed(docs)
     found, common = vertices(rows, w)
-    held = near(rows, w, common)
-    edges = links(held, regions(held), w)
+    one, shingles = one_document(found)
+    held = near(rows, w, common, one, shingles)
+    members = regions(held)
+    edges = links(whole_sets(rows, held, members, w), members, w)
     roots = kept(components(edges), "roots")
     # an empty set is a vertex of its own for every document
     named = rows.select("doc_id", "k1", "k2").join(found.dropDuplicates(["k1", "k2"]), ["k1", "k2"])

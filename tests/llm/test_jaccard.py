@@ -3,6 +3,8 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from cases import documents, texts, words
 
 from keelson.llm import jaccard
@@ -123,6 +125,64 @@ def test_one_of_each(spark):
     assert len(got) == groups + 3 and sorted(i for i in got if i in (1, 2, 7, 8)) == [1, 1, 2, 7]
 
 
+def lone(n, times=1):
+    """Texts that share no shingle, each under ``times`` ids."""
+    return [(5000 + 1000 * k + i, " ".join(f"l{i}x{j}" for j in range(30))) for i in range(n) for k in range(times)]
+
+
+def test_copies_alone_do_not_send_their_sets(spark, monkeypatch):
+    plain, written = jaccard.kept, {}
+    monkeypatch.setattr(jaccard, "kept", lambda df, label: written.setdefault(label, plain(df, label)))
+    pair = [(1, " ".join(f"p{j}" for j in range(60))), (2, " ".join(f"p{j}" for j in range(60)) + " tail")]
+    check(spark, lone(40, 3) + pair, Similar(4, 85, 100))
+    assert written["near"].select("vid").distinct().count() == 2
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_holds_those_that_share_first_shingles(spark, monkeypatch, small):
+    if small:  # many parts, and many rows for each
+        monkeypatch.setattr(jaccard, "MEET", 8)
+        monkeypatch.setattr(jaccard, "SEND", 40)
+    w = Similar(4, 85, 100)
+    rows = texts() + near_copies(9, 48) + lone(30, 2)
+    docs = jaccard.keyed(documents(spark, rows))
+    found, common = jaccard.vertices(docs, w)
+    one, shingles = jaccard.one_document(found)
+    by = {jaccard.digest(s): s for _, s in jaccard.sets(pa.array([t for _, t in rows], pa.string()), w) if len(s)}
+    assert shingles == sum(map(len, by.values())) and (w.parts(shingles) > 64) == small
+    first = {v: jaccard.first_shingles(s, common, w).tolist() for v, s in by.items()}
+    holders = Counter(s for f in first.values() for s in f)
+    want = {}
+    for v, f in first.items():
+        n = len(by[v])
+        cells = sum(holders[s] > 1 for s in f[: w.first(n)])
+        if cells and sum(holders[s] > 1 for s in f) >= w.least(n):
+            want[v] = (n, cells)
+    assert 10 < len(want) < len(by) - 29
+    assert {r["vid"]: (r["n"], len(set(r["cells"]))) for r in jaccard.near(docs, w, common, one, shingles).collect()} == want
+
+
+def test_hashes_that_two_vertices_hold():
+    rnd = random.Random(8)
+    for n in (0, 1, 2, 300):
+        # the lowest bit is the mark; a vertex may come twice
+        entries = [(rnd.randrange(100) << 1 | rnd.randrange(2), rnd.randrange(-4, 4)) for _ in range(n)]
+        holders = {c: {v for d, v in entries if d >> 1 == c >> 1} for c, _ in entries}
+        want = {}
+        for c, v in entries:
+            if len(holders[c]) > 1:
+                places, route = want.get((v, c >> 1), (0, False))
+                want[v, c >> 1] = (places + 1, route or bool(c & 1))
+        code, vid = np.array([c for c, _ in entries], np.uint32), np.array([v for _, v in entries], np.int64)
+        got = [x.tolist() for x in jaccard.meeting(code, vid)]
+        assert {(v, c): (p, r) for v, c, p, r in zip(*got)} == want and len(got[0]) == len(want)
+
+
+def test_least_as_a_column(spark):
+    for w in (Similar(), Similar(5, 80, 100), Similar(2, 60, 100, 16), Similar(1, 1, 3, 7)):
+        assert all(r["got"] == w.least(r["id"]) for r in spark.range(1, 400).withColumn("got", w.least_column("id")).collect())
+
+
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randint(1, 300), rnd.randint(1, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
