@@ -524,10 +524,14 @@ def similar(docs: DataFrame, w: Similar = Similar()) -> DataFrame:
 def one_of_each(docs: DataFrame, w: Similar) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are: one of each component, of least ``doc_id``; and all rows
     without words."""
-    named = similar(docs, w).where("root is not null")
+    named = kept(similar(docs, w).where("root is not null").select("doc_id", "k1", "k2", "root"), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2"))
     chosen = kept(named.groupBy("root").agg(first.alias("one")).select("one.k1", "one.k2"), "chosen")
+    again = named.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("k1", "k2")
+    asked = kept(named.select("k1", "k2").join(chosen, ["k1", "k2"], "left_anti").union(again), "asked")
     rows = keyed(docs, carry=True).select("row", "k1", "k2", "text")
     wordless = F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == ""
-    stays = rows.where(~wordless).join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return stays.select("row.*").union(rows.where(wordless).select("row.*"))
+    # only rows that may go, or come again, are shuffled
+    there, other = parted(rows.where(~wordless), asked, DOC_BITS, F.xxhash64("k1", "k2"))
+    stays = there.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return stays.select("row.*").union(other.select("row.*")).union(rows.where(wordless).select("row.*"))

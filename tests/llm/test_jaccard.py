@@ -183,6 +183,17 @@ def test_least_as_a_column(spark):
         assert all(r["got"] == w.least(r["id"]) for r in spark.range(1, 400).withColumn("got", w.least_column("id")).collect())
 
 
+def test_only_rows_that_may_go_are_shuffled(spark, monkeypatch):
+    plain, cut = jaccard.parted, []
+    monkeypatch.setattr(jaccard, "parted", lambda *a: cut.append(plain(*a)) or cut[-1])
+    pair = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "q r s t u v"), (3, "q r s t u v")]
+    out = one_of_each(documents(spark, lone(200) + pair + [(None, None)]), Similar(5, 80, 100))
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter([1, 3, None] + [i for i, _ in lone(200)])
+    # the second of the pair, and the row that comes twice; hardly any other has their buckets
+    there, other = cut[-1]
+    assert there.count() < 20 and other.count() > 180
+
+
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randint(1, 300), rnd.randint(1, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]
